@@ -26,7 +26,7 @@ from .base import durable, texts_of
 CLASSES = ("lower", "upper", "other letter", "accented", "digit", "space", "punctuation", "symbol", "other")
 COMMON, LEAST_WORDS = 0.004, 50
 #: Largest distances to the nearest language: by character classes, by common words.
-CLASS_LIMIT, WORD_LIMIT = 0.5, 0.75
+CLASS_LIMIT, WORD_LIMIT = 0.3, 0.75
 #: Languages with at least this share of all words have a reference, so there are 200 references at most.
 LANGUAGE_SHARE = 0.005
 CHUNK = 1_000_000

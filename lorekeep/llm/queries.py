@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, mixing, neardup, packing, pii, quality, secrets, toxicity
+from . import html_text, langid, mixing, neardup, packing, pii, quality, secrets, toxicity, vectors
 from .base import table
 
 
@@ -39,6 +39,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
+def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(table(spark, sf_dir, "embeddings"), limit=0.95)
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_packing": op6_packing,
+    "op7_vectors": op7_vectors,
     "op8_langid": op8_langid,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
