@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable
+
 #: Fixed values of the record format.
 OP_TYPES = ("add", "update", "close", "supersede", "reinforce", "invalidate", "noop")
 MEMORY_KINDS = ("event", "state", "relation", "knowledge", "belief", "intention", "commitment", "ownership", "world_delta")
@@ -137,12 +139,13 @@ def fact_history(versions: DataFrame) -> DataFrame:
 
 def spine_trace(versions: DataFrame, seeds: DataFrame, rounds: int = 4) -> DataFrame:
     """From seed values (conv_id, slot, valid_from) along supersede links, both ways, up to so many rounds."""
+    versions = durable(versions, "trace-versions")
     edge = versions.where("superseded_by is not null").select("conv_id", "slot", F.col("valid_from").alias("a"), F.col("superseded_by").alias("b"))
     edge = edge.unionByName(edge.select("conv_id", "slot", F.col("b").alias("a"), F.col("a").alias("b")))
     reached = seeds.select("conv_id", "slot", "valid_from", F.lit(0).alias("hops"))
     frontier = reached
     for k in range(1, rounds + 1):
         met = frontier.select("conv_id", "slot", F.col("valid_from").alias("a")).join(edge, ["conv_id", "slot", "a"]).select("conv_id", "slot", F.col("b").alias("valid_from"), F.lit(k).alias("hops")).distinct()
-        reached = reached.unionByName(met).groupBy("conv_id", "slot", "valid_from").agg(F.min("hops").alias("hops"))
+        reached = durable(reached.unionByName(met).groupBy("conv_id", "slot", "valid_from").agg(F.min("hops").alias("hops")), f"trace-{k}")
         frontier = reached.where(F.col("hops") == k)
     return reached

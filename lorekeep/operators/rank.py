@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, tokens_hybrid
+from ..sources.shared import durable
 from .oplog import irreversibility, is_never_drop
 
 #: Fixed values of the ranking rules.
@@ -142,16 +143,17 @@ def candidate_edges(candidates: DataFrame, terms: DataFrame, n_all: DataFrame, h
 def diffuse(candidates: DataFrame, edges: DataFrame, damping: float = 0.18, rounds: int = 5) -> DataFrame:
     """Score mass spread over the edges a few times; candidates: (query_id, id, score)."""
     both = edges.select("query_id", "a", "b", "w").unionByName(edges.select("query_id", F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    share = both.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("query_id", "a"))).select("query_id", F.col("a").alias("id"), "b", "share")
+    share = durable(both.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("query_id", "a"))).select("query_id", F.col("a").alias("id"), "b", "share"), "diffuse-edges")
     per = Window.partitionBy("query_id")
     positive = F.greatest(F.lit(0.0), F.col("score"))
     base = candidates.withColumn("base", F.coalesce(positive / F.nullif(F.sum(positive).over(per), F.lit(0.0)), F.lit(0.0)))
     lonely = base.join(share.select("query_id", "id").distinct().withColumn("linked", F.lit(True)), ["query_id", "id"], "left").withColumn("p", F.col("base"))
-    p = lonely
-    for _ in range(rounds):
+    p = durable(lonely, "diffuse-0")
+    for k in range(rounds):  # each round reads the last one twice, so it is written
         sent = p.select("query_id", "id", "p").join(share, ["query_id", "id"]).groupBy("query_id", F.col("b").alias("id")).agg(F.sum(F.col("p") * F.col("share")).alias("got"))
         kept = F.when(F.col("linked").isNull(), F.col("p")).otherwise(F.coalesce("got", F.lit(0.0)))
         p = p.join(sent, ["query_id", "id"], "left").withColumn("p", (1 - damping) * F.col("base") + damping * kept).drop("got")
+        p = durable(p, f"diffuse-{k + 1}")
     graph = F.col("p") / F.greatest(F.max("p").over(per), F.lit(1e-9))
     top = F.greatest(F.max(positive).over(per), F.lit(1e-9))
     return p.withColumn("graph", graph).withColumn("score", 0.88 * F.col("score") + 0.12 * top * F.col("graph")).drop("base", "linked", "p")
