@@ -16,12 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of sessions that name none in spark.checkpoint.dir.
+UNSET = "/tmp/lorekeep-shared"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/lorekeep-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
+    """The folder that driver and executors share; UNSET where the session names none (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or UNSET
     return where.rstrip("/")
 
 

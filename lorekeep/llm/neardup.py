@@ -4,11 +4,13 @@ A text's set holds its distinct shingles; texts of equal sets form a class, of w
 ``CHUNKS`` x ``CHUNK`` MinHash values of 16 bits. Two signatures that differ in fewer than 2 x ``CHUNKS`` values agree, by
 the pigeonhole principle, in all but one value at most of some chunk; so each class is indexed under every chunk with each
 one of its values left out, and all such pairs meet. (Pairs at the similarity limit that differ more often still meet with
-probability 1 - 3e-6, and are let through up to ``MOST_APART`` differing values.)
+probability 1 - 3e-6.) Pairs that meet are held against two bits of 64 of their values first: more than ``MOST_APART``
+differences rule a pair out (at the limit 9.6 are expected, with a deviation of 2.9).
 
-Not all pairs of an index entry are compared. Each class is first held against the entries' least members; the links
-found make components; after that only pairs from different components count, the nearest of each component first, then
-all that remain. Leaving pairs within a component out loses no component, so each pair that could join two is confirmed.
+No pair of an index entry becomes a row. A task compares the two-bit values of an entry's classes as arrays and passes on
+only which classes hang together by pairs that may be similar: a forest, no longer than the entry. The forests of all
+entries make candidate groups. Each group's full sets meet in blocks of ``BLOCK``, every pair of blocks in one task, where
+common shingles are counted for all pairs at once; what is passed on is again a forest, of the confirmed links.
 
 Defined results: null and empty texts and those without words have an empty set and no links; texts shorter than a shingle
 are one shingle; repeated rows fall into one class; an empty table gives an empty result; other columns are ignored.
@@ -21,16 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import durable, texts_of
 from .graph import components
 
-CHUNKS, CHUNK, MOST_APART = 12, 6, 31
+CHUNKS, CHUNK, MOST_APART = 12, 6, 22
 VALUES = CHUNKS * CHUNK
-LONGS = VALUES // 8
 SEED = 20240229
+#: Classes of a block; columns of shingles that are counted at once.
+BLOCK, COLUMNS = 512, 4096
 #: Ids that are broadcast at most; beyond that they are joined.
 BROADCAST_IDS = 200_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -91,56 +94,161 @@ def _factors() -> np.ndarray:
 
 
 def signed(documents: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, t, h, sig, keys): set size, text digest, set digest, packed 8-bit values, index keys."""
+    """(doc_id, n, t, h, w0, w1, keys): set size, text digest, set digest, two bits of 64 values, index keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         factors = _factors()
+        places = np.arange(32, dtype=np.uint64) * np.uint64(2)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                n, h, sigs, keys = [], [], [], []
+                n, h, w, keys = [], [], [], []
                 for text in texts_of(part):
                     s = shingles(text, width, known)
                     n.append(len(s))
                     h.append(hashlib.md5(s.tobytes()).digest())
                     if len(s):
                         v = signature(s, factors)
-                        sigs.append((v & np.uint64(255)).astype(np.uint8).view(np.int64))
+                        w.append(((v[:64].reshape(2, 32) & np.uint64(3)) << places).sum(1).view(np.int64))
                         keys.append(index_keys(v).view(np.int64))
                     else:
-                        sigs.append([])
+                        w.append((0, 0))
                         keys.append([])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n, pa.int64()), part.column(2), pa.array(h, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "t", "h", "sig", "keys"],
+                    [part.column(0), pa.array(n, pa.int64()), part.column(2), pa.array(h, pa.binary()), pa.array([x[0] for x in w], pa.int64()), pa.array([x[1] for x in w], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "t", "h", "w0", "w1", "keys"],
                 )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("t"))
-    return rows.mapInArrow(run, "doc_id long, n long, t binary, h binary, sig array<long>, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, t binary, h binary, w0 long, w1 long, keys array<long>")
 
 
-def apart(a: str, b: str) -> Column:
-    """How many of the packed values of two signatures differ."""
-    total = F.lit(0)
-    for k in range(LONGS):
-        x = F.col(f"{a}.g{k}").bitwiseXOR(F.col(f"{b}.g{k}"))
-        for s in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, s))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the 64 two-bit values of each pair of signatures (rows of two words) differ."""
+    total = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(a.shape[1]):
+        x = a[:, None, k] ^ b[None, :, k]
+        total += np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
     return total
 
 
-def similar_sizes(a: str, b: str, percent: int) -> Column:
-    return (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * percent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * percent)
+def forest(n: int, blocks: Iterator[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Pairs (i, j) that connect what the given blocks (first row, first column, true where paired) connect."""
+    root = np.arange(n)
+    out = []
+    for top, left, near in blocks:
+        across = slice(left, left + near.shape[1])
+        for i in np.flatnonzero(near.any(1)):
+            while True:  # each turn joins two trees, so there are fewer than n in all
+                other = np.flatnonzero(near[i] & (root[across] != root[top + i]))
+                if not len(other):
+                    break
+                j = left + int(other[0])
+                out.append((top + int(i), j))
+                root[root == root[j]] = root[top + i]
+    return out
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each key, of batches sorted by their first n_keys columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)], 1)
+        cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for lo, hi in zip(cut, cut[1:]):
+            key = tuple(keys[lo])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidate_forest(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b): what the classes of each index entry hang together by. entries: (key, cid, n, w0, w1), all rows of a key in a task, in order."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for table in runs(batches, 1):
+            if table.num_rows < 2:
+                continue
+            cid, n = table.column(1).to_numpy(), table.column(2).to_numpy()
+            w = np.stack([table.column(k).to_numpy() for k in (3, 4)], 1).astype(np.int64).view(np.uint64)
+
+            def blocks(n=n, w=w):
+                for top in range(0, len(n), 1024):
+                    for left in range(0, top + 1, 1024):
+                        a, b = slice(top, top + 1024), slice(left, left + 1024)
+                        near = (differing(w[a], w[b]) <= MOST_APART) & (n[a][:, None] * 100 >= n[b] * percent) & (n[b] * 100 >= n[a][:, None] * percent)
+                        yield top, left, np.tril(near, -1) if top == left else near
+
+            pairs = {(int(min(cid[i], cid[j])), int(max(cid[i], cid[j]))) for i, j in forest(len(n), blocks())} - seen
+            if len(seen) > 500_000:
+                seen.clear()
+            seen |= pairs
+            if pairs:
+                a, b = zip(*sorted(pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return entries.select("key", "cid", "n", "w0", "w1").mapInArrow(run, "a long, b long").distinct()
+
+
+def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each pair of sets (sorted arrays without repeats)."""
+    def flat(sets):
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+    (va, ra), (vb, rb) = flat(a), flat(b)
+    names = np.intersect1d(va, vb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(names):
+        return out.astype(np.int64)
+    pa_, pb = np.searchsorted(names, va), np.searchsorted(names, vb)
+    ka, kb = names[np.minimum(pa_, len(names) - 1)] == va, names[np.minimum(pb, len(names) - 1)] == vb
+    pa_, ra, pb, rb = pa_[ka], ra[ka], pb[kb], rb[kb]
+    oa, ob = np.argsort(pa_, kind="stable"), np.argsort(pb, kind="stable")
+    pa_, ra, pb, rb = pa_[oa], ra[oa], pb[ob], rb[ob]
+    for lo in range(0, len(names), COLUMNS):
+        x, y = np.zeros((len(a), COLUMNS), np.float32), np.zeros((len(b), COLUMNS), np.float32)
+        for m, p, r in ((x, pa_, ra), (y, pb, rb)):
+            i, j = np.searchsorted(p, (lo, lo + COLUMNS))
+            m[r[i:j], p[i:j] - lo] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def confirmed_forest(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what the full sets connect. dealt: (gid, i, j, block, cid, s), all rows of (gid, i, j) in a task, in order."""
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
-    two = one.join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return two.where(both * 100 >= (F.size("sa") + F.size("sb") - both) * percent).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, 3):
+            if table.num_rows < 2:
+                continue
+            i, j = table.column(1)[0].as_py(), table.column(2)[0].as_py()
+            block, cid = table.column(3).to_numpy(), table.column(4).to_numpy()
+            sets = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in table.column(5)]
+            size = np.array([len(x) for x in sets])
+            top = np.flatnonzero(block == j)
+            left = top if i == j else np.flatnonzero(block == i)
+            if not len(top) or not len(left):
+                continue
+            both = common([sets[k] for k in top], [sets[k] for k in left])
+            near = both * 100 >= (size[top][:, None] + size[left] - both) * percent
+            if i == j:
+                pairs = [(top[x], left[y]) for x, y in forest(len(top), iter([(0, 0, np.tril(near, -1))]))]
+            else:
+                pairs = [(top[x], left[y - len(top)]) for x, y in forest(len(top) + len(left), iter([(0, len(top), near)]))]
+            if pairs:
+                a, b = zip(*((int(cid[x]), int(cid[y])) for x, y in pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.select("gid", "i", "j", "block", "cid", "s").mapInArrow(run, "a long, b long").distinct()
 
 
 def link(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -153,18 +261,17 @@ def link(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # of equal sets one goes on: the classes, by their first row
     classes = rows.where("n > 0").groupBy("h").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least"))
     classes = durable(classes, "neardup-classes")
-    one = rows.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi")
-    index = one.select(F.explode("keys").alias("key"), F.col("uid").alias("cid")).repartition("key")
-    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("hub")).where("c > 1")
-    members = durable(index.join(shared, "key").select("key", "cid", "hub"), "neardup-members")
-    involved = durable(members.select("cid").distinct(), "neardup-involved")
-    info = one.select(F.col("uid").alias("cid"), "n", "t", *[F.element_at("sig", k + 1).alias(f"g{k}") for k in range(LONGS)]).join(involved, "cid", "left_semi")
-    info = durable(info, "neardup-info")
-    # the full sets of the classes that share a key with others
-    need = info.select("cid", "t")
-    need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+    one = rows.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "cid")
+    index = one.select(F.explode("keys").alias("key"), "cid").repartition("key")
+    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    members = durable(index.join(shared, "key", "left_semi"), "neardup-members")
+    entries = members.join(one.select("cid", "n", "w0", "w1"), "cid").repartition("key").sortWithinPartitions("key", "cid")
+    groups = components(candidate_forest(entries, percent)).withColumnRenamed("id", "cid").withColumnRenamed("comp", "gid")
+    # the full sets of the classes in groups, from the texts
+    need = durable(groups.join(one.select("cid", "t"), "cid"), "neardup-groups")
+    few = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
     texts = documents.select(F.col("text").cast("string").alias("text")).withColumn("t", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    texts = texts.join(need, "t").groupBy("cid").agg(F.first("text").alias("text"))
+    texts = texts.join(few.select("cid", "t"), "t").groupBy("cid").agg(F.first("text").alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
@@ -174,36 +281,14 @@ def link(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width, known).view(np.int64) for t in texts_of(part)], pa.list_(pa.int64()))], names=["cid", "s"])
 
     sets = durable(texts.select("cid", "text").mapInArrow(whole, "cid long, s array<long>"), "neardup-sets")
-    a, b = info.alias("a"), info.alias("b")
-    near = similar_sizes("a", "b", percent) & (apart("a", "b") <= MOST_APART)
-    # first: each class with the least of its entries' least members that is near
-    first = members.where("cid <> hub").select(F.col("cid").alias("m"), "hub").distinct()
-    first = first.join(a, F.col("m") == F.col("a.cid")).join(b, F.col("hub") == F.col("b.cid")).where(near).groupBy(F.col("a.cid").alias("b")).agg(F.min(F.col("b.cid")).alias("a"))
-    tried = durable(first.select("a", "b"), "neardup-first")
-    links = durable(confirmed(tried, sets, percent), "neardup-links1")
-    comp = components(links)
-    # then pairs across components, from entries that still hold several: first each component's nearest, then all
-    for step, most in ((2, 4), (3, 32), (4, None)):
-        at = members.select("key", "cid").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        at = durable(at.join(mixed, "key", "left_semi").join(info.drop("t"), "cid"), f"neardup-mixed{step}")
-        x, y = at.alias("a"), at.alias("b")
-        pairs = x.join(y, (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.comp") != F.col("b.comp")) & near)
-        pairs = pairs.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"), F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"), apart("a", "b").alias("d")).distinct()
-        pairs = durable(pairs.join(tried, ["a", "b"], "left_anti"), f"neardup-pairs{step}")
-        left = pairs.count()
-        if not left:
-            break
-        if most is not None and left > 20_000:
-            ends = pairs.select("a", "b", F.col("ca").alias("c"), "d").unionByName(pairs.select("a", "b", F.col("cb").alias("c"), "d"))
-            now, last = durable(_nearest(ends, most), f"neardup-best{step}"), False
-        else:
-            now, last = pairs.select("a", "b"), True
-        more = durable(confirmed(now, sets, percent), f"neardup-links{step}")
-        links, tried = links.unionByName(more), tried.unionByName(now)
-        comp = components(links)
-        if last:
-            break
+    # each set goes to every pair of blocks of its group that has its block
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    sizes = need.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
+    at = need.select("cid", "gid").join(sizes, "gid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = at.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid")
+    dealt = at.join(sets, "cid").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "cid")
+    comp = components(durable(confirmed_forest(dealt, percent), "neardup-links"))
     of = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = of.groupBy("comp").agg(F.min("least").alias("component_id"))
     of = of.join(least, "comp").select("h", "component_id")
@@ -212,12 +297,6 @@ def link(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull()).alias("kept"), "t")
 
 
-def _nearest(ends: DataFrame, most: int) -> DataFrame:
-    """Each component's nearest pairs (a, b), at most so many; a window with a rank limit is cut short in every task."""
-    rank = F.row_number().over(Window.partitionBy("c").orderBy("d", "a", "b"))
-    return ends.withColumn("r", rank).where(F.col("r") <= most).select("a", "b").distinct()
-
-
 def deduplicated(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents, one of each component, all their columns; of rows that repeat it the first by digest and id."""
     verdict = link(documents, width, percent).where("kept").select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), "n_shingles").distinct()
