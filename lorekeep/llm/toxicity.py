@@ -43,19 +43,25 @@ def features(text: str | None) -> set[str]:
     return {f for w in set(WORDS.findall((text or "").lower())) for f in word_features(w)}
 
 
-def fit_nnpu(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of a linear classifier, by Adam on the non-negative risk. x: rows of 0 and 1."""
-    xp, xu = x[positive], x[~positive]
-    w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
-    m, v = np.zeros(len(w) + 1, np.float32), np.zeros(len(w) + 1, np.float32)
+def fit_nnpu(rows: list[list[int]], positive: np.ndarray, n_features: int, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias of a linear classifier, by Adam on the non-negative risk. rows: the features that each text has."""
+    own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    feature = np.array([f for r in rows for f in r], np.int64)
+    n_p, n_u = positive.sum(), (~positive).sum()
+    w, b = np.zeros(n_features), 0.0
+    m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+
+    def gradient(d: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(feature, d[own], n_features), d.sum())
+
     for t in range(1, rounds + 1):
-        sp, su = 1 / (1 + np.exp(-(xp @ w + b))), 1 / (1 + np.exp(-(xu @ w + b)))
-        dp, du = sp * (1 - sp) / len(xp), su * (1 - su) / len(xu)
+        s = 1 / (1 + np.exp(-(np.bincount(own, w[feature], len(rows)) + b)))
+        slope = s * (1 - s)
+        dp, du = np.where(positive, slope / n_p, 0.0), np.where(positive, 0.0, slope / n_u)
         # losses: sigmoid(-z) for label 1, sigmoid(z) for label 0
-        positive_part = np.append(-(dp @ xp), -dp.sum()) * prior
-        negative_part = np.append(du @ xu, du.sum()) - prior * np.append(dp @ xp, dp.sum())
-        risk = su.mean() - prior * sp.mean()
-        g = positive_part + negative_part if risk >= 0 else -negative_part
+        gp, gu = gradient(dp), gradient(du)
+        risk = s[~positive].mean() - prior * s[positive].mean()
+        g = -prior * gp + gu - prior * gp if risk >= 0 else prior * gp - gu
         g[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -102,10 +108,7 @@ def learn(documents: DataFrame, labels: DataFrame, training, prior: float | None
 
     fitted = texts.mapInArrow(index, "f array<int>, pos boolean, doc_id long").collect()  # bounded: the sample
     fitted.sort(key=lambda r: (r["pos"], r["doc_id"]))
-    x = np.zeros((len(fitted), len(names)), np.float32)
-    for i, r in enumerate(fitted):
-        x[i, r["f"]] = 1
-    w, bias = fit_nnpu(x, np.array([r["pos"] for r in fitted]), prior)
+    w, bias = fit_nnpu([r["f"] for r in fitted], np.array([r["pos"] for r in fitted]), len(names), prior)
     return {f: float(v) for f, v in zip(names, w) if v}, bias
 
 
