@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of sessions that name none in spark.checkpoint.dir.
+UNSET = "/tmp/lorekeep-shared"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a default is set only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "/tmp/lorekeep-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
+    """The folder named in spark.checkpoint.dir; UNSET where the session names none (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or UNSET
     return where.rstrip("/")
 
 
