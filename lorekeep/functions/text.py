@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 #: Fixed values of the token estimate: tokens per CJK character and per other character.
 TOKENS_PER_CJK, TOKENS_PER_OTHER = 0.9408, 0.2441
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -36,10 +37,11 @@ def normalize_baseline(text: Column, compatibility: bool = False) -> Column:
 
 
 def _grams(run: Column, sizes: tuple[int, ...]) -> Column:
-    parts = [
-        F.when(F.length(run) >= n, F.transform(F.sequence(F.lit(1), F.length(run) - (n - 1)), lambda i, n=n: F.substr(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        for n in sizes
-    ]
+    def of(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(run) - (n - 1))
+        return F.when(F.length(run) >= n, F.transform(starts, lambda i: F.substr(run, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    parts = [of(n) for n in sizes]
     return F.concat(F.when(F.length(run) == 1, F.array(run)).otherwise(F.array().cast("array<string>")), *parts)
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize
 
-TURN = Window.partitionBy("conv_id").orderBy("turn")
+
+def by_turn():
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def digest(records: DataFrame, turns: DataFrame, max_rows: int = 40, max_chars: int = 4000) -> DataFrame:
@@ -21,7 +23,7 @@ def digest(records: DataFrame, turns: DataFrame, max_rows: int = 40, max_chars:
 
 def covering(turns: DataFrame, level1: DataFrame) -> DataFrame:
     """Turns with the summary that covers them: an assistant row of its sources and the user rows right before it. level1: (conv_id, summary_id, turn)."""
-    nxt = F.first(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(TURN.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    nxt = F.first(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(by_turn().rowsBetween(Window.currentRow, Window.unboundedFollowing))
     rows = turns.withColumn("assistant_turn", nxt)
     return rows.join(level1.withColumnRenamed("turn", "assistant_turn"), ["conv_id", "assistant_turn"])
 
@@ -52,7 +54,7 @@ def summary_tree(turns: DataFrame, l1: int = 10, l2: int = 3, l3: int = 3) -> Da
 
     Every level's sources are turns, so a parent's input is its descendants' turns, never their texts.
     """
-    seq = turns.withColumn("i", F.row_number().over(TURN) - 1)
+    seq = turns.withColumn("i", F.row_number().over(by_turn()) - 1)
     out, width = None, 1
     for level, n in enumerate((l1, l2, l3), 1):
         if not n:

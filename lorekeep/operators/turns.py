@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens
 
-BY_TURN = Window.partitionBy("conv_id").orderBy("turn")
+
+def by_turn():
+    return Window.partitionBy("conv_id").orderBy("turn")
 
 
 def pair_turns(turns: DataFrame) -> DataFrame:
     """Each assistant row with the user row right before it; with none there, the user's side is empty."""
-    before = F.lag(F.struct("role", "turn", "text")).over(BY_TURN)
+    before = F.lag(F.struct("role", "turn", "text")).over(by_turn())
     rows = turns.withColumn("b", before).where("role = 'assistant'")
     user = F.col("b.role") == "user"
     text = F.when(user, F.col("b.text")).otherwise("")
@@ -26,7 +28,7 @@ def pair_keys(pairs: DataFrame) -> DataFrame:
 
 def completed_turns(turns: DataFrame) -> DataFrame:
     """The user rows since the last assistant row, with that row: one turn text."""
-    island = F.sum((F.col("role") == "assistant").cast("int")).over(BY_TURN.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum((F.col("role") == "assistant").cast("int")).over(by_turn().rowsBetween(Window.unboundedPreceding, -1))
     rows = turns.withColumn("island", F.coalesce(island, F.lit(0)))
     parts = F.array_sort(F.collect_list(F.struct("turn", "text")))
     out = rows.groupBy("conv_id", "island").agg(parts.alias("p"), F.max(F.col("role") == "assistant").alias("whole"), F.count(F.lit(1)).alias("n_rows"))
@@ -66,8 +68,8 @@ def is_prefix(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def compression_series(turns: DataFrame, memory_tokens: DataFrame, every: int = 10) -> DataFrame:
     """Memory tokens over dialogue tokens so far, at each so many turns. memory_tokens: (conv_id, turn, tokens)."""
-    seq = F.row_number().over(BY_TURN)
+    seq = F.row_number().over(by_turn())
     raw = turns.select("conv_id", "turn", estimate_tokens(F.col("text")).alias("raw")).join(memory_tokens, ["conv_id", "turn"], "left")
-    run = BY_TURN.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = by_turn().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = raw.select("conv_id", "turn", seq.alias("n"), F.sum("raw").over(run).alias("raw_tokens"), F.coalesce(F.sum("tokens").over(run), F.lit(0)).alias("memory_tokens"))
     return out.where(F.col("n") % every == 0).withColumn("ratio", F.round(F.col("memory_tokens") / F.col("raw_tokens"), 6))
