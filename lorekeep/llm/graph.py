@@ -1,26 +1,35 @@
-"""Connected components of an edge table, by spreading the least label and jumping along labels."""
+"""Connected components of an edge table, by contraction."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import durable
 
 
+def _edges(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp) for every end of an edge (a, b): comp is the least id reachable. Each round halves what is left of long paths."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = durable(both, "components-edges")
-    label = durable(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "components-0")
+    """(id, comp) for every end of an edge (a, b): comp is the least id reachable.
+
+    In each round every node with a lesser neighbour joins the least one, and edges between joined nodes go. At least
+    half of the nodes that still have edges go with them, so the rounds grow with the logarithm of the nodes and each has
+    far fewer edges than the one before.
+    """
+    left = durable(edges.select(*_edges(F.col("a"), F.col("b"))).where("a <> b").distinct(), "components-edges")
+    label = left.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("comp", F.col("id"))
     step = 0
-    while True:
+    while not left.isEmpty():
         step += 1
-        seen = both.join(label.select(F.col("id").alias("b"), F.col("comp")), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        near = label.join(seen, label["id"] == seen["a"]).select("id", "comp", F.least("comp", "m").alias("new"))
-        jump = label.select(F.col("id").alias("at"), F.col("comp").alias("root"))
-        out = near.join(jump, near["new"] == jump["at"], "left").select("id", F.coalesce("root", "new").alias("new"), "comp")
-        out = durable(out.select("id", F.col("new").alias("comp"), (F.col("new") != F.col("comp")).alias("moved")), f"components-{step}")
-        label = out.select("id", "comp")
-        if out.where("moved").isEmpty():
-            return label
+        up = left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("p"))
+        for _ in range(2):  # a node's parent may have joined another one itself
+            top = up.select(F.col("id").alias("p"), F.col("p").alias("q"))
+            up = durable(up.join(top, "p", "left").select("id", F.coalesce("q", "p").alias("p")), f"components-up{step}")
+        one = left.join(up.select(F.col("id").alias("a"), F.col("p").alias("pa")), "a", "left").select(F.coalesce("pa", "a").alias("a"), "b")
+        two = one.join(up.select(F.col("id").alias("b"), F.col("p").alias("pb")), "b", "left").select("a", F.coalesce("pb", "b").alias("b"))
+        left = durable(two.select(*_edges(F.col("a"), F.col("b"))).where("a <> b").distinct(), f"components-edges{step}")
+        label = durable(label.join(up.select(F.col("id").alias("comp"), "p"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")), f"components-{step}")
+    return label

@@ -35,7 +35,7 @@ SEED = 20240229
 #: Classes of a block; columns of shingles that are counted at once.
 BLOCK, COLUMNS = 512, 4096
 #: Ids that are broadcast at most; beyond that they are joined.
-BROADCAST_IDS = 200_000
+BROADCAST_IDS = 500_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -261,7 +261,9 @@ def link(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     # of equal sets one goes on: the classes, by their first row
     classes = rows.where("n > 0").groupBy("h").agg(F.min("uid").alias("cid"), F.min("doc_id").alias("least"))
     classes = durable(classes, "neardup-classes")
-    one = rows.join(classes.select(F.col("cid").alias("uid")), "uid", "left_semi").withColumnRenamed("uid", "cid")
+    first = classes.select(F.col("cid").alias("uid"))
+    first = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
+    one = rows.join(first, "uid", "left_semi").withColumnRenamed("uid", "cid")
     index = one.select(F.explode("keys").alias("key"), "cid").repartition("key")
     shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     members = durable(index.join(shared, "key", "left_semi"), "neardup-members")
