@@ -189,3 +189,35 @@ def natural_key(value: Column) -> Column:
 def index_summary(chunks: DataFrame) -> DataFrame:
     """Entries, chunks and constant chunks by world."""
     return chunks.groupBy("world_id").agg(F.count_distinct("entry_id").alias("entries"), F.count(F.lit(1)).alias("chunks"), F.count_if("constant").alias("constant_chunks"))
+
+
+def normalize_entries(rows: DataFrame) -> DataFrame:
+    """Typed, trimmed entries: strings without blanks around, distinct keys, numbers or null, unknown booleans false."""
+    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    keys = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""))
+    fixed = {"title": text("title"), "content": text("content")}
+    fixed |= {c: keys(c) for c in ("keys", "secondary_keys", "known_by") if c in rows.columns}
+    fixed |= {c: F.coalesce(F.col(c), F.lit(False)) for c in ("constant", "disabled", "secret") if c in rows.columns}
+    if "ord" in rows.columns:
+        fixed["ord"] = F.col("ord").try_cast("double")
+    return rows.withColumns(fixed)
+
+
+def for_actor(rows: DataFrame, shown: Column, by: str) -> tuple[DataFrame, DataFrame]:
+    """P10: the rows that the actor may see, and per query the ids of those hidden. rows: (<by>, entry_id, ...)."""
+    hidden = rows.where(~shown).groupBy(by).agg(F.array_sort(F.collect_set("entry_id")).alias("hidden"))
+    return rows.where(shown), hidden
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, shown: Column, dense: DataFrame | None = None, k: int = 5, rrf_k: int = 60) -> DataFrame:
+    """Entries for each query: lexical and dense chunk ranks fused, collapsed to entries, hidden ones taken out.
+
+    dense: (query_id, entry_id, chunk, rank), if there is a dense index. shown may use the chunks' columns.
+    """
+    ranks = lexical_topk(queries, chunks).select("query_id", "entry_id", "chunk", (F.lit(0.9) / (rrf_k + F.col("rank") + 1)).alias("part"))
+    if dense is not None:
+        ranks = ranks.unionByName(dense.select("query_id", "entry_id", "chunk", (F.lit(1.0) / (rrf_k + F.col("rank") + 1)).alias("part")))
+    scored = ranks.groupBy("query_id", "entry_id", "chunk").agg(F.sum("part").alias("score"))
+    entries = collapse_to_entry(scored).join(chunks.where(shown).select("entry_id").distinct(), "entry_id")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "entry_id")
+    return entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

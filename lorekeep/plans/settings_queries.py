@@ -165,3 +165,51 @@ def j9(spark, d):
     ops = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     records = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
     return gate.best_match(ops, records).select(F.col("op_id").alias("doc_id"), F.col("record_id").alias("item_id"), F.round("score", 6).alias("score"))
+
+
+@query("p10_filter_for_actor", f"with {ENTRIES} select world_id as query_id, count(*) as n_hidden from entries where secret group by world_id")
+def p10(spark, d):
+    """Secret entries without an audience are hidden from everyone."""
+    rows = entries(spark, d).withColumnRenamed("world_id", "query_id")
+    return S.for_actor(rows, ~F.col("secret"), "query_id")[1].select("query_id", F.size("hidden").cast("long").alias("n_hidden"))
+
+
+@query("p16_normalize_entries", f"with {ENTRIES} select entry_id, title, md5(trim(content)) as h, constant, ord from entries")
+def p16(spark, d):
+    raw = entries(spark, d).withColumns({"title": F.concat(F.lit("  "), "title", F.lit(" ")), "constant": F.when(F.col("constant"), True), "ord": F.col("ord").cast("string")})
+    return S.normalize_entries(raw).select("entry_id", "title", F.md5("content").alias("h"), "constant", "ord")
+
+
+@query("r8_retrieve_settings")
+def r8(spark, d):
+    """The newest user turns against one world each; secret entries are hidden."""
+    from .conversation_queries import newest_queries
+
+    q = newest_queries(spark, d)[0].withColumn("world_id", F.concat(F.lit("src"), F.col("conv_id") % 20))
+    return S.retrieve(q, chunks(spark, d).where("not disabled"), ~F.col("secret")).withColumn("score", F.round("score", 6))
+
+
+@query("h4_lexical_similarity", f"""with o as (select doc_id, {NORM.format('text')} as x, {TOK.format('text')} as t from documents), b as (select item_id, {NORM.format('text')} as x, {TOK.format('text')} as t from benchmark),
+p as (select doc_id, item_id, o.x as ox, b.x as bx, len(o.t) as m, len(b.t) as n, len(list_intersect(o.t, b.t)) as i from o join b on b.item_id = o.doc_id % 40)
+select doc_id, item_id, round(case when ox = '' or bx = '' then 0.0 when ox = bx then 1.0 when least(length(ox), length(bx)) >= 8 and (contains(ox, bx) or contains(bx, ox)) then least(0.99, 0.88 + 0.11 * least(length(ox), length(bx)) / greatest(length(ox), length(bx))) when least(m, n) = 0 then 0.0 else greatest(i / (m + n - i), 0.92 * i / least(m, n)) end, 6) as score from p""")
+def h4(spark, d):
+    """Each document against one benchmark passage."""
+    from ..functions.text import lexical_similarity
+
+    b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("b"))
+    rows = table(spark, d, "documents").withColumn("item_id", F.col("doc_id") % 40).join(b, "item_id")
+    return rows.select("doc_id", "item_id", F.round(lexical_similarity(F.col("text"), F.col("b")), 6).alias("score"))
+
+
+@query("h3_tokens_baseline", f"select doc_id, cast(len({TOK.format('text')}) as integer) as n from documents")
+def h3(spark, d):
+    from ..functions.text import tokens_baseline
+
+    return table(spark, d, "documents").select("doc_id", F.size(tokens_baseline(F.col("text"))).alias("n"))
+
+
+@query("h13_retrieval_text", "select doc_id, md5(trim('{' || source || '} [' || lang || ' — ' || source || '] ' || trim(text))) as h from documents")
+def h13(spark, d):
+    from ..functions.text import retrieval_text
+
+    return table(spark, d, "documents").select("doc_id", F.md5(retrieval_text(F.col("source"), F.array("lang", "lang"), F.array("source"), F.col("text"))).alias("h"))
