@@ -98,6 +98,14 @@ def lexical_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when((F.length(short) >= 8) & F.contains(long, short), inside).otherwise(overlap)
 
 
+def overlap_similarity(both: Column, m: Column, n: Column, a: Column, b: Column) -> Column:
+    """H4 from the number of common tokens, the sizes of the token sets and the normal forms of the texts."""
+    small, large = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    overlap = F.when(F.least(m, n) > 0, F.greatest(both / (m + n - both), 0.92 * both / F.least(m, n))).otherwise(0.0)
+    inside = (small >= 8) & (F.contains(a, b) | F.contains(b, a))
+    return F.when(small == 0, 0.0).when(a == b, 1.0).when(inside, F.least(F.lit(0.99), 0.88 + 0.11 * small / large)).otherwise(overlap)
+
+
 def cjk_count(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{CJK}]", ""))
 

@@ -77,3 +77,31 @@ def map_hits(hits: DataFrame, by_hash: DataFrame, by_index: DataFrame) -> DataFr
     known = hits.join(h, hits["hash"] == h["h"], "left").join(i, hits["index"] == i["i"], "left")
     out = known.withColumn("id", F.coalesce("id_h", "id_i")).where("id is not null")
     return out.groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+
+
+#: Families of embedding models and what their names contain; the first that fits counts.
+FAMILIES = {"jina": r"\bjina\b", "e5": r"(^|[/_-])e5([-_]|$)", "bge": r"\bbge([-_]|\b)", "qwen3": r"qwen.*embedding", "voyage": "voyage", "openai": "text-embedding-|openai"}
+#: What the family's queries and documents begin with.
+PREFIXES = {"e5": ("query: ", "passage: ")}
+
+
+def family(model: Column) -> Column:
+    """The family of a model by its name."""
+    low, out = F.lower(F.coalesce(model, F.lit(""))), None
+    for name, pattern in FAMILIES.items():
+        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
+    return out.otherwise("generic")
+
+
+def role_text(text: Column, model: Column, role: Column) -> Column:
+    """The text with its family's prefix for queries or documents, once."""
+    t, out = F.trim(F.coalesce(text, F.lit(""))), None
+    for name, (query, document) in PREFIXES.items():
+        prefix = F.when(role == "query", query).when(role == "document", document).otherwise("")
+        out = F.when((t != "") & (family(model) == name) & ~t.startswith(prefix), F.concat(prefix, t))
+    return F.coalesce(out, t)
+
+
+def calibrated_threshold(requested: Column, own: Column) -> Column:
+    """An index's own threshold, where it has a valid one, else the one asked for."""
+    return F.when(own.between(0, 1), own).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(requested, F.lit(0.0)))))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import lexical_similarity, normalize_baseline, tokens_baseline
+from ..functions.text import normalize_baseline, overlap_similarity, tokens_baseline
 
 LEXICAL, SEMANTIC, FLOOR = 0.78, 0.84, 0.16
 
@@ -42,12 +42,18 @@ def candidates(ops: DataFrame, records: DataFrame, threshold: float = LEXICAL) -
 
 def best_match(ops: DataFrame, records: DataFrame, threshold: float = LEXICAL) -> DataFrame:
     """(op_id, record_id, score): each operation's best record at or above the threshold."""
-    o = ops.select(F.col("id").alias("op_id"), F.col("text").alias("ot"), *([F.col("entity_ids").alias("oe")] if "entity_ids" in ops.columns else []))
-    r = records.select(F.col("id").alias("record_id"), F.col("text").alias("rt"), *([F.col("entity_ids").alias("re")] if "entity_ids" in records.columns else []))
+    # each text is put in normal form and tokenised once, not once per pair
+    def side(rows: DataFrame, id_: str, s: str) -> DataFrame:
+        own = [F.col("entity_ids").alias(f"{s}e")] if "entity_ids" in rows.columns else []
+        return rows.select(F.col("id").alias(id_), normalize_baseline(F.col("text")).alias(f"{s}x"), tokens_baseline(F.col("text")).alias(f"{s}t"), *own)
+
+    o, r = side(ops, "op_id", "o"), side(records, "record_id", "r")
     rows = candidates(ops, records, threshold).join(o, "op_id").join(r, "record_id")
     if "oe" in rows.columns and "re" in rows.columns:  # one name, other entities: no duplicate
         rows = rows.where((F.coalesce(F.size("oe"), F.lit(0)) < 1) | (F.coalesce(F.size("re"), F.lit(0)) < 1) | F.arrays_overlap("oe", "re"))
-    scored = rows.withColumn("score", lexical_similarity(F.col("ot"), F.col("rt"))).where(F.col("score") >= threshold)
+    both = F.size(F.array_intersect("ot", "rt"))
+    score = overlap_similarity(both, F.size("ot"), F.size("rt"), F.col("ox"), F.col("rx"))
+    scored = rows.withColumn("score", score).where(F.col("score") >= threshold)
     return scored.groupBy("op_id").agg(F.max_by("record_id", F.struct(F.round("score", 9), -F.col("record_id"))).alias("record_id"), F.max("score").alias("score"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_baseline, tokens_baseline
+from ..functions.text import normalize_baseline, overlap_similarity, tokens_baseline
 
 
 def segment_untitled(texts: DataFrame, limit: int = 8, preview: int = 180) -> DataFrame:
@@ -127,14 +127,6 @@ def build_chunks(entries: DataFrame, most: int = 420) -> DataFrame:
     return rows.withColumn("retrieval_text", full).withColumn("hash", F.xxhash64("entry_id", "chunk", "retrieval_text"))
 
 
-def _similarity(both: Column, m: Column, n: Column, a: Column, b: Column) -> Column:
-    """H4 from the number of common tokens, the sizes of the token sets and the normal forms of the texts."""
-    small, large = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    overlap = F.when(F.least(m, n) > 0, F.greatest(both / (m + n - both), 0.92 * both / F.least(m, n))).otherwise(0.0)
-    inside = (small >= 8) & (F.contains(a, b) | F.contains(b, a))
-    return F.when(small == 0, 0.0).when(a == b, 1.0).when(inside, F.least(F.lit(0.99), 0.88 + 0.11 * small / large)).otherwise(overlap)
-
-
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 12, least: float = 0.05) -> DataFrame:
     """Chunks of the query's world by similarity of body and retrieval text; candidates share a token with the query.
 
@@ -147,7 +139,7 @@ def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 12, least: floa
     pairs = one.join(two, ["world_id", "token"]).groupBy("query_id", "entry_id", "chunk").agg(F.sum("ib").alias("ib"), F.sum("ir").alias("ir"))
     rows = pairs.join(q.select("query_id", "q", F.size("qt").alias("nq")), "query_id").join(c.select("entry_id", "chunk", "constant", "ord", "b", "r", F.size("bt").alias("nb"), F.size("rt").alias("nr")), ["entry_id", "chunk"])
     col = F.col
-    score = F.greatest(_similarity(col("ib"), col("nq"), col("nb"), col("q"), col("b")), 0.88 * _similarity(col("ir"), col("nq"), col("nr"), col("q"), col("r"))) + F.when(col("constant"), 0.015).otherwise(0.0)
+    score = F.greatest(overlap_similarity(col("ib"), col("nq"), col("nb"), col("q"), col("b")), 0.88 * overlap_similarity(col("ir"), col("nq"), col("nr"), col("q"), col("r"))) + F.when(col("constant"), 0.015).otherwise(0.0)
     order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("constant").desc(), F.col("ord").asc_nulls_last(), "entry_id", "chunk")
     return rows.withColumn("score", score).where(F.col("score") >= least).withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 

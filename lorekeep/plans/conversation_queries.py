@@ -179,3 +179,18 @@ def g22(spark, d):
 @query("g25_cost_metering", f"select role as kind, count(*) as calls, cast(sum(length(text)) as bigint) as characters, cast(sum({EST.format('text')}) as bigint) as tokens from conversations group by role")
 def g25(spark, d):
     return table(spark, d, "conversations").groupBy(F.col("role").alias("kind")).agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("text")).alias("characters"), F.sum(X.estimate_tokens(F.col("text"))).alias("tokens"))
+
+
+@query("p13_provider_error", "select doc_id, doc_id % 9 = 0 as is_error from documents")
+def p13(spark, d):
+    """Summaries of which every ninth is a failed call's message."""
+    text = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("[API error] HTTP "), 400 + F.col("doc_id") % 200, F.lit(": quota exceeded"))).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", X.is_provider_error(text).alias("is_error"))
+
+
+@query("p14_starved_json", "select doc_id, doc_id % 4 = 1 as starved from documents")
+def p14(spark, d):
+    """Whole objects, objects cut short, and prose."""
+    whole = F.to_json(F.struct("doc_id", "lang"))
+    text = F.when(F.col("doc_id") % 4 == 0, whole).when(F.col("doc_id") % 4 == 1, F.left(whole, F.length(whole) - 3)).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", X.is_starved_json(text).alias("starved"))

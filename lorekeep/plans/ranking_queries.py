@@ -236,3 +236,15 @@ def g21(spark, d):
     must = v.where("status = 'active' and (importance = 'critical' or kind in ('commitment', 'relation'))")
     block = v.where("status = 'active' and conv_id % 5 <> 0 and version > 1").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("block"))
     return evaluate.key_retention(must, block).withColumn("retention", F.round("retention", 6))
+
+
+MODELS = ["org/e5-large", "BAAI/bge-m3", "text-embedding-3", "other-model"]
+
+
+@query("h14_role_text", "select conv_id, turn, (['e5','bge','openai','generic'])[turn % 4 + 1] as family, md5(case when turn % 4 = 0 and trim(text) <> '' then case role when 'user' then 'query: ' else 'passage: ' end else '' end || trim(text)) as h from conversations")
+def h14(spark, d):
+    """Each turn as input of some model: users' turns are queries, the others documents."""
+    c = table(spark, d, "conversations")
+    model = F.element_at(F.array(*[F.lit(m) for m in MODELS]), (F.col("turn") % 4 + 1).cast("int"))
+    role = F.when(F.col("role") == "user", "query").otherwise("document")
+    return c.select("conv_id", "turn", dense.family(model).alias("family"), F.md5(dense.role_text(F.col("text"), model, role)).alias("h"))
