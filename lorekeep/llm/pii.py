@@ -122,7 +122,8 @@ def detect(documents: DataFrame, **kw) -> DataFrame:
 
 def redact(documents: DataFrame, **kw) -> DataFrame:
     """The documents, each span of their texts replaced by its kind in angle brackets; other columns stay."""
-    learnt = marked(documents, []).select(F.explode("_labels").alias("x"))
+    # only texts with a label can teach anything, so the others are not searched twice
+    learnt = marked(documents.where(F.col("text").rlike(LABEL)), []).select(F.explode("_labels").alias("x"))
     patterns = learn(learnt.select("x.label", "x.value", "x.kind"), **kw)
     rows = marked(documents, [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_all")])
     rows = _added(rows.withColumn("_md5", F.md5("_text")), "_md5", patterns)
