@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .derived import expand_evidence
+from .lexical import bm25, top_k
 from .rank import pack_prefix
 
 GROUPS = ("location", "present", "condition", "commitment", "knowledge", "other")
@@ -84,6 +86,21 @@ def lookup_requests(messages: DataFrame, marker: str = "@lookup", most: int = 3)
     return rows.select("conv_id", "msg", "n", field("对象|object").alias("object"), field("事项|item|query").alias("item")).where("object <> '' or item <> ''")
 
 
+def resolve_lookups(requests: DataFrame, docs: DataFrame, turns: DataFrame, cold: DataFrame, per_request: int = 2, most: int = 4) -> DataFrame:
+    """Each request's best memories by BM25 with their evidence, every memory once per message, a few in all.
+
+    requests: as of lookup_requests; docs: (conv_id, id, text, turn, source_hash).
+    """
+    asked = requests.withColumn("query_id", F.concat_ws("/", "conv_id", "msg", "n")).withColumn("text", F.concat_ws(" ", "object", "item"))
+    hits = top_k(bm25(asked.select("query_id", "conv_id", "text"), docs.select("conv_id", "id", "text")), per_request)
+    rows = hits.drop("conv_id").join(asked.select("query_id", "conv_id", "msg", "n"), "query_id")
+    first = F.row_number().over(Window.partitionBy("conv_id", "msg", "id").orderBy("n", "rank"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "msg").orderBy("n", "rank", "id"))
+    few = rows.withColumn("f", first).where("f = 1").withColumn("place", place).where(F.col("place") <= most)
+    evidence = expand_evidence(docs.select("conv_id", "id", "turn", "source_hash"), turns, cold)
+    return few.join(evidence, ["conv_id", "id"]).where("source <> 'missing'").select("conv_id", "msg", "n", "id", "source", "text")
+
+
 def relevant_baseline(core: DataFrame, similar: DataFrame, chars: int) -> DataFrame:
     """A few core records, then the most similar ones, each once, up to so many characters. Both: (conv_id, id, text, rank)."""
     rows = core.withColumn("part", F.lit(0)).unionByName(similar.withColumn("part", F.lit(1)))

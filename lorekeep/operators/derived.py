@@ -42,6 +42,12 @@ def unfold(folded: DataFrame, level1: DataFrame) -> DataFrame:
     return folded.join(level1.select("conv_id", "summary_id").distinct(), ["conv_id", "summary_id"], "left_anti")
 
 
+def unfold_all(folded: DataFrame, turns: DataFrame) -> DataFrame:
+    """All folded turns that are still what they were when folded; moved or edited ones stay out."""
+    now = turns.select("conv_id", "turn", F.xxhash64("text").alias("fingerprint"))
+    return folded.join(now, ["conv_id", "turn", "fingerprint"], "left_semi")
+
+
 def fold_status(folded: DataFrame, turns: DataFrame) -> DataFrame:
     """Per conversation folded turns, and those that moved or changed since."""
     now = turns.select("conv_id", "turn", F.xxhash64("text").alias("now"))

@@ -207,3 +207,25 @@ def pack_skip(rows: DataFrame, by: str, order: list[Column], size: str, budget:
     step = lambda s, x: F.when(x["n"] <= s["left"], F.struct((s["left"] - x["n"]).alias("left"), F.concat(s["out"], F.array(x)).alias("out"))).otherwise(s)
     packed = ranked.groupBy(by).agg(items.alias("items")).select(by, F.explode(F.aggregate("items", state, step, lambda s: s["out"])).alias("x"))
     return packed.select(by, F.col("x.key").alias(key), F.col("x._r").alias("rank"), F.col("x.n").alias("size"))
+
+
+def pack_layers(rows: DataFrame, by: str, layer: str, order: list[Column], size: str, budget: int, shares: tuple[float, ...] = (0.25, 0.45, 0.30), key: str = "id") -> DataFrame:
+    """Layers 0, 1, 2 share a budget; what a layer leaves is added to the next one's share. Rows that don't fit are skipped."""
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(by, layer).orderBy(*order)))
+    kind = rows.schema[key].dataType.simpleString()
+    none = F.expr(f"cast(array() as array<struct<_r:int,n:bigint,key:{kind}>>)")
+    one = F.struct("_r", F.col(size).cast("long").alias("n"), F.col(key).alias("key"))
+    packed = ranked.groupBy(by).agg(*[F.array_sort(F.collect_list(F.when(F.col(layer) == i, one))).alias(f"_{i}") for i in range(len(shares))])
+
+    def step(s: Column, x: Column) -> Column:
+        fits = F.struct((s["left"] - x["n"]).alias("left"), F.concat(s["out"], F.array(x)).alias("out"))
+        return F.when(x["n"] <= s["left"], fits).otherwise(s)
+
+    spare = F.lit(0).cast("long")
+    for i, share in enumerate(shares):
+        packed = packed.withColumn(f"_p{i}", F.aggregate(f"_{i}", F.struct((spare + F.lit(int(budget * share))).alias("left"), none.alias("out")), step))
+        spare = F.col(f"_p{i}.left")
+    every = F.flatten(F.array(*[F.col(f"_p{i}.out") for i in range(len(shares))]))
+    layers = F.flatten(F.array(*[F.array_repeat(F.lit(i), F.size(F.col(f"_p{i}.out"))) for i in range(len(shares))]))
+    out = packed.select(by, F.explode(F.arrays_zip(layers.alias("layer"), every.alias("x"))).alias("z"))
+    return out.select(by, F.col("z.layer").alias(layer), F.col("z.x.key").alias(key), F.col("z.x.n").alias("size"))

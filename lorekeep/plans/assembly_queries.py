@@ -153,3 +153,23 @@ def r11(spark, d):
     s = w.select(F.col("world_id").alias("source_id"), "world_id")
     r = e.select("revision_id", F.col("world_id").alias("source_id")).distinct()
     return M.cascade(w.where("world_id like '%7'"), w, s, r, e)["entries"].select("entry_id")
+
+
+@query("j12_resolve_lookups")
+def j12b(spark, d):
+    """Every assistant turn asks for what the first words of its user's turn name; earlier turns are the memories."""
+    t = turns(spark, d)
+    pairs = T.pair_turns(t)
+    text = F.concat(F.lit("@lookup\nobject: "), F.substring_index("user_text", " ", 4), F.lit("\nitem: "), F.substring_index("user_text", " ", -4))
+    requests = A.lookup_requests(pairs.where("user_text <> ''").select("conv_id", F.col("assistant_turn").alias("msg"), F.regexp_replace(text, r"\n(?!item:|object:)", " ").alias("text")))
+    docs = t.select("conv_id", F.col("turn").alias("id"), "text", "turn", F.xxhash64("text").alias("source_hash"))
+    return A.resolve_lookups(requests, docs, t, t.where("turn % 2 = 0")).withColumn("text", F.md5("text"))
+
+
+@query("t14_budget_layers")
+def t14b(spark, d):
+    """Constants, relevant and older turns of each conversation within one budget."""
+    from ..operators.rank import pack_layers
+
+    t = turns(spark, d).select("conv_id", F.col("turn").alias("id"), (F.col("turn") % 3).cast("int").alias("layer"), F.length("text").alias("size"))
+    return pack_layers(t, "conv_id", "layer", [F.desc("id")], "size", 1500)

@@ -54,6 +54,12 @@ def j14b(spark, d):
     return D.fold_status(D.fold_turns(turns(spark, d), level1(spark, d)), now)
 
 
+@query("j14_unfold_all", FOLD + " select * from folded where turn % 5 <> 0")
+def j14c(spark, d):
+    now = turns(spark, d).withColumn("text", F.when(F.col("turn") % 5 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    return D.unfold_all(D.fold_turns(turns(spark, d), level1(spark, d)), now).select("conv_id", "turn", "summary_id")
+
+
 TREE = f"""with {TURNS}, q as (select *, row_number() over (partition by conv_id order by turn) - 1 as i from t),
 tree as (select conv_id, 1 as level, i // 2 as node, min(turn) as first_turn, max(turn) as last_turn, count(*) as n_turns from q group by conv_id, i // 2 having count(*) = 2
  union all select conv_id, 2, i // 4, min(turn), max(turn), count(*) from q group by conv_id, i // 4 having count(*) = 4 union all select conv_id, 3, i // 8, min(turn), max(turn), count(*) from q group by conv_id, i // 8 having count(*) = 8)"""

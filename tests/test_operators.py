@@ -88,6 +88,12 @@ def test_budgets(spark):
     assert sorted(values(rank.pack_skip(rows, "q", [F.col("id")], "n", 10), "id")) == [(1,), (3,)]
 
 
+def test_budget_layers(spark):
+    rows = spark.createDataFrame([(1, 0, 1, 30), (1, 0, 2, 10), (1, 1, 3, 60), (1, 2, 4, 31), (1, 2, 5, 29)], "q int, layer int, id int, n int")
+    got = sorted(values(rank.pack_layers(rows, "q", "layer", [F.col("id")], "n", 100), "layer", "id"))
+    assert got == [(0, 2), (1, 3), (2, 5)]  # 25, then 45 + 15, then 30 + 0
+
+
 def test_rerank_without_spread(spark):
     f = {"coverage": 1.0, "phrase": 0.0, "slot": 0.0, "entity": 0, "recency": 1.0, "importance": 0.6, "breadth": 0.3}
     rows = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.4)], "query_id int, id int, score double").withColumns({k: F.lit(v) for k, v in f.items()})
