@@ -3,8 +3,10 @@
 The references are learnt from all documents with a language: per language, the histogram of character classes over all
 its texts and the shares of its common words, those of at least ``COMMON`` of its words (exact counts; candidates are
 found first, by a rule that cannot miss any). A text's own two histograms are compared with those of each language by
-Jensen-Shannon distance (base 2, 0 to 1); the text fails when even its nearest language lies beyond a limit. Texts of
-fewer than ``LEAST_WORDS`` words are too short to judge by shares and pass the divergence rule.
+Jensen-Shannon distance (base 2, 0 to 1); the text fails when even its nearest language lies beyond a limit. The limit of
+the words is that language's own: the upper fence of the distances of all its texts (third quartile plus ``FENCE`` times
+the distance of the quartiles), from exact counts in ``STEPS`` steps of distance. Texts of fewer than ``LEAST_WORDS``
+words are too short to judge by shares and pass the divergence rule; a language none of whose texts is judged has no limit.
 
 Defined results: null, empty and blank texts have zero counts and fail the base rule; with no references (an empty table,
 no language given) the divergence rule passes every text; repeated rows get the same result; other columns are ignored.
@@ -18,17 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import durable, texts_of
 
 CLASSES = ("lower", "upper", "other letter", "accented", "digit", "space", "punctuation", "symbol", "other")
 COMMON, LEAST_WORDS = 0.004, 50
-#: Largest distances to the nearest language: by character classes, by common words.
-CLASS_LIMIT, WORD_LIMIT = 0.3, 0.75
-#: Languages with at least this share of all words have a reference, so there are 200 references at most.
-LANGUAGE_SHARE = 0.005
+#: Largest distance to the nearest language by character classes; the fence and the steps of the distances by words.
+CLASS_LIMIT, FENCE, STEPS = 0.3, 1.5, 10_000
 CHUNK = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 STRIP = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -134,13 +134,12 @@ def learn(documents: DataFrame, common: float = COMMON) -> dict[str, tuple[np.nd
 
     found = durable(rows.mapInArrow(heavy, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "quality-words")
     totals = found.where("word is null").select("lang", F.col("n").alias("total"))
-    whole = totals.agg(F.sum("total")).first()[0] or 0
-    # at most 1 / LANGUAGE_SHARE languages with at most 2 / common candidates each reach the driver
-    big = {r["lang"]: r["total"] for r in totals.where(F.col("total") >= LANGUAGE_SHARE * whole).where("total > 0").collect()}
+    # every language with a word; each has at most 2 / common candidates
+    big = {r["lang"]: r["total"] for r in totals.where("total > 0").collect()}
     if not big:
         return {}
     candidates: dict[str, set[bytes]] = {lang: set() for lang in big}
-    kept = found.join(F.broadcast(totals.where(F.col("total") >= LANGUAGE_SHARE * whole)), "lang").where(F.col("word").isNotNull() & (2 * F.col("n") >= common * F.col("total")))
+    kept = found.join(totals, "lang").where(F.col("word").isNotNull() & (2 * F.col("n") >= common * F.col("total")))
     for r in kept.select("lang", "word").collect():
         candidates[r["lang"]].add(bytes(r["word"]))
 
@@ -159,64 +158,116 @@ def learn(documents: DataFrame, common: float = COMMON) -> dict[str, tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in words], t) for i, t in enumerate((pa.string(), pa.binary(), pa.int32()))] + [pa.array(list(words.values()), pa.int64())], names=["lang", "word", "class", "n"])
 
     counts = rows.mapInArrow(exact, "lang string, word binary, class int, n long").groupBy("lang", "word", "class").agg(F.sum("n").alias("n")).collect()
-    out = {}
-    for lang, n in sorted(big.items()):
-        classes = np.zeros(len(CLASSES))
-        words = {}
-        for r in counts:
-            if r["lang"] == lang:
-                if r["word"] is None:
-                    classes[r["class"]] = r["n"]
-                elif r["word"] and r["n"] >= common * n:
-                    words[bytes(r["word"])] = r["n"] / n
-        out[lang] = classes / max(1.0, classes.sum()), words
-    return out
-
-
-def assess(documents: DataFrame, references: dict, least_words: int = LEAST_WORDS, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """The base counts, both distances to the nearest language (null if not judged) and the verdict of every document."""
+    out = {lang: (np.zeros(len(CLASSES)), {}) for lang in sorted(big)}
+    for r in counts:
+        classes, words = out[r["lang"]]
+        if r["word"] is None:
+            classes[r["class"]] = r["n"]
+        elif r["word"] and r["n"] >= common * big[r["lang"]]:
+            words[bytes(r["word"])] = r["n"] / big[r["lang"]]
+    return {lang: (classes / max(1.0, classes.sum()), words) for lang, (classes, words) in out.items()}
+
+
+class WordShares:
+    """The languages' shares of common words by word, so that a text meets only the entries of its own words."""
+
+    def __init__(self, references: dict):
+        entries: dict[bytes, list[tuple[int, float]]] = {}
+        self.rest = np.ones(len(references))
+        for j, lang in enumerate(sorted(references)):
+            for w, share in references[lang][1].items():
+                entries.setdefault(w, []).append((j, share))
+                self.rest[j] -= share
+        self.rest = np.maximum(self.rest, 0.0)
+        self.at = {w: i for i, w in enumerate(sorted(entries))}
+        held = [entries[w] for w in self.at]
+        self.start = np.concatenate(([0], np.cumsum([len(x) for x in held]))).astype(np.int64)
+        self.lang = np.array([j for x in held for j, _ in x], np.int64)
+        self.share = np.array([s for x in held for _, s in x], np.float64)
+
+    def distances(self, found: dict[int, int], n: int) -> np.ndarray:
+        """Jensen-Shannon distance to each language of a text of n words, found: the counts of its common words.
+
+        A word that only one side has adds its share, so the sum is 2 but for the words of both sides.
+        """
+        total = np.full(len(self.rest), 2.0)
+        if found:
+            ids = np.fromiter(found, np.int64, len(found))
+            size = self.start[ids + 1] - self.start[ids]
+            at = np.repeat(self.start[ids] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            p = np.repeat(np.fromiter(found.values(), np.float64, len(found)) / n, size)
+            np.add.at(total, self.lang[at], shared_part(p, self.share[at]))
+        rest = 1 - sum(found.values()) / n
+        if rest > 0:
+            total += np.where(self.rest > 0, shared_part(rest, np.where(self.rest > 0, self.rest, 1.0)), 0.0)
+        return np.sqrt(np.clip(total / 2, 0, 1))
+
+
+def shared_part(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    m = (p + q) / 2
+    return p * np.log2(p / m) + q * np.log2(q / m) - p - q
+
+
+def distances(documents: DataFrame, references: dict, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The base counts, the nearest language's distances and name by words (null if not judged) and the own language's distance by words."""
     langs = sorted(references)
-    vocabulary = sorted({w for _, words in references.values() for w in words})
-    at = {w: i for i, w in enumerate(vocabulary)}
     classes = np.array([references[x][0] for x in langs]).reshape(len(langs), len(CLASSES))
-    words = np.zeros((len(langs), len(vocabulary) + 1))
-    for j, lang in enumerate(langs):
-        for w, share in references[lang][1].items():
-            words[j, at[w]] = share
-        words[j, -1] = max(0.0, 1 - words[j, :-1].sum())
-    sent = documents.sparkSession.sparkContext.broadcast((at, classes, words))
+    sent = documents.sparkSession.sparkContext.broadcast((langs, {x: j for j, x in enumerate(langs)}, classes, WordShares(references)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, classes, words = sent.value
+        langs, place, classes, words = sent.value
         known: dict[bytes, int] = {}
         for batch in batches:
             rows = []
-            for text in texts_of(batch):
+            for text, lang in zip(texts_of(batch), texts_of(batch, "lang")):
                 counts, distinct, ids = base_counts(text)
                 n, repeats = counts[0], counts[4]
                 failed = n < 10 or 100 * repeats > 20 * n
-                near = None
-                if n >= least_words and len(classes):
+                judged = (None,) * 4
+                if n >= least_words and langs:
                     c = class_counts(text)
-                    mine = np.zeros(len(at) + 1)
+                    mine: dict[int, int] = {}
                     if len(known) > 300_000:
                         known.clear()
-                    for w, m in zip(distinct, np.bincount(ids)):
+                    for w, m in zip(distinct, np.bincount(ids).tolist()):
                         k = known.get(w)
                         if k is None:
-                            k = known[w] = at.get(normal(w), -1)
-                        mine[k] += m
-                    near = float(js_distance(c / c.sum(), classes).min()), float(js_distance(mine / n, words).min())
-                diverges = near is not None and (near[0] > class_limit or near[1] > word_limit)
-                rows.append((*counts, failed, not failed and not diverges, *(near or (None, None))))
-            cols = list(zip(*rows)) or [()] * 9
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=NAMES)
-
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+                            k = known[w] = words.at.get(normal(w), -1)
+                        if k >= 0:
+                            mine[k] = mine.get(k, 0) + m
+                    d = words.distances(mine, n)
+                    j = int(np.argmin(d))
+                    judged = float(js_distance(c / c.sum(), classes).min()), float(d[j]), langs[j], float(d[place[lang]]) if lang in place else None
+                rows.append((*counts, failed, *judged, lang))
+            cols = list(zip(*rows)) or [()] * 11
+            kinds = [pa.int64()] * 5 + [pa.bool_()] + [pa.float64()] * 2 + [pa.string(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", *MEASURED])
+
+    lang = F.col("lang").cast("string").alias("lang") if "lang" in documents.columns else F.lit(None).cast("string").alias("lang")
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, near string, own_distance double, lang string"
+    return documents.select(F.col("doc_id").cast("long"), "text", lang).mapInArrow(run, schema)
+
+
+def word_limits(measured: DataFrame, fence: float = FENCE) -> DataFrame:
+    """(near, word_limit): every language's upper fence over all its judged texts that pass the base rule, by exact counts in steps."""
+    step = F.floor(F.col("own_distance") * STEPS).cast("int")
+    bins = measured.where("own_distance is not null and not base_failed").groupBy("lang", step.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("b"))
+    ranked = bins.withColumns({"k": below, "m": F.sum("n").over(Window.partitionBy("lang"))})
+    quartile = lambda q: F.min(F.when(F.col("k") >= q * F.col("m"), (F.col("b") + 1) / STEPS))
+    both = ranked.groupBy(F.col("lang").alias("near")).agg(quartile(0.25).alias("low"), quartile(0.75).alias("high"))
+    return both.select("near", (F.col("high") + fence * (F.col("high") - F.col("low"))).alias("word_limit"))
+
+
+def assess(documents: DataFrame, references: dict, least_words: int = LEAST_WORDS, class_limit: float = CLASS_LIMIT, fence: float = FENCE) -> DataFrame:
+    """The base counts, both distances to the nearest language (null if not judged) and the verdict of every document."""
+    measured = durable(distances(documents, references, least_words), "quality-distances")
+    rows = measured.join(F.broadcast(word_limits(measured, fence)), "near", "left")  # a row a language, as the references
+    diverges = F.coalesce((F.col("class_distance") > class_limit) | (F.col("word_distance") > F.col("word_limit")), F.lit(False))
+    return rows.withColumn("kept", ~F.col("base_failed") & ~diverges).select(*NAMES)
 
 
+MEASURED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "near", "own_distance", "lang"]
 NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"]
 
 
