@@ -5,7 +5,9 @@ orders are continuation counts, that is, numbers of distinct left neighbours. Co
 and trigram; their number is that of the distinct trigrams. The models are sorted key arrays with one log probability per
 language. A text goes to the language of the lowest cross-entropy per character; its score is the posterior from the
 entropies and the text's length, and ``rejected`` marks texts whose best entropy lies above the language's calibrated
-limit (mean plus ``REJECT`` deviations of training texts' entropies).
+limit (mean plus ``REJECT`` deviations of the entropies of all training texts that go to the language). A language to
+which fewer than ``FEW`` training texts go takes the limit of all training texts together; with fewer in all there is
+nothing to calibrate by and only texts without a language are rejected.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any training text every text is
 ``und``; ties go to the first language by name; repeated rows get the same result; an empty table gives an empty result;
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .base import texts_of
 
 DISCOUNT, REJECT = 0.75, 4.0
+#: Training texts that a language needs for a limit of its own.
+FEW = 10
 #: Characters gathered before a task sums its trigrams up.
 CHUNK = 4_000_000
 _letters: list[np.ndarray] = []
@@ -185,13 +189,22 @@ def predict(documents: DataFrame, models: Models, limits: dict[str, tuple[float,
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
+def calibrate(scored: DataFrame, langs: list[str], few: int = FEW) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of the entropies by language, from the predictions of all training texts."""
+    parts = scored.where("cross_entropy is not null").groupBy("lang_pred").agg(F.count(F.lit(1)), F.avg("cross_entropy"), F.stddev_pop("cross_entropy")).collect()
+    whole = sum(n for _, n, _, _ in parts)
+    if whole < few:
+        return {}
+    mean = sum(n * m for _, n, m, _ in parts) / whole
+    rest = mean, float(np.sqrt(sum(n * (d * d + (m - mean) ** 2) for _, n, m, d in parts) / whole))
+    own = {lang: (m, d) for lang, n, m, d in parts if n >= few}
+    return {lang: own.get(lang, rest) for lang in langs}
+
+
 def identify(documents: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
     """Predictions for every document, learnt from those with a language outside the held-out fold."""
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold
     training = documents.where(~out).select(F.col("lang").cast("string").alias("lang"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     models = learn(training)
-    # the limits of rejection: entropies of a sixteenth of the training texts, chosen by hash
-    some = training.where("lang is not null").where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(16)) == 0)
-    seen = predict(some, models).groupBy("lang_pred").agg(F.avg("cross_entropy"), F.stddev_pop("cross_entropy")).collect()
-    limits = {r[0]: (r[1], r[2]) for r in seen if r[1] is not None}
+    limits = calibrate(predict(training.where("lang is not null and text is not null"), models), models.langs)
     return predict(documents, models, limits).select("doc_id", out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
