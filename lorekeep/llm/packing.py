@@ -7,8 +7,8 @@ A level's tasks get a bounded number of bins; merging ends when a level no longe
 
 Defined results: a null or empty text is a document of one token, the end-of-text id; repeated rows are packed each on
 its own; ties go to the smaller document id and piece; an empty table gives an empty result; other columns are ignored.
-Token ids are those of the ``tokenizers`` file; tiktoken, which reads the same vocabulary as ranks, computes them faster,
-and texts that it cannot take go to ``tokenizers`` itself.
+Token ids are those of the ``tokenizers`` file, its added tokens included; tiktoken, which reads the same vocabulary as
+ranks, computes them faster, and texts that hold an added token or that it cannot take go to ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import bisect
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,21 +45,24 @@ def encoder(path: str, ranks: str):
         from tokenizers import Tokenizer
 
         exact = Tokenizer.from_file(path)
-        exact.encode_special_tokens = True
+        added = [t.content for t in exact.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as f:
             vocabulary = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={}), exact
-    fast, exact = _loaded[path]
+        _loaded[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={}), exact, added
+    fast, exact, added = _loaded[path]
 
-    def ids(text: str) -> bytes:
-        import numpy as np
+    def plain(text: str) -> bytes:
+        return np.asarray(exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def ids(text: str) -> bytes:
+        if any(t in text for t in added):
+            return plain(text)
         try:
             return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         except BaseException as e:  # the fast library panics on some inputs
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
-            return np.asarray(exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return plain(text)
 
     return ids
 
