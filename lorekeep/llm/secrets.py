@@ -2,12 +2,16 @@
 
 Base spans: assignments to credential names, access key ids and long hexadecimal runs. The battery looks at the other long
 tokens (20 characters or more of ``[A-Za-z0-9+/_=-]``): it infers the encoding from the characters (decimal, hexadecimal,
-base 32, base 64) and tests the token's symbols, as numbers of that alphabet, for uniformity (chi-squared, over as many
-equal bins as leave five symbols in each), for runs about the middle and for serial correlation. A token passes if three
-times its least p-value is at least ``ALPHA``. Long identifiers and words can look uniform when short, so discovery is
-controlled by length: under ordinary writing neighbouring characters change their class (lower, upper, digit, other) with
-probability ``CHANGE``, and a token's evidence is the tail probability of its changes among its length; Benjamini-Hochberg
-over all tokens of the corpus, in steps of a twentieth of a decade, bounds the share of false discoveries by ``FDR``.
+one case of letters, base 32, base 64) and tests the token's symbols, as numbers of that alphabet, for uniformity
+(chi-squared, over as many equal bins as leave five symbols in each), for runs about the middle and for serial
+correlation. A token passes if three times its least p-value is at least ``ALPHA``. Long identifiers and words can look
+uniform when short, so discovery is controlled by length: a token's evidence is the likelihood of its symbols under the
+uniform alphabet of its encoding against that under writing, a model of character pairs counted over all shorter tokens of
+the corpus. The pairs of writing are smoothed towards a change of class (lower, upper, digit, other) with probability
+``CHANGE``; from the 20th character on, each that follows also counts against the share of tokens that end there. The ratio
+is a martingale while a token of writing goes on, so 1 / ratio is a p-value (Ville). Tokens of one case are scored as lower
+case, so that capitals alone are no evidence. Benjamini-Hochberg over all long tokens of the corpus, in steps of a
+twentieth of a decade, bounds the share of false discoveries by ``FDR``.
 
 Defined results: null and empty texts have no spans; repeated rows count as often as they are there; with no long tokens
 nothing is added; an empty table gives an empty result; other columns are ignored.
@@ -15,6 +19,7 @@ nothing is added; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +33,16 @@ VALUE = r"^(?:(?i)password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"'
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 LONG = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+#: What a token consists of, by class, and the weight of the smoothing, in pairs.
+SIGNS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-")
+PRIOR = 50.0
 #: Alphabets of the encodings, by which a symbol's number is its place.
 ALPHABETS = {
     "decimal": "0123456789",
     "hex": "0123456789abcdef",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
@@ -55,10 +66,47 @@ def _phi(z: Column) -> Column:
 
 
 def encoding(v: Column) -> Column:
-    return F.when(v.rlike("^[0-9]+$"), "decimal").when(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(v.rlike("^[A-Z2-7]+=*$"), "base32").otherwise("base64")
-
-
-def battery(tokens: DataFrame) -> DataFrame:
+    return F.when(v.rlike("^[0-9]+$"), "decimal").when(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(v.rlike("^[a-z]+$"), "lower").when(v.rlike("^[A-Z]+$"), "upper").when(v.rlike("^[A-Z2-7]+=*$"), "base32").otherwise("base64")
+
+
+def writing(texts: DataFrame) -> list[float]:
+    """Nats of each pair of signs under writing, then of going on after each sign, from all tokens under LEAST in column _text."""
+    signs = "".join(SIGNS)
+    k = len(signs)
+    words = texts.select(F.explode(F.split("_text", r"[^A-Za-z0-9+/_=-]+")).alias("w")).where(F.length("w").between(1, LEAST - 1)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    chars = F.filter(F.split("w", ""), lambda c: c != "")
+    pairs = F.zip_with(chars, F.slice(F.concat(chars, F.array(F.lit(""))), F.lit(2), F.length("w")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    counts = words.select("n", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).collect()  # at most 67 x 68 rows
+    cls = np.repeat(np.arange(len(SIGNS)), [len(x) for x in SIGNS])
+    same = cls[:, None] == cls[None, :]
+    prior = np.where(same, (1 - CHANGE) / same.sum(1, keepdims=True), CHANGE / (~same).sum(1, keepdims=True))
+    seen, ends = np.zeros((k, k)), np.zeros(k)
+    for a, b, n in counts:
+        if b:
+            seen[signs.index(a), signs.index(b)] = n
+        else:
+            ends[signs.index(a)] = n
+    inner = seen.sum(1)
+    pair = np.log((seen + PRIOR * prior) / (inner + PRIOR)[:, None])
+    on = np.log((inner + PRIOR) / (inner + ends + PRIOR))
+    return [*pair.ravel().tolist(), *on.tolist()]
+
+
+def evidence(v: Column, encoding: Column, size: Column, model: list[float]) -> Column:
+    """The p-value of a token under writing: the inverse ratio of its likelihoods, 1 at most."""
+    signs = "".join(SIGNS)
+    nats = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # folded to one literal
+    one = F.when(encoding == "upper", F.lower(v)).otherwise(v)
+    at = F.transform(F.filter(F.split(one, ""), lambda c: c != ""), lambda c: F.instr(F.lit(signs), c) - 1)
+    n = F.size(at)
+    pairs = F.zip_with(F.slice(at, F.lit(1), n - 1), F.slice(at, F.lit(2), n - 1), lambda a, b: F.get(nats, a * len(signs) + b))
+    on = F.transform(F.slice(at, F.lit(LEAST), F.greatest(n - LEAST, F.lit(0))), lambda a: F.get(nats, F.lit(len(signs) ** 2) + a))
+    add = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    ratio = -F.log(size) * (n - 1) - add(pairs) - add(on)
+    return F.exp(-F.least(F.greatest(ratio, F.lit(0.0)), F.lit(700.0)))
+
+
+def battery(tokens: DataFrame, model: list[float]) -> DataFrame:
     """Rows with a token in v get: encoding, p_uniform, p_runs, p_serial, p_random and p_text (evidence against writing)."""
     alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), F.col("encoding"))
     symbols = F.regexp_replace(F.when(F.col("encoding") == "hex", F.lower("v")).otherwise(F.translate("v", "-_", "+/")), "=", "")
@@ -87,13 +135,8 @@ def battery(tokens: DataFrame) -> DataFrame:
     product = F.aggregate(F.zip_with(F.slice("_x", 1, F.size("_x") - 1), F.slice("_x", 2, F.size("_x") - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda s, x: s + x)
     t = t.withColumn("p_serial", 2 * (1 - _phi(F.abs(product) / (spread * F.sqrt(F.col("_n") - 1)))))
     t = t.withColumn("p_random", F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial")))
-    kinds = F.transform(F.filter(F.split("v", ""), lambda c: c != ""), lambda c: F.when(c.rlike("[0-9]"), 1).when(c.rlike("[a-z]"), 2).when(c.rlike("[A-Z]"), 3).otherwise(4))
-    t = t.withColumn("_k", kinds)
-    changes = F.aggregate(F.zip_with(F.slice("_k", 1, F.size("_k") - 1), F.slice("_k", 2, F.size("_k") - 1), lambda a, b: (a != b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    m = F.size("_k") - 1
-    z = (changes - 0.5 - m * CHANGE) / F.sqrt(m * CHANGE * (1 - CHANGE))
-    t = t.withColumn("p_text", 1 - _phi(z))
-    return t.drop("_a", "_w", "_n", "_size", "_x", "_b", "_u", "_n1", "_n2", "_k")
+    t = t.withColumn("p_text", evidence(F.col("v"), F.col("encoding"), F.col("_size"), model))
+    return t.drop("_a", "_w", "_n", "_size", "_x", "_b", "_u", "_n1", "_n2")
 
 
 def discovery_limit(tested: DataFrame, fdr: float = FDR) -> float:
@@ -115,7 +158,8 @@ def detect(documents: DataFrame, alpha: float = ALPHA, fdr: float = FDR) -> Data
     rows = rows.withColumn("_long", free_of(find("_text", LONG, "random", 3, F.col("_text").rlike(LONG)), F.col("_base")))
     rows = durable(rows.drop("_text").withColumn("_row", F.monotonically_increasing_id()), "secrets-marked")
     each = rows.where(F.size("_long") > 0).select("_row", F.explode("_long").alias("x")).withColumn("v", F.col("x.v"))
-    tested = durable(battery(each).select("_row", "x", "p_random", "p_text"), "secrets-tested")
+    model = writing(documents.select(F.col("text").alias("_text")))
+    tested = durable(battery(each, model).select("_row", "x", "p_random", "p_text"), "secrets-tested")
     limit = discovery_limit(tested, fdr)
     more = tested.where((F.col("p_random") >= alpha) & (F.col("p_text") <= limit)).groupBy("_row").agg(F.collect_list("x").alias("_y"))
     out = rows.join(more, "_row", "left").withColumn("_more", F.coalesce("_y", F.slice("_base", 1, 0)))
