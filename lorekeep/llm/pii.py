@@ -1,14 +1,19 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations only.
 
-Base spans (e-mail, IP, card and phone, by format) are the seeds. A lexical pattern is a label: a word followed by ``:``,
-``=`` or ``#`` and a value. Labels and values form a bipartite graph, scored for ``ROUNDS`` rounds over the whole corpus:
-a label's confidence in a kind is the scores of its distinct values of that kind over its number of distinct values plus
-one, so labels that mostly precede other things stay low; a value's score is its best label's confidence, 1 for seeds.
-Labels of confidence ``CONFIDENT`` or more with ``SEEDS`` or more distinct seed values are patterns; the values that they
-precede and that have a digit or an @ and five characters or more are further spans of the kind.
-
-Defined results: null and empty texts have no spans; repeated rows get equal spans but count once as evidence (distinct
-values count); an empty table gives an empty result; other columns are ignored, or kept as they are by ``redact``.
+Base spans (e-mail, IP, card and phone, by format) are the seeds. Candidates are the runs that could be identifiers: a token
+with a digit or an @, or groups of digits with blanks, brackets, dots or dashes between them, five characters or more. A
+lexical pattern is what stands beside a candidate, in plain words of any text: the word before it, the two words before it, or
+the word after it (lower case, delimiters dropped). Patterns and candidates form a bipartite graph, scored in rounds over the
+whole corpus: the trust of a pattern in a kind is its conditional frequency, the share of all the pattern's occurrences in
+the corpus (beside a candidate or not; plus one) that are beside an instance of the kind. A pattern of trust ``CONFIDENT``
+or more with ``SUPPORT`` or more distinct instances is trusted; the candidates beside it become instances of the kind and
+count like seeds in the next round, so they can lead to patterns that no seed is beside. The rounds go on until no pattern
+joins the trusted ones: the least fixed point, whatever the order of rows. A candidate that no base span touches and that a
+trusted pattern is beside is a further span, of the kind of the pattern with most trust (then by order of kinds).
+
+Defined results: null and empty texts have no spans; repeated rows get equal spans and count in frequencies as often as they
+are there, but not in the number of distinct instances; a context does not reach over another candidate; an empty table gives
+an empty result; other columns are ignored, or kept as they are by ``redact``.
 """
 
 from __future__ import annotations
@@ -20,13 +25,25 @@ from .base import durable
 from .spans import SPAN, find, free_of, listed
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, CONFIDENT, SEEDS = 2, 0.7, 3
+CONFIDENT, SUPPORT, SHORTEST = 0.5, 3, 5
+#: Pattern keys and rows with further spans that are broadcast at most; beyond that they are joined.
+BROADCAST_KEYS = 500_000
 # The expressions of the contract, written so that no text makes them scan a run of characters more than once.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-LABEL = r"(?<![\p{L}_-])\p{L}[\p{L}_-]*+[:=#]\x20{0,3}+[\"']?+[^\x20\x09-\x0D\"',;]++"
+SIGN = r"[^\x20\x09-\x0D\"'<>(),;:=#|\[\]{}]"
+LETTER = SIGN[:-1] + "0-9@]"
+CANDIDATE = rf"(?<!{SIGN})(?:[+(]{{0,2}}[0-9]++(?:[\x20()./-]{{1,3}}+[0-9]++)++(?![\p{{L}}@_])|{LETTER}*+[0-9@](?:{SIGN}*[\p{{L}}\p{{N}}])?)"
+WORD, BREAK, GAP = r"[\p{L}\p{M}'_-]", r"[^\p{L}\p{M}'_-]", r"[^0-9\p{L}\p{M}'_-]{0,6}"
+#: Places of a pattern: the word before, the two words before, the word after; group 1 is the text.
+PLACES = {
+    "before": rf"(?s)^(?:.*{BREAK})?({WORD}++){GAP}$",
+    "two before": rf"(?s)^(?:.*{BREAK})?({WORD}++{BREAK}++{WORD}++){GAP}$",
+    "after": rf"^{GAP}+({WORD}++)",
+}
+FOUND = "struct<s:bigint,e:bigint,v:string,kind:string,beside:array<struct<place:string,words:string>>>"
 BYTES = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 
 
@@ -54,79 +71,116 @@ def base_spans(text: str) -> list[Column]:
     ]
 
 
-def labelled(text: str, base: Column) -> Column:
-    """Each value with a label: (label, value, s, e, kind of the base span that begins in it or null)."""
-    found = find(text, LABEL, "label", 9, F.col(text).rlike(LABEL))
+def candidates(text: str, base: Column) -> Column:
+    """Array of (s, e, v, kind, beside): places and value of each candidate; kind: the seed's that begins in it, or null; beside: its patterns."""
+    t = F.col(text)
+    row = "struct<s:bigint,e:bigint,v:string,g:string,h:string>"
+    both = F.array(F.struct(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("m"), F.split(t, CANDIDATE, -1).alias("g")))
+    gaps = lambda y, k: F.slice(y["g"], F.lit(k), F.size(y["m"]))
+    parts = lambda y: F.zip_with(y["m"], F.zip_with(gaps(y, 1), gaps(y, 2), lambda g, h: F.struct(g.alias("g"), h.alias("h"))), lambda v, x: F.struct(v.alias("v"), x["g"].alias("g"), x["h"].alias("h")))
+    none = F.expr(f"cast(array() as array<{row}>)")
+
+    def add(a: Column, x: Column) -> Column:
+        s = a["p"] + F.length(x["g"])
+        one = F.struct(s.alias("s"), (s + F.length(x["v"])).alias("e"), x["v"].alias("v"), x["g"].alias("g"), x["h"].alias("h")).cast(row)
+        return F.struct((s + F.length(x["v"])).alias("p"), F.concat(a["out"], F.array(one)).alias("out"))
+
+    start = F.struct(F.lit(0).cast("long").alias("p"), none.alias("out"))
+    placed = F.get(F.transform(both, lambda y: F.aggregate(parts(y), start, add, lambda a: a["out"])), F.lit(0))
 
     def one(x: Column) -> Column:
-        value = F.regexp_extract(x["v"], r"[:=#]\x20{0,3}[\"']?(.*)$", 1)
-        s = x["e"] - F.length(value)
-        seed = F.filter(base, lambda b: (b["s"] >= s) & (b["s"] < x["e"]))
-        kind = F.when(F.size(seed) > 0, F.element_at(seed, 1)["kind"])
-        return F.struct(F.lower(F.regexp_extract(x["v"], r"^[\p{L}_-]+", 0)).alias("label"), F.coalesce(F.when(F.size(seed) > 0, F.element_at(seed, 1)["v"]), value).alias("value"), s.alias("s"), x["e"].alias("e"), kind.alias("kind"))
+        seed = F.filter(base, lambda b: (b["s"] >= x["s"]) & (b["s"] < x["e"]))
+        words = {k: F.regexp_replace(F.regexp_extract(F.lower(x["h" if k == "after" else "g"]), rx, 1), f"{BREAK}+", " ") for k, rx in PLACES.items()}
+        beside = F.filter(F.array(*[F.struct(F.lit(k).alias("place"), w.alias("words")) for k, w in words.items()]), lambda y: y["words"] != "")
+        first = F.get(seed, F.lit(0))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.coalesce(first["v"], x["v"]).alias("v"), first["kind"].alias("kind"), beside.alias("beside"))
 
-    return F.transform(found, one)
+    out = F.filter(F.transform(placed, one), lambda x: x["kind"].isNotNull() | (F.length(x["v"]) >= SHORTEST))
+    return F.when(t.rlike("[0-9@]"), out).otherwise(F.expr(f"cast(array() as array<{FOUND}>)"))
 
 
 def marked(documents: DataFrame, keep: list[Column]) -> DataFrame:
-    """The kept columns with by_kind (one array of spans each), base (all base spans) and labels."""
+    """The kept columns with _text, by kind one array of spans each, _base (all base spans), _found (candidates) and _row."""
     rows = documents.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     rows = rows.withColumns({f"_{k}": c for k, c in zip(KINDS, base_spans("_text"))})
     rows = rows.withColumn("_base", F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])))
-    return rows.withColumn("_labels", labelled("_text", F.col("_base")))
+    return rows.withColumn("_found", candidates("_text", F.col("_base"))).withColumn("_row", F.monotonically_increasing_id())
 
 
-def learn(labels: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, seeds: int = SEEDS) -> DataFrame | None:
-    """(label, kind) of the trusted patterns, from rows (label, value, kind); None if no label precedes enough seeds."""
-    edges = durable(labels.groupBy("label", "value").agg(F.max("kind").alias("seed")), "pii-edges")
-    counts = edges.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    seeded = edges.where("seed is not null").groupBy("label", F.col("seed").alias("kind")).agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= seeds)
-    if seeded.isEmpty():
-        return None
-    seed = edges.where("seed is not null").groupBy("value").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0))
-    scored = seed
-    for _ in range(rounds):
-        mass = edges.join(scored, "value").groupBy("label", "kind").agg(F.sum("score").alias("mass"))
-        trust = mass.join(counts, "label").select("label", "kind", (F.col("mass") / (F.col("n") + 1)).alias("trust"))
-        met = edges.join(trust.where("trust >= 0.3"), "label").groupBy("value").agg(F.max_by("kind", "trust").alias("kind"), F.max("trust").alias("score"))
-        scored = seed.unionByName(met.join(seed, "value", "left_anti"))
-    best = trust.join(seeded, ["label", "kind"]).where(F.col("trust") >= confident).groupBy("label").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
-    return durable(best, "pii-patterns")
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_KEYS else df
+
 
+def occurrences(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, total): how often each of the words and pairs of neighbouring words whose hash is in keys occurs in column text."""
+    words = texts.select(F.regexp_extract_all(F.lower("text"), F.lit(f"{WORD}+"), F.lit(0)).alias("w")).where(F.size("w") > 0)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))
+    each = words.select(F.explode(F.concat(F.transform("w", lambda x: F.xxhash64(x)), F.when(F.size("w") > 1, pairs).otherwise(F.expr("cast(array() as array<bigint>)")))).alias("key"))
+    return each.join(_small(keys, keys.count()), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("total"))
 
-def _found(x: Column, kind: Column) -> Column:
-    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind).cast("int") - 1
-    return F.struct(x["s"].alias("s"), order.alias("k"), kind.alias("kind"), x["e"].alias("e"), x["value"].alias("v")).cast(SPAN)
 
+def learn(found: DataFrame, texts: DataFrame, confident: float = CONFIDENT, support: int = SUPPORT) -> DataFrame | None:
+    """(place, words, kind, trust) of the trusted patterns at the fixed point, None if there are none.
 
-def _added(rows: DataFrame, key: str, patterns: DataFrame | None) -> DataFrame:
-    """rows with _more: the spans that patterns add. key: a column that tells rows apart, or equal texts."""
+    found: rows of (x: a candidate); texts: the texts that they are from, in column text.
+    """
+    each = found.select("x.v", "x.kind", F.explode("x.beside").alias("b")).select(F.struct("b.place", "b.words").alias("p"), "v", "kind")
+    edges = durable(each.groupBy("p", "v").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")), "pii-edges")
+    seen = F.sum("n")
+    # patterns that no promotion could make trusted go first, so that only the others are counted in the corpus
+    could = F.greatest(*[F.sum(F.when(F.coalesce(F.col("kind") == k, F.lit(True)), F.col("n")).otherwise(0)) for k in KINDS])
+    viable = edges.groupBy("p").agg(F.count(F.lit(1)).alias("values"), could.alias("could"), seen.alias("seen")).where((F.col("values") >= support) & (F.col("could") >= confident * (F.col("seen") + 1)))
+    viable = durable(viable.select("p", "could", F.xxhash64("p.words").alias("key")), "pii-viable")
+    if viable.isEmpty():
+        return None
+    totals = occurrences(texts, viable.select("key").distinct())
+    viable = durable(viable.join(totals, "key").where(F.col("could") >= confident * (F.col("total") + 1)).select("p", "total"), "pii-totals")
+    edges = durable(edges.join(_small(viable, viable.count()), "p"), "pii-graph")
+    seeds, blank = edges.where("kind is not null"), edges.where("kind is null").drop("kind")
+    instances, before = seeds.select("v", "kind").distinct(), 0
+    while True:
+        met = seeds.unionByName(blank.join(instances, "v").select(*edges.columns))
+        mass = met.groupBy("p", "kind").agg(F.sum("n").alias("mass"), F.count(F.lit(1)).alias("values"), F.max("total").alias("total"))
+        trusted = mass.where((F.col("values") >= support) & (F.col("mass") >= confident * (F.col("total") + 1)))
+        trusted = durable(trusted.select("p", "kind", (F.col("mass") / (F.col("total") + 1)).alias("trust")), "pii-trusted")
+        now = trusted.count()
+        if now == before:  # trusted patterns only join, so none did
+            break
+        before = now
+        promoted = blank.select("p", "v").join(_small(trusted, now), "p").select("v", "kind")
+        instances = durable(seeds.select("v", "kind").unionByName(promoted).distinct(), "pii-instances")
+    return trusted.select("p.place", "p.words", "kind", "trust") if now else None
+
+
+def _added(rows: DataFrame, patterns: DataFrame | None) -> DataFrame:
+    """rows (of marked) with _more: the spans that patterns add."""
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
     if patterns is None:
-        return rows.withColumn("_more", F.expr(f"cast(array() as array<{SPAN}>)"))
-    p = patterns.select(F.col("label").alias("_label"), F.col("kind").alias("_kind"))
-    each = rows.where(F.size("_labels") > 0).select(key, F.explode("_labels").alias("x"))
-    each = each.where(F.col("x.kind").isNull() & F.col("x.value").rlike("[0-9@]") & (F.length("x.value") >= 5)).join(p, F.col("x.label") == F.col("_label"))
-    more = each.select(F.col(key).alias("_key"), _found(F.col("x"), F.col("_kind")).alias("y")).groupBy("_key").agg(F.array_sort(F.collect_set("y")).alias("_y"))
-    return rows.join(more, rows[key] == more["_key"], "left").withColumn("_more", free_of(F.coalesce("_y", F.expr(f"cast(array() as array<{SPAN}>)")), F.col("_base"))).drop("_key", "_y")
+        return rows.withColumn("_more", none)
+    each = rows.where(F.size("_found") > 0).select("_row", F.explode("_found").alias("x")).where("x.kind is null").select("_row", "x", F.explode("x.beside").alias("b"))
+    p = _small(patterns.select(F.struct("place", "words").alias("b"), "kind", "trust"), patterns.count())
+    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
+    best = each.join(p, "b").groupBy("_row", "x.s", "x.e", "x.v").agg(F.max_by("kind", F.struct("trust", -order)).alias("kind"))
+    span = F.struct(F.col("s"), order.alias("k"), F.col("kind"), F.col("e"), F.col("v")).cast(SPAN)
+    more = durable(best.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("_y")), "pii-more")  # the candidates of one text
+    return rows.join(_small(more, more.count()), "_row", "left").withColumn("_more", free_of(F.coalesce("_y", none), F.col("_base"))).drop("_y")
 
 
 def detect(documents: DataFrame, **kw) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more) of every document."""
-    rows = marked(documents, [F.col("doc_id").cast("long").alias("doc_id")]).drop("_text").withColumn("_row", F.monotonically_increasing_id())
-    rows = durable(rows, "pii-marked")
-    patterns = learn(rows.select(F.explode("_labels").alias("x")).select("x.label", "x.value", "x.kind"), **kw)
-    rows = _added(rows, "_row", patterns)
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more, n_spans) of every document."""
+    rows = durable(marked(documents, [F.col("doc_id").cast("long").alias("doc_id")]).drop("_text"), "pii-marked")
+    patterns = learn(rows.select(F.explode("_found").alias("x")), documents.select("text"), **kw)
+    rows = _added(rows, patterns)
     counts = [F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.concat("_base", "_more")).alias("spans"), F.size("_more").cast("long").alias("n_more"))
+    more, base = F.size("_more").cast("long"), F.size("_base").cast("long")
+    return rows.select("doc_id", *counts, F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.concat("_base", "_more")).alias("spans"), more.alias("n_more"), (base + more).alias("n_spans"))
 
 
 def redact(documents: DataFrame, **kw) -> DataFrame:
     """The documents, each span of their texts replaced by its kind in angle brackets; other columns stay."""
-    # only texts with a label can teach anything, so the others are not searched twice
-    learnt = marked(documents.where(F.col("text").rlike(LABEL)), []).select(F.explode("_labels").alias("x"))
-    patterns = learn(learnt.select("x.label", "x.value", "x.kind"), **kw)
-    rows = marked(documents, [F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_all")])
-    rows = _added(rows.withColumn("_md5", F.md5("_text")), "_md5", patterns)
+    own = F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]) if len(documents.columns) > 1 else F.lit(None)
+    rows = durable(marked(documents, [own.alias("_own"), F.col("text").isNull().alias("_null")]), "pii-redact")
+    rows = _added(rows, learn(rows.select(F.explode("_found").alias("x")), rows.select(F.col("_text").alias("text")), **kw))
 
     def put(a: Column, x: Column) -> Column:
         text = F.col("_text")
@@ -137,5 +191,5 @@ def redact(documents: DataFrame, **kw) -> DataFrame:
     start = F.struct(F.lit(0).cast("long").alias("p"), F.lit("").alias("out"))
     spans = F.array_sort(F.concat("_base", "_more"))
     clean = F.aggregate(spans, start, put, lambda a: F.concat(a["out"], F.substr(F.col("_text"), a["p"] + 1)))
-    text = F.when(F.size("_base") + F.size("_more") > 0, clean).otherwise(F.col("_all.text"))
-    return rows.select(*[text.alias("text") if c == "text" else F.col(f"_all.`{c}`") for c in documents.columns])
+    text = F.when(F.col("_null"), F.lit(None)).when(F.size("_base") + F.size("_more") > 0, clean).otherwise(F.col("_text"))
+    return rows.select(*[text.alias("text") if c == "text" else F.col(f"_own.`{c}`") for c in documents.columns])

@@ -14,9 +14,9 @@ def find(text: str, regex: str, kind: str, order: int, hint: Column) -> Column:
     hint: a condition that holds for every text with a match; others aren't searched. The places follow from the lengths
     of the matches and of what lies between them. Regexes here have no empty matches.
     """
-    m = F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0))
-    gaps = F.transform(F.split(F.col(text), regex, -1), lambda g: F.length(g).cast("long"))
-    pairs = F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda v, g: F.struct(v.alias("v"), g.alias("g"), F.length(v).cast("long").alias("n")))
+    # an array of one, so that matches and gaps are computed once
+    both = F.array(F.struct(F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0)).alias("m"), F.split(F.col(text), regex, -1).alias("g")))
+    pair = lambda v, g: F.struct(v.alias("v"), F.length(g).cast("long").alias("g"), F.length(v).cast("long").alias("n"))
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     state = F.struct(F.lit(0).cast("long").alias("p"), none.alias("out"))
 
@@ -25,7 +25,8 @@ def find(text: str, regex: str, kind: str, order: int, hint: Column) -> Column:
         one = F.struct(s.alias("s"), F.lit(order).alias("k"), F.lit(kind).alias("kind"), (s + x["n"]).alias("e"), x["v"].alias("v"))
         return F.struct((s + x["n"]).alias("p"), F.concat(a["out"], F.array(one.cast(SPAN))).alias("out"))
 
-    return F.when(hint, F.aggregate(pairs, state, add, lambda a: a["out"])).otherwise(none)
+    found = F.transform(both, lambda x: F.aggregate(F.zip_with(x["m"], F.slice(x["g"], F.lit(1), F.size(x["m"])), pair), state, add, lambda a: a["out"]))
+    return F.when(hint, F.get(found, F.lit(0))).otherwise(none)
 
 
 def listed(spans: Column) -> Column:
