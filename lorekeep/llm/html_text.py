@@ -1,14 +1,23 @@
 """Main text of web pages, from streaming parser events and text-to-tag ratios.
 
-The standard library's parser turns a page into lines: runs of text between block boundaries, each with its number of
-tags, its share of link text and the containers it lies in. Lines in menus, headers, footers, sidebars, notices, adverts,
-forms, reader comments and the like are left out, by element or by a word of class, id or role. The text-to-tag ratios of
-the others are smoothed by a Gaussian; lines above a threshold (mean of the smoothed ratios, less half a deviation) are
-the content cluster, which picks the region: the innermost article, main or body-level container that holds most of the
-cluster's text. All lines of that region that are not boilerplate are the main text, in page order, short ones included.
-
-Defined results: null, empty and textless pages give an empty string; tags cut off at the end of a page are dropped;
-repeated rows give equal results; an empty table gives an empty result; other columns are ignored.
+The standard library's parser turns a page into elements (with the end tags that HTML leaves out) and lines: runs of text
+between block boundaries, each with its number of tags and its share of link text. Text that no reader sees as text (scripts,
+styles, controls, hidden parts) makes no lines. The text-to-tag ratios of the lines (link text counts as none) are smoothed
+by a Gaussian; lines whose smoothed ratio reaches a threshold (mean less half a deviation) are the content cluster, and an
+element's mass is the text of the cluster in it.
+
+An element is boilerplate if it is a menu, sidebar, footer, page header or form, if a class, id or role names it so, or if it
+is a list of links (three or more that make up most of its text) outside an article. Names count by whole tokens, or as parts
+joined by ``-`` or ``_`` if no part turns the meaning round (``no-sidebar``, ``with-related``). Except for comments and menus,
+what holds the ``article`` or ``main`` of most mass, or most of the page's mass, is no boilerplate whatever its name. If
+nothing is left, names do not count.
+
+The region is the smallest element with ``SHARE`` of the mass that is left, widened to the outermost ``main`` or ``article``
+around it; of a region that holds articles with that share beside other things, the articles. All its lines outside the
+boilerplate are the main text, in page order, short ones and links included, and so is the top heading before it.
+
+Defined results: null, empty and textless pages give an empty string; a tag cut off at the end of a page is dropped; repeated
+rows give equal results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,115 +31,279 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SKIP = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object embed svg canvas audio video map dialog menu".split())
+#: Elements without text of the page.
+SILENT = frozenset("script style template noscript link meta".split())
+UNREAD = frozenset("script style noscript template head title button select option optgroup datalist textarea input iframe object embed svg canvas audio video map dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-REGION = frozenset(("article", "main"))
-#: Words of class, id or role that mark what is not the article.
-MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios consent cookie cookies disqus disclaimer footer header "
-    "masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted recommended related replies reply share sharing "
-    "sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo search alert".split()
+ARTICLE = frozenset(("article", "main"))
+#: Elements that are boilerplate by themselves; the first ones whatever they hold.
+MENUS, FRAMES = frozenset(("nav", "aside", "footer")), frozenset(("header", "form"))
+#: Words of class, id or role that mark what is not the article; the first ones whatever the element holds.
+COMMENTS = frozenset("comment comments comentarios disqus reply replies respond".split())
+MARKS = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies disclaimer footer header masthead menu modal nav navbar navigation newsletter "
+    "notice notification pagination pager popup promo promoted recommended related share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo search alert".split()
 )
-TOKEN = re.compile(r"[A-Za-z]+")
+#: Words beside a mark that turn its meaning round.
+TURNED = frozenset("no not non with without has have free off open closed enabled disabled hide hides inside layout default".split())
+#: What a start tag ends if it is open: the elements, and those that they are looked for within.
+ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr",), ("table",)),
+    "tbody": (("thead", "tbody", "tfoot"), ("table",)),
+    "tfoot": (("thead", "tbody"), ("table",)),
+    "option": (("option",), ("select", "datalist")),
+}
+#: Elements over which an end tag of another one does not reach.
+CELLS = frozenset(("td", "th", "table", "caption"))
+PARTS, TOKEN = re.compile(r"[A-Za-z0-9]+"), re.compile(r"\S+")
 CUT_OFF = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
-SIGMA = 1.0
+WRAPPERS = ARTICLE | frozenset(("#page", "html", "body", "div", "section", "td"))
+SIGMA, SHARE, LINKS = 1.0, 0.9, 0.7
+
+
+def named(value: str, marks: frozenset[str]) -> bool:
+    """Whether one of the tokens of a class, id or role is a mark."""
+    for token in TOKEN.findall(value.lower()):
+        parts = PARTS.findall(token)
+        if token in marks or not marks.isdisjoint(parts) and TURNED.isdisjoint(parts):
+            return True
+    return False
+
 
+class Page(HTMLParser):
+    """The page's elements and lines.
 
-class Lines(HTMLParser):
-    """Collects (text, tags, link characters, region) of each line outside the boilerplate."""
+    tags, parents: name and parent's number of each element, 0 being the whole page; kinds: 2 for comments and menus, 1 for
+    other boilerplate, 0 for the rest; by_name: whether only a name says so; lines: (text, tags, link characters, element).
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
+        self.tags, self.parents, self.kinds, self.by_name = ["#page"], [-1], [0], [False]
+        self.links: list[int] = [0]
         self.lines: list[tuple[str, int, int, int]] = []
-        self.stack: list[tuple[str, bool, int]] = []  # element, boilerplate, region
+        self.stack: list[int] = [0]
         self.parts: list[str] = []
-        self.tags = self.links = self.regions = 0
+        self.seen = self.linked = self.unread = self.anchors = 0
 
-    def _end_line(self) -> None:
+    def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.links, self.stack[-1][2] if self.stack else 0))
-            self.tags = 0
+            self.lines.append((text, self.seen, self.linked, self._block()))
+            self.seen = 0
         self.parts.clear()
-        self.links = 0
+        self.linked = 0
+
+    def _block(self) -> int:
+        return next(e for e in reversed(self.stack) if self.tags[e] not in INLINE)
+
+    def _pop(self, at: int) -> None:
+        """Ends the open elements from the place at of the stack on."""
+        for e in self.stack[at:]:
+            self.unread -= self.kinds[e] == 3
+            self.anchors -= self.tags[e] == "a"
+        del self.stack[at:]
+
+    def _end(self, names: tuple[str, ...], within: frozenset[str] | tuple[str, ...]) -> None:
+        for at in range(len(self.stack) - 1, 0, -1):
+            tag = self.tags[self.stack[at]]
+            if tag in names:
+                self._pop(at)
+                return
+            if tag in within:
+                return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags += 1
-        if tag not in INLINE:
-            self._end_line()
+        self.seen += 1
+        if tag not in INLINE and tag not in SILENT:
+            self.end_line()
+            if tag not in UNREAD:
+                self._end(("p",), CELLS)
         elif tag == "br":
             self.parts.append(" ")
+        if tag in ENDS:
+            self._end(*ENDS[tag])
+        elif tag == "a":
+            for at in range(len(self.stack) - 1, 0, -1):  # links do not nest
+                open_tag = self.tags[self.stack[at]]
+                if open_tag == "a":
+                    self._pop(at)
+                if open_tag not in INLINE:
+                    break
+            self.links[self._block()] += 1
         if tag in VOID:
             return
-        if tag == "p" and self.stack and self.stack[-1][0] == "p":
-            self.stack.pop()
-        _, off, region = self.stack[-1] if self.stack else ("", False, 0)
-        if tag in REGION:
-            self.regions += 1
-            region = self.regions
-        if not off:
-            off = tag in SKIP or tag == "header" and region == 0 or tag not in REGION and tag not in ("html", "body") and self._marked(attrs)
-        self.stack.append((tag, off, region))
+        kind, by_name = self._kind(tag, attrs)
+        self.tags.append(tag)
+        self.parents.append(self.stack[-1])
+        self.kinds.append(kind)
+        self.by_name.append(by_name)
+        self.links.append(0)
+        self.stack.append(len(self.tags) - 1)
+        self.unread += kind == 3
+        self.anchors += tag == "a"
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.handle_starttag(tag, attrs)  # HTML has no such tags but for void elements
 
     @staticmethod
-    def _marked(attrs: list) -> bool:
+    def _kind(tag: str, attrs: list) -> tuple[int, bool]:
+        """(3 unread, 2 comments or menu, 1 other boilerplate, 0 none; whether by name only)."""
+        if tag in UNREAD:
+            return 3, False
+        kind = 2 if tag in MENUS else 1 if tag in FRAMES else 0
+        by_name = False
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-            if name in ("class", "id", "role") and value and not MARKS.isdisjoint(w.lower() for w in TOKEN.findall(value)):
-                return True
-        return False
+                return 3, False
+            if kind < 2 and name in ("class", "id", "role") and value and tag not in ARTICLE and tag not in ("html", "body"):
+                found = 2 if named(value, COMMENTS) else 1 if named(value, MARKS) else 0
+                kind, by_name = max(kind, found), by_name or found > kind
+        return kind, by_name
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
-        if tag not in INLINE:
-            self._end_line()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                break
-            if self.stack[k][0] in REGION and tag in ("p", "b", "i", "a", "span", "em", "strong"):
-                break
+        self.seen += 1
+        if tag in INLINE:
+            for at in range(len(self.stack) - 1, 0, -1):
+                open_tag = self.tags[self.stack[at]]
+                if open_tag == tag:
+                    self._pop(at)
+                    break
+                if open_tag not in INLINE:
+                    break
+            return
+        if tag in SILENT:
+            self._end((tag,), ())
+            return
+        self.end_line()
+        if tag in ("html", "body"):  # what follows is still of the body
+            return
+        names = ("h1", "h2", "h3", "h4", "h5", "h6") if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else (tag,)
+        self._end(names, () if tag in CELLS else CELLS)
 
     def handle_data(self, data: str) -> None:
-        if not (self.stack and self.stack[-1][1]):
+        if not self.unread:
             self.parts.append(data)
-            if any(s[0] == "a" for s in self.stack[-3:]):
-                self.links += len(data)
+            if self.anchors:
+                self.linked += len(data)
 
 
-def content_lines(lines: list[tuple[str, int, int, int]]) -> list[str]:
-    """The texts of the content region's lines."""
-    if not lines:
-        return []
+def cluster(lines: list[tuple[str, int, int, int]]) -> np.ndarray:
+    """True for the lines whose smoothed text-to-tag ratio reaches the threshold."""
     ratio = np.array([max(0, len(t) - links) / max(1, tags) for t, tags, links, _ in lines])
     reach = np.arange(-3, 4)
     kernel = np.exp(-0.5 * (reach / SIGMA) ** 2)
     smooth = np.convolve(np.pad(ratio, 3, mode="edge"), kernel / kernel.sum(), mode="valid")
-    cluster = smooth >= smooth.mean() - 0.5 * smooth.std()
-    mass: dict[int, int] = {}
-    for (text, _, links, region), inside in zip(lines, cluster):
-        if inside:
-            mass[region] = mass.get(region, 0) + max(0, len(text) - links)
-    named = {k: v for k, v in mass.items() if k}
-    best = max(named or mass, key=lambda k: (mass[k], -k))
-    if named and mass.get(0, 0) > 4 * mass[best]:  # an article element that is a teaser beside the real text
-        best = 0
-    if best == 0 and not named:  # no container: from the first to the last line of the cluster
-        at = np.flatnonzero(cluster)
-        return [t for t, _, links, _ in lines[at[0] : at[-1] + 1] if 2 * links <= len(t)]
-    return [t for t, _, _, region in lines if region == best]
+    return smooth >= smooth.mean() - 0.5 * smooth.std()
+
+
+def sums(page: Page, values: dict[int, float] | list[float]) -> np.ndarray:
+    """Of each element, the values of it and of all elements in it. Parents come before their children."""
+    total = np.zeros(len(page.tags))
+    for e, v in values.items() if isinstance(values, dict) else enumerate(values):
+        total[e] += v
+    for e in range(len(page.tags) - 1, 0, -1):
+        total[page.parents[e]] += total[e]
+    return total
+
+
+def content(page: Page) -> list[str]:
+    """The texts of the main region's lines."""
+    lines = page.lines
+    if not lines:
+        return []
+    inside = cluster(lines)
+    text, linked, mass = {}, {}, {}
+    for (t, _, links, e), near in zip(lines, inside):
+        text[e] = text.get(e, 0) + len(t)
+        linked[e] = linked.get(e, 0) + min(links, len(t))
+        mass[e] = mass.get(e, 0) + (max(0, len(t) - links) if near else 0)
+    text, linked, every = sums(page, text), sums(page, linked), sums(page, mass)
+    anchors = sums(page, page.links)
+    # the article or main element of most mass outside comments and menus, and all that holds it
+    shut = np.zeros(len(page.tags), bool)
+    for e in range(1, len(page.tags)):
+        shut[e] = shut[page.parents[e]] or page.kinds[e] >= 2
+    chief = max((e for e in range(1, len(page.tags)) if page.tags[e] in ARTICLE and not shut[e]), key=lambda e: every[e], default=0)
+    holds = {0}
+    while chief > 0:
+        holds.add(chief)
+        chief = page.parents[chief]
+
+    def off(names: bool) -> np.ndarray:
+        """Of each element, whether it is or lies in boilerplate. names: whether those marked only by name count."""
+        out, in_article = np.zeros(len(page.tags), bool), np.zeros(len(page.tags), bool)
+        for e in range(1, len(page.tags)):
+            p, kind = page.parents[e], page.kinds[e]
+            in_article[e] = in_article[p] or page.tags[e] in ARTICLE
+            if page.tags[e] == "header" and not page.by_name[e] and in_article[p] or page.by_name[e] and not names:
+                kind = 0
+            needed = e in holds or 2 * every[e] > every[0]
+            if kind == 1 and needed:
+                kind = 0
+            if not kind and not needed and not in_article[e] and page.tags[e] not in INLINE:
+                kind = int(anchors[e] >= 3 and linked[e] > LINKS * text[e])
+            out[e] = out[p] or kind > 0
+        return out
+
+    for names in (True, False):
+        out = off(names)
+        left = [not out[e] for *_, e in lines]
+        if any(left):
+            break
+    else:
+        return []
+    mass = {}
+    for (t, _, links, e), near, stays in zip(lines, inside, left):
+        if stays:
+            mass[e] = mass.get(e, 0) + (max(0, len(t) - links) if near else 0)
+    if not sum(mass.values()):  # only links or lines outside the cluster are left: all text counts
+        mass = {}
+        for (t, *_, e), stays in zip(lines, left):
+            mass[e] = mass.get(e, 0) + (len(t) if stays else 0)
+    mass = sums(page, mass)
+    region = 0
+    children: list[list[int]] = [[] for _ in page.tags]
+    for e in range(1, len(page.tags)):
+        children[page.parents[e]].append(e)
+    while True:
+        best = max(children[region], key=lambda e: mass[e], default=None)
+        if best is None or mass[best] < SHARE * mass[0] or page.tags[best] in INLINE:
+            break
+        region = best
+    around = region
+    while around > 0:
+        if page.tags[around] in ARTICLE:
+            region = around
+        around = page.parents[around]
+    while page.tags[region] not in WRAPPERS:
+        region = page.parents[region]  # a lone paragraph or list: what stands around it belongs to it
+    within, inner = np.zeros(len(page.tags), bool), np.zeros(len(page.tags), bool)
+    within[region] = True
+    for e in range(region + 1, len(page.tags)):
+        within[e] = within[page.parents[e]]
+        inner[e] = inner[page.parents[e]] or within[e] and page.tags[e] in ARTICLE
+    if page.tags[region] not in ARTICLE and sum(mass[e] for e in range(len(inner)) if inner[e] and not inner[page.parents[e]]) >= SHARE * mass[0]:
+        within = inner
+    first = next((k for k, (*_, e) in enumerate(lines) if within[e] and left[k]), len(lines))
+    top = max((k for k in range(first) if left[k] and page.tags[lines[k][3]] == "h1"), default=-1)
+    return [t for k, (t, *_, e) in enumerate(lines) if left[k] and (within[e] or k == top)]
 
 
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    parser = Lines()
-    parser.feed(CUT_OFF.sub("", html))
-    parser.close()
-    parser._end_line()
-    return " ".join(content_lines(parser.lines))
+    page = Page()
+    page.feed(CUT_OFF.sub("", html))
+    page.close()
+    page.end_line()
+    return " ".join(content(page))
 
 
 def extract(pages: DataFrame) -> DataFrame:
