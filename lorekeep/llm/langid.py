@@ -37,7 +37,7 @@ def _letter_table() -> np.ndarray:
     """By code point: the lower-case letter's code point, or a space for what is no letter."""
     if not _letters:
         table = np.full(0x110000, 32, np.uint32)
-        for c in range(0x30000):
+        for c in range(0x40000):
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()

@@ -1,16 +1,20 @@
 """MinHash near-duplicates by a multi-index Hamming join of b-bit signatures, confirmed on full shingle sets.
 
 A text's set holds its distinct shingles; texts of equal sets form a class, of which one member goes on. A signature has
-``CHUNKS`` x ``CHUNK`` MinHash values of 16 bits. Two signatures that differ in fewer than 2 x ``CHUNKS`` values agree, by
-the pigeonhole principle, in all but one value at most of some chunk; so each class is indexed under every chunk with each
-one of its values left out, and all such pairs meet. (Pairs at the similarity limit that differ more often still meet with
-probability 1 - 3e-6.) Pairs that meet are held against two bits of 64 of their values first: more than ``MOST_APART``
-differences rule a pair out (at the limit 9.6 are expected, with a deviation of 2.9).
+``CHUNKS`` x ``CHUNK`` MinHash values of 16 bits; the distance of two is the number of values that differ. If it is at most
+``MOST_APART``, less than 2 x ``CHUNKS``, then by the pigeonhole principle all but one value at most agree in some chunk; so
+each class is indexed under every chunk with each one of its values left out, and all pairs within the distance meet. Pairs
+that meet are first held against two bits of 64 of their values: these differ in no more places than the values, so more than
+``MOST_APART`` differences rule a pair out and none within the distance is lost. (Of the texts at the similarity limit itself,
+0.5 % lie further apart, since signatures are drawn; most of them still meet and differ in 9.6 of the 64, with a deviation of
+2.9, so that 1 in 100,000 is lost.)
 
 No pair of an index entry becomes a row. A task compares the two-bit values of an entry's classes as arrays and passes on
 only which classes hang together by pairs that may be similar: a forest, no longer than the entry. The forests of all
-entries make candidate groups. Each group's full sets meet in blocks of ``BLOCK``, every pair of blocks in one task, where
-common shingles are counted for all pairs at once; what is passed on is again a forest, of the confirmed links.
+entries make candidate groups, whose full sets meet in tasks where common shingles are counted for all pairs at once; what is
+passed on is again a forest, of the confirmed links. Entries of more than ``ENTRY`` and groups of more than ``BLOCK`` classes are
+compared in pairs of blocks (see ``blocks``), first each block alone and with one of them, then, only where this leaves a
+group in parts, all the others.
 
 Defined results: null and empty texts and those without words have an empty set and no links; texts shorter than a shingle
 are one shingle; repeated rows fall into one class; an empty table gives an empty result; other columns are ignored.
@@ -27,15 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import durable, texts_of
-from .graph import components
+from .blocks import dealt, first_pairs, forest, halves, other_pairs, parted, runs, tiles, with_blocks
+from .graph import BROADCAST_IDS, components
 
-CHUNKS, CHUNK, MOST_APART = 12, 6, 22
+CHUNKS, CHUNK = 12, 6
+MOST_APART = 2 * CHUNKS - 1
 VALUES = CHUNKS * CHUNK
 SEED = 20240229
-#: Classes of a block; columns of shingles that are counted at once.
-BLOCK, COLUMNS = 512, 4096
-#: Ids that are broadcast at most; beyond that they are joined.
-BROADCAST_IDS = 500_000
+#: Classes of a block of an index entry, of a block of a group; columns of shingles that are counted at once.
+ENTRY, BLOCK, COLUMNS = 4096, 512, 4096
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,62 +137,24 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def forest(n: int, blocks: Iterator[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Pairs (i, j) that connect what the given blocks (first row, first column, true where paired) connect."""
-    root = np.arange(n)
-    out = []
-    for top, left, near in blocks:
-        across = slice(left, left + near.shape[1])
-        for i in np.flatnonzero(near.any(1)):
-            while True:  # each turn joins two trees, so there are fewer than n in all
-                other = np.flatnonzero(near[i] & (root[across] != root[top + i]))
-                if not len(other):
-                    break
-                j = left + int(other[0])
-                out.append((top + int(i), j))
-                root[root == root[j]] = root[top + i]
-    return out
-
-
-def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """The rows of each key, of batches sorted by their first n_keys columns."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)], 1)
-        cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for lo, hi in zip(cut, cut[1:]):
-            key = tuple(keys[lo])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def candidate_forest(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b): what the classes of each index entry hang together by. entries: (key, cid, n, w0, w1), all rows of a key in a task, in order."""
+    """(a, b): what the classes of each index entry hang together by. entries: (key, i, j, block, cid, n, w0, w1), of ``dealt``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for table in runs(batches, 1):
+        for table in runs(batches, 3):
             if table.num_rows < 2:
                 continue
-            cid, n = table.column(1).to_numpy(), table.column(2).to_numpy()
-            w = np.stack([table.column(k).to_numpy() for k in (3, 4)], 1).astype(np.int64).view(np.uint64)
+            order, first = halves(table.column(3).to_numpy(), table.column(1)[0].as_py(), table.column(2)[0].as_py())
+            cid, n = table.column(4).to_numpy()[order], table.column(5).to_numpy()[order]
+            w = np.stack([table.column(k).to_numpy() for k in (6, 7)], 1).astype(np.int64).view(np.uint64)[order]
 
-            def blocks(n=n, w=w):
-                for top in range(0, len(n), 1024):
-                    for left in range(0, top + 1, 1024):
-                        a, b = slice(top, top + 1024), slice(left, left + 1024)
-                        near = (differing(w[a], w[b]) <= MOST_APART) & (n[a][:, None] * 100 >= n[b] * percent) & (n[b] * 100 >= n[a][:, None] * percent)
-                        yield top, left, np.tril(near, -1) if top == left else near
+            def near(a: slice, b: slice, n=n, w=w) -> np.ndarray:
+                out = (differing(w[a], w[b]) <= MOST_APART) & (n[a][:, None] * 100 >= n[b] * percent) & (n[b] * 100 >= n[a][:, None] * percent)
+                return np.tril(out, -1) if a == b else out
 
-            pairs = {(int(min(cid[i], cid[j])), int(max(cid[i], cid[j]))) for i, j in forest(len(n), blocks())} - seen
+            found = forest(len(n), ((a, b, lambda a=a, b=b: near(a, b)) for a, b in tiles(len(n), first, 1024)))
+            pairs = {(int(min(cid[i], cid[j])), int(max(cid[i], cid[j]))) for i, j in found} - seen
             if len(seen) > 500_000:
                 seen.clear()
             seen |= pairs
@@ -196,7 +162,7 @@ def candidate_forest(entries: DataFrame, percent: int) -> DataFrame:
                 a, b = zip(*sorted(pairs))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return entries.select("key", "cid", "n", "w0", "w1").mapInArrow(run, "a long, b long").distinct()
+    return entries.mapInArrow(run, "a long, b long").distinct()
 
 
 def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -223,32 +189,30 @@ def common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def confirmed_forest(dealt: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links that connect what the full sets connect. dealt: (gid, i, j, block, cid, s), all rows of (gid, i, j) in a task, in order."""
+def confirmed_forest(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what the full sets connect. pairs: (gid, i, j, block, cid, s), of ``dealt``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, 3):
             if table.num_rows < 2:
                 continue
-            i, j = table.column(1)[0].as_py(), table.column(2)[0].as_py()
-            block, cid = table.column(3).to_numpy(), table.column(4).to_numpy()
+            order, first = halves(table.column(3).to_numpy(), table.column(1)[0].as_py(), table.column(2)[0].as_py())
+            cid = table.column(4).to_numpy()[order]
             sets = [np.asarray(x.values if hasattr(x, "values") else x, np.int64) for x in table.column(5)]
+            sets = [sets[k] for k in order]
             size = np.array([len(x) for x in sets])
-            top = np.flatnonzero(block == j)
-            left = top if i == j else np.flatnonzero(block == i)
-            if not len(top) or not len(left):
-                continue
-            both = common([sets[k] for k in top], [sets[k] for k in left])
-            near = both * 100 >= (size[top][:, None] + size[left] - both) * percent
-            if i == j:
-                pairs = [(top[x], left[y]) for x, y in forest(len(top), iter([(0, 0, np.tril(near, -1))]))]
-            else:
-                pairs = [(top[x], left[y - len(top)]) for x, y in forest(len(top) + len(left), iter([(0, len(top), near)]))]
-            if pairs:
-                a, b = zip(*((int(cid[x]), int(cid[y])) for x, y in pairs))
+
+            def near(a: slice, b: slice, sets=sets, size=size) -> np.ndarray:
+                both = common(sets[a], sets[b])
+                out = both * 100 >= (size[a][:, None] + size[b] - both) * percent
+                return np.tril(out, -1) if a == b else out
+
+            links = forest(len(cid), ((a, b, lambda a=a, b=b: near(a, b)) for a, b in tiles(len(cid), first, BLOCK)))
+            if links:
+                a, b = zip(*((int(cid[x]), int(cid[y])) for x, y in links))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return dealt.select("gid", "i", "j", "block", "cid", "s").mapInArrow(run, "a long, b long").distinct()
+    return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def link(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -265,10 +229,17 @@ def link(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     first = F.broadcast(first) if first.count() <= BROADCAST_IDS else first
     one = rows.join(first, "uid", "left_semi").withColumnRenamed("uid", "cid")
     index = one.select(F.explode("keys").alias("key"), "cid").repartition("key")
-    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = durable(index.join(shared, "key", "left_semi"), "neardup-members")
-    entries = members.join(one.select("cid", "n", "w0", "w1"), "cid").repartition("key").sortWithinPartitions("key", "cid")
-    groups = components(candidate_forest(entries, percent)).withColumnRenamed("id", "cid").withColumnRenamed("comp", "gid")
+    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    members = durable(index.join(shared, "key"), "neardup-members")
+    columns = ("cid", "n", "w0", "w1")
+    entries = with_blocks(members.join(one.select(*columns), "cid"), "c", ENTRY)
+    hang = durable(candidate_forest(dealt(entries, first_pairs(), ("key",), columns), percent), "neardup-hang")
+    groups = components(hang)
+    again = parted(with_blocks(members.where(F.col("c") > 2 * ENTRY), "c", ENTRY), ("key",), groups)
+    if not again.isEmpty():
+        again = again.join(one.select(*columns), "cid")
+        groups = components(hang.unionByName(candidate_forest(dealt(again, other_pairs(), ("key",), columns), percent)))
+    groups = groups.withColumnRenamed("id", "cid").withColumnRenamed("comp", "gid")
     # the full sets of the classes in groups, from the texts
     need = durable(groups.join(one.select("cid", "t"), "cid"), "neardup-groups")
     few = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
@@ -283,14 +254,14 @@ def link(documents: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, width, known).view(np.int64) for t in texts_of(part)], pa.list_(pa.int64()))], names=["cid", "s"])
 
     sets = durable(texts.select("cid", "text").mapInArrow(whole, "cid long, s array<long>"), "neardup-sets")
-    # each set goes to every pair of blocks of its group that has its block
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     sizes = need.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-    at = need.select("cid", "gid").join(sizes, "gid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    at = at.select("gid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid")
-    dealt = at.join(sets, "cid").repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j", "cid")
-    comp = components(durable(confirmed_forest(dealt, percent), "neardup-links"))
+    at = durable(with_blocks(need.select("cid", "gid").join(sizes, "gid"), "size", BLOCK), "neardup-blocks")
+    links = durable(confirmed_forest(dealt(at.join(sets, "cid"), first_pairs(), ("gid",), ("cid", "s")), percent), "neardup-links")
+    comp = components(links)
+    again = parted(at, ("gid",), comp)
+    if not again.isEmpty():
+        more = confirmed_forest(dealt(again.join(sets, "cid"), other_pairs(), ("gid",), ("cid", "s")), percent)
+        comp = components(links.unionByName(more))
     of = classes.join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = of.groupBy("comp").agg(F.min("least").alias("component_id"))
     of = of.join(least, "comp").select("h", "component_id")

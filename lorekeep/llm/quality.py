@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence against language references.
 
 The references are learnt from all documents with a language: per language, the histogram of character classes over all
-its texts and the shares of its common words, those of at least ``COMMON`` of its words (exact counts; candidates are
-found first, by a rule that cannot miss any). A text's own two histograms are compared with those of each language by
+its texts and the shares of its common words in normal form (lower case, no punctuation around), those of at least ``COMMON``
+of its words. Counts are exact: a word of that share in all has half of its number in chunks of words where it has half of
+its share, so only what passes there is counted in all texts. A text's own two histograms are compared with those of each language by
 Jensen-Shannon distance (base 2, 0 to 1); the text fails when even its nearest language lies beyond a limit. The limit of
 the words is that language's own: the upper fence of the distances of all its texts (third quartile plus ``FENCE`` times
 the distance of the quartiles), from exact counts in ``STEPS`` steps of distance. Texts of fewer than ``LEAST_WORDS``
@@ -41,7 +42,7 @@ def class_table() -> np.ndarray:
     """The character class of each code point, by its general category; letters beyond ASCII are apart."""
     if not _table:
         t = np.full(0x110000, 8, np.uint8)
-        for c in range(0x30000):
+        for c in (*range(0x40000), *range(0xE0000, 0xE0200)):  # the others are not assigned
             k = unicodedata.category(chr(c))
             t[c] = (3 if c > 127 else 0) if k == "Ll" else (1 if k == "Lu" else 2) if k[0] in "LM" else 4 if k[0] == "N" else 5 if k[0] == "Z" or 9 <= c <= 13 else 6 if k[0] == "P" else 7 if k[0] == "S" else 8
         for c in SYMBOLS:
@@ -118,7 +119,9 @@ def learn(documents: DataFrame, common: float = COMMON) -> dict[str, tuple[np.nd
         size: dict[str, int] = {}
 
         def flush(lang: str) -> pa.RecordBatch:
-            n, words = size.pop(lang), held.pop(lang)
+            n, words = size.pop(lang), Counter()
+            for w, c in held.pop(lang).items():
+                words[normal(w)] += c
             out = [(lang, None, n)] + [(lang, w, c) for w, c in words.items() if 2 * c >= common * n]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.binary(), pa.int64()))], names=["lang", "word", "n"])
 
@@ -129,6 +132,9 @@ def learn(documents: DataFrame, common: float = COMMON) -> dict[str, tuple[np.nd
                 size[lang] = size.get(lang, 0) + len(words)
                 if size[lang] > CHUNK:
                     yield flush(lang)
+                elif len(held) > 64 and sum(size.values()) > 4 * CHUNK:  # many languages: none may wait for its own chunk
+                    for other in list(held):
+                        yield flush(other)
         for lang in list(held):
             yield flush(lang)
 
@@ -145,13 +151,19 @@ def learn(documents: DataFrame, common: float = COMMON) -> dict[str, tuple[np.nd
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[tuple, int] = Counter()
+        known: dict[bytes, bytes] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
                 if lang in candidates:
                     own = candidates[lang]
                     for w, n in Counter(text.encode("utf-8", "surrogatepass").split()).items():
-                        if w in own:
-                            words[lang, normal(w), -1] += n
+                        k = known.get(w)
+                        if k is None:
+                            if len(known) > 300_000:
+                                known.clear()
+                            k = known[w] = normal(w)
+                        if k in own:
+                            words[lang, k, -1] += n
                     for k, n in enumerate(class_counts(text)):
                         words[lang, None, k] += int(n)
         if words:
