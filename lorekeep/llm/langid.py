@@ -1,9 +1,10 @@
 """Language identification by interpolated Kneser-Ney character trigram models, one per language.
 
 Training counts all character trigrams of all texts with a language (exact 63-bit keys of three code points); lower
-orders are continuation counts, that is, numbers of distinct left neighbours. Counts are summed by Spark, per language
-and trigram; their number is that of the distinct trigrams. The models are sorted key arrays with one log probability per
-language. A text goes to the language of the lowest cross-entropy per character; its score is the posterior from the
+orders are continuation counts, that is, numbers of distinct left neighbours. Spark sums the counts per language and trigram
+and makes the probabilities by joins; a model then is a sorted array of keys and one of logs for each language and order. While
+all models together have ``BROADCAST_ROWS`` rows at most they go to every task; beyond that, they are joined with the
+trigrams of the texts. A text goes to the language of the lowest cross-entropy per character; its score is the posterior from the
 entropies and the text's length, and ``rejected`` marks texts whose best entropy lies above the language's calibrated
 limit (mean plus ``REJECT`` deviations of the entropies of all training texts that go to the language). A language to
 which fewer than ``FEW`` training texts go takes the limit of all training texts together; with fewer in all there is
@@ -23,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import texts_of
+from .base import durable, texts_of
 
 DISCOUNT, REJECT = 0.75, 4.0
 #: Training texts that a language needs for a limit of its own.
 FEW = 10
+#: Rows of a model that is broadcast (12 bytes each); a larger one is joined.
+BROADCAST_ROWS = 4_000_000
 #: Characters gathered before a task sums its trigrams up.
 CHUNK = 4_000_000
 _letters: list[np.ndarray] = []
@@ -74,7 +77,8 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
         def flush(lang: str) -> pa.RecordBatch:
             g, n = np.unique(trigrams(np.concatenate(held.pop(lang))), return_counts=True)
             size.pop(lang)
-            inner = g != 0
+            two = np.uint64(32 << 21 | 32)  # two spaces stand only between texts
+            inner = (g >> np.uint64(21) != two) & (g & np.uint64((1 << 42) - 1) != two)
             return pa.RecordBatch.from_arrays([pa.array([lang] * int(inner.sum()), pa.string()), pa.array(g[inner].astype(np.int64)), pa.array(n[inner].astype(np.int64))], names=["lang", "g", "n"])
 
         for batch in batches:
@@ -91,82 +95,104 @@ def count_trigrams(texts: DataFrame) -> DataFrame:
     return texts.select("lang", "text").mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
 
 
+def model_table(counts: DataFrame) -> DataFrame:
+    """(lang, kind, key, value): each language's model, from rows (lang, g, n) of distinct trigrams.
+
+    kind 3, 2 and 1: log probabilities of the trigrams, pairs and characters seen; 33 and 22: log weights of the lower order
+    after the pairs and characters seen as contexts; 0: the log probability of a character not seen.
+    """
+    d, pair, char = DISCOUNT, F.lit((1 << 42) - 1), F.lit((1 << 21) - 1)
+    tri = durable(counts, "langid-trigrams")
+    bi = tri.groupBy("lang", F.col("g").bitwiseAND(pair).alias("two")).agg(F.count(F.lit(1)).alias("c2"))
+    bi = durable(bi, "langid-pairs")
+    uni = durable(bi.groupBy("lang", F.col("two").bitwiseAND(char).alias("one")).agg(F.count(F.lit(1)).alias("c1")), "langid-characters")
+    signs = uni.agg(F.count_distinct("one")).first()[0] + 1
+    total = uni.groupBy("lang").agg(F.sum("c1").alias("t1"), (d * F.count(F.lit(1)) / F.sum("c1") / signs).alias("none"))
+    p1 = uni.join(F.broadcast(total), "lang").select("lang", "one", ((F.col("c1") - d) / F.col("t1") + F.col("none")).alias("p1"))  # a row a language
+    ctx2 = bi.groupBy("lang", F.shiftright("two", 21).alias("ctx")).agg(F.sum("c2").alias("mass"), (d * F.count(F.lit(1)) / F.sum("c2")).alias("rest"))
+    p2 = bi.withColumns({"ctx": F.shiftright("two", 21), "one": F.col("two").bitwiseAND(char)}).join(ctx2, ["lang", "ctx"]).join(p1, ["lang", "one"])
+    p2 = durable(p2.select("lang", "two", ((F.col("c2") - d) / F.col("mass") + F.col("rest") * F.col("p1")).alias("p2")), "langid-p2")
+    ctx3 = tri.groupBy("lang", F.shiftright("g", 21).alias("ctx")).agg(F.sum("n").alias("mass"), (d * F.count(F.lit(1)) / F.sum("n")).alias("rest"))
+    p3 = tri.withColumns({"ctx": F.shiftright("g", 21), "two": F.col("g").bitwiseAND(pair)}).join(ctx3, ["lang", "ctx"]).join(p2, ["lang", "two"])
+    parts = [
+        (p3.select("lang", "g", ((F.col("n") - d) / F.col("mass") + F.col("rest") * F.col("p2"))), 3), (p2, 2), (p1, 1),
+        (ctx3.select("lang", "ctx", "rest"), 33), (ctx2.select("lang", "ctx", "rest"), 22), (total.select("lang", F.lit(0).cast("long"), "none"), 0),
+    ]
+    out = None
+    for df, kind in parts:
+        lang, key, value = (F.col(f"`{c}`") for c in df.columns)
+        part = df.select(lang.alias("lang"), F.lit(kind).alias("kind"), key.alias("key"), F.log(value).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return durable(out, "langid-model")
+
+
 class Models:
-    """Sorted key arrays of tri-, bi- and unigrams, with a log probability per language each."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        d, low = DISCOUNT, np.uint64((1 << 21) - 1)
-        keys = [np.unique(np.concatenate([counts[x][0] for x in self.langs])) if self.langs else np.zeros(0, np.uint64)]
-        keys += [np.unique(keys[0] & np.uint64((1 << 42) - 1)), np.unique(keys[0] & low)]
-        self.keys = keys
-        self.logs = [np.zeros((len(k), len(self.langs))) for k in keys]
-        self.back = np.zeros((len(keys[1]), len(self.langs)))  # log weight of a context's lower order
-        self.none = np.zeros(len(self.langs))
-        for j, lang in enumerate(self.langs):
-            g, n = counts[lang]
-            two, one = g & np.uint64((1 << 42) - 1), g & low  # (b, c) and (c) of each distinct (a, b, c)
-            u2, c2 = np.unique(two, return_counts=True)  # distinct left neighbours of each bigram
-            u1, c1 = np.unique(u2 & low, return_counts=True)
-            size = len(keys[2]) + 1
-            p1 = np.full(size, (d * len(u1) / c1.sum()) / size)
-            p1[np.searchsorted(keys[2], u1)] += (c1 - d) / c1.sum()
-            self.none[j] = np.log(p1[-1])
-            # bigrams over all known pairs: continuation counts, interpolated with p1
-            first = keys[1] >> np.uint64(21)
-            ctx, inv = np.unique(u2 >> np.uint64(21), return_inverse=True)
-            mass, kinds = np.bincount(inv, c2), np.bincount(inv)
-            at = np.minimum(np.searchsorted(ctx, first), len(ctx) - 1)
-            seen = ctx[at] == first
-            p2 = p1[np.searchsorted(keys[2], keys[1] & low)] * np.where(seen, d * kinds[at] / mass[at], 1.0)
-            p2[np.searchsorted(keys[1], u2)] += (c2 - d) / mass[inv]
-            # trigrams over all known triples
-            first = keys[0] >> np.uint64(21)
-            ctx, inv = np.unique(g >> np.uint64(21), return_inverse=True)
-            mass, kinds = np.bincount(inv, n), np.bincount(inv)
-            at = np.minimum(np.searchsorted(ctx, first), len(ctx) - 1)
-            seen = ctx[at] == first
-            p3 = p2[np.searchsorted(keys[1], keys[0] & np.uint64((1 << 42) - 1))] * np.where(seen, d * kinds[at] / mass[at], 1.0)
-            p3[np.searchsorted(keys[0], g)] += (n - d) / mass[inv]
-            self.logs[0][:, j], self.logs[1][:, j], self.logs[2][:, j] = np.log(p3), np.log(p2), np.log(p1[:-1])
-            at = np.minimum(np.searchsorted(ctx, keys[1]), len(ctx) - 1)
-            self.back[:, j] = np.where(ctx[at] == keys[1], np.log(d * kinds[at] / mass[at]), 0.0)
-        self.logs = [x.astype(np.float32) for x in self.logs]
+    """Per language, sorted key arrays with log values for each kind of ``model_table``."""
+
+    def __init__(self, table: pa.Table):
+        self.parts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+        lang, kind = table.column("lang").combine_chunks().dictionary_encode(), table.column("kind").to_numpy()
+        key, value = table.column("key").to_numpy().astype(np.uint64), table.column("value").to_numpy().astype(np.float32)
+        code = lang.indices.to_numpy()
+        order = np.lexsort((key, kind, code))
+        edge = np.flatnonzero(np.append(True, (np.diff(code[order]) != 0) | (np.diff(kind[order]) != 0)))
+        for lo, hi in zip(edge, np.append(edge[1:], len(order))):
+            at = order[lo:hi]
+            self.parts.setdefault(str(lang.dictionary[int(code[at[0]])]), {})[int(kind[at[0]])] = key[at], value[at]
+        self.langs = sorted(self.parts)
 
     def entropies(self, a: np.ndarray) -> np.ndarray:
         """Nats per character of the padded letters, by language."""
         g, n = np.unique(trigrams(a), return_counts=True)
-        return -(self._log(g) * n[:, None]).sum(0) / n.sum()
+        return np.array([-(self._log(self.parts[x], g) * n).sum() / n.sum() for x in self.langs])
+
+    @staticmethod
+    def _log(part: dict[int, tuple[np.ndarray, np.ndarray]], g: np.ndarray) -> np.ndarray:
+        def find(kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keys, values = part[kind]
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return keys[at] == wanted, values[at].astype(np.float64)
 
-    def _log(self, g: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys[0], g), len(self.keys[0]) - 1)
-        out = self.logs[0][at].astype(np.float64)
-        miss = np.flatnonzero(self.keys[0][at] != g)
+        seen, out = find(3, g)
+        miss = np.flatnonzero(~seen)
         if len(miss):  # never seen: the lower orders, with the context's weight where it is known
-            two, ctx = g[miss] & np.uint64((1 << 42) - 1), g[miss] >> np.uint64(21)
-            at2 = np.minimum(np.searchsorted(self.keys[1], two), len(self.keys[1]) - 1)
-            one = two & np.uint64((1 << 21) - 1)
-            at1 = np.minimum(np.searchsorted(self.keys[2], one), len(self.keys[2]) - 1)
-            low = np.where((self.keys[2][at1] == one)[:, None], self.logs[2][at1], self.none)
-            low = np.where((self.keys[1][at2] == two)[:, None], self.logs[1][at2], low)
-            atc = np.minimum(np.searchsorted(self.keys[1], ctx), len(self.keys[1]) - 1)
-            out[miss] = low + np.where((self.keys[1][atc] == ctx)[:, None], self.back[atc], 0.0)
+            two, pair, char = g[miss] & np.uint64((1 << 42) - 1), np.uint64(21), np.uint64((1 << 21) - 1)
+            known, low = find(2, two)
+            one, p1 = find(1, two & char)
+            after, rest = find(22, two >> pair)
+            low = np.where(known, low, np.where(one, p1, float(part[0][1][0])) + np.where(after, rest, 0.0))
+            after, rest = find(33, g[miss] >> pair)
+            out[miss] = low + np.where(after, rest, 0.0)
         return out
 
 
-def learn(texts: DataFrame) -> Models:
-    """Models from rows of (lang, text). Gathers the distinct trigrams, whose number the alphabets bound, not the rows."""
-    rows = count_trigrams(texts.where("lang is not null and text is not null")).toPandas()
-    counts = {}
-    for lang, part in rows.groupby("lang", sort=True):
-        part = part.sort_values("g")
-        counts[str(lang)] = (part["g"].to_numpy(np.uint64), part["n"].to_numpy(np.int64))
-    return Models(counts)
+def learn(texts: DataFrame) -> DataFrame:
+    """The model table of rows of (lang, text)."""
+    return model_table(count_trigrams(texts.where("lang is not null and text is not null")))
+
+
+def verdict(h: np.ndarray, size: int, langs: list[str], limits: dict[str, tuple[float, float]]) -> tuple:
+    """(lang_pred, score, cross_entropy, rejected) from the entropies of a text of so many letters."""
+    k = int(np.argmin(h))
+    # neighbouring trigrams overlap: a third of the characters counts as independent
+    odds = np.exp(-np.minimum((h - h[k]) * (size / 3), 700.0))
+    mean, dev = limits.get(langs[k], (np.inf, 0.0))
+    return langs[k], float(1 / odds.sum()), float(h[k]), bool(h[k] > mean + REJECT * dev * (1 + 5 / np.sqrt(size)))
 
 
-def predict(documents: DataFrame, models: Models, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """(doc_id, lang_pred, score, cross_entropy, rejected) of every document."""
-    sent = documents.sparkSession.sparkContext.broadcast((models, limits or {}))
+UND = ("und", 0.0, None, True)
+KINDS = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
+
+
+def predict(documents: DataFrame, model: DataFrame, limits: dict[str, tuple[float, float]] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(doc_id, lang_pred, score, cross_entropy, rejected) of every document.
+
+    A model of up to broadcast_rows rows goes to every task as sorted arrays; a larger one is joined with the texts' trigrams.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if model.count() > broadcast_rows:
+        return _predict_joined(docs, model, limits or {})
+    sent = documents.sparkSession.sparkContext.broadcast((Models(model.toArrow()), limits or {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, limits = sent.value
@@ -174,19 +200,51 @@ def predict(documents: DataFrame, models: Models, limits: dict[str, tuple[float,
             rows = []
             for text in texts_of(batch):
                 a = letters(text)
-                if len(a) < 3 or not models.langs:
-                    rows.append(("und", 0.0, None, True))
-                    continue
-                h = models.entropies(a)
-                k = int(np.argmin(h))
-                # neighbouring trigrams overlap: a third of the characters counts as independent
-                odds = np.exp(-np.minimum((h - h[k]) * (len(a) / 3), 700.0))
-                mean, dev = limits.get(models.langs[k], (np.inf, 0.0))
-                rows.append((models.langs[k], float(1 / odds.sum()), float(h[k]), bool(h[k] > mean + REJECT * dev * (1 + 5 / np.sqrt(len(a))))))
+                rows.append(verdict(models.entropies(a), len(a), models.langs, limits) if len(a) > 2 and models.langs else UND)
             cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.bool_())))], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, KINDS))], names=["doc_id", *PREDICTED])
+
+    return docs.mapInArrow(run, SCHEMA)
+
+
+def _predict_joined(docs: DataFrame, model: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
+    """The same by joins: log probabilities of every trigram of the texts in every language, then sums by text."""
+    langs = [r["lang"] for r in model.where("kind = 0").orderBy("lang").collect()]  # a row a language
+    none = {r["lang"]: r["value"] for r in model.where("kind = 0").collect()}
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a = letters(text)
+                if len(a) > 2:
+                    g, n = np.unique(trigrams(a), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), uid)), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["uid", "g", "n"])
+
+    docs = durable(docs.withColumn("uid", F.monotonically_increasing_id()), "langid-docs")
+    met = durable(docs.select("uid", "text").mapInArrow(split, "uid long, g long, n long"), "langid-met")
+    each = met.select("g").distinct().withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
+    each = each.withColumns({"k3": F.col("g"), "k33": F.shiftright("g", 21), "k2": F.col("g").bitwiseAND(F.lit((1 << 42) - 1)), "k1": F.col("g").bitwiseAND(F.lit((1 << 21) - 1))})
+    each = each.withColumn("k22", F.shiftright("k2", 21))
+    for kind in (3, 33, 2, 22, 1):
+        part = model.where(F.col("kind") == kind).select("lang", F.col("key").alias(f"k{kind}"), F.col("value").alias(f"v{kind}"))
+        each = each.join(part, ["lang", f"k{kind}"], "left")
+    unseen = F.element_at(F.create_map(*[F.lit(x) for kv in none.items() for x in kv]), F.col("lang"))
+    low = F.coalesce("v2", F.coalesce("v1", unseen) + F.coalesce("v22", F.lit(0.0)))
+    log = each.select("g", F.struct("lang", F.coalesce("v3", low + F.coalesce("v33", F.lit(0.0))).alias("v")).alias("x")).groupBy("g").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]).alias("v"))
+    sums = met.join(log, "g").groupBy("uid").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * F.get("v", F.lit(j))).alias(f"s{j}") for j in range(len(langs))])
+    found = docs.select("uid", "doc_id").join(sums, "uid", "left").select("doc_id", "n", F.when(F.col("n").isNotNull(), F.array(*[-F.col(f"s{j}") / F.col("n") for j in range(len(langs))])).alias("h"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [UND if n is None else verdict(np.array(h), n + 2, langs, limits) for n, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, KINDS))], names=["doc_id", *PREDICTED])
+
+    return found.mapInArrow(decide, SCHEMA)
+
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+PREDICTED = ["lang_pred", "score", "cross_entropy", "rejected"]
+SCHEMA = "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean"
 
 
 def calibrate(scored: DataFrame, langs: list[str], few: int = FEW) -> dict[str, tuple[float, float]]:
@@ -205,6 +263,7 @@ def identify(documents: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
     """Predictions for every document, learnt from those with a language outside the held-out fold."""
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == fold
     training = documents.where(~out).select(F.col("lang").cast("string").alias("lang"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    models = learn(training)
-    limits = calibrate(predict(training.where("lang is not null and text is not null"), models), models.langs)
-    return predict(documents, models, limits).select("doc_id", out.alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    model = learn(training)
+    langs = [r["lang"] for r in model.where("kind = 0").collect()]  # a row a language
+    limits = calibrate(predict(training.where("lang is not null and text is not null"), model), langs)
+    return predict(documents, model, limits).select("doc_id", out.alias("held_out"), *PREDICTED)
