@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable  # noqa: F401
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,24 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The folder of sessions that name none in spark.checkpoint.dir.
-UNSET = "/tmp/lorekeep-shared"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; UNSET where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or UNSET
-    return where.rstrip("/")
-
-
-def durable(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: lost executors cost no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorekeep-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def n_words(text: Column) -> Column:
     """Number of words as long; null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))

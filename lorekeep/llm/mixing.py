@@ -4,8 +4,11 @@ Each source gets a word target by water-filling: weights 3, 1, 2 (repeating over
 share ``budget`` times all words, no source above ``cap`` times its own words. Every document of a source then expects
 target / source_size copies. The whole part is granted; the fractional parts are rounded by a pivotal scheme: two open
 documents exchange word mass (chance decides the direction, so each keeps its expected mass) until one is integral.
-The words of all documents of a block thus stay as they were, but for one open document. The open ones of all blocks
-meet again in fewer blocks, level by level, which is the reduction tree; the last one per source is rounded by chance.
+The words of all documents of a block thus stay as they were, but for one open document. Blocks hold documents of a source and
+a size class (a power of two). The open ones of all blocks of a class meet again in fewer blocks, level by level, which is the
+reduction tree. Its last step joins the open documents of a source's classes and about ``RESERVE`` of each class that waited
+for it, from the largest to the smallest, so that the document that stays open is a small one, as a rule; it goes to the nearer
+end, so a source misses its target by half of that document at most.
 
 Defined results: null text or text without words has size 0 and takes 0 words; null sources form one source of their
 own; repeated rows are told apart by their rank among equals; an empty table gives an empty result; extra columns of the
@@ -22,6 +25,10 @@ from .base import durable, n_words
 WEIGHTS = (3, 1, 2)
 #: Documents that meet in one block of a level, about.
 FAN_IN = 64
+#: Documents of each size class that wait for the last step, about.
+RESERVE = 32
+#: Rows (of two numbers) that are broadcast at most; beyond that they are joined.
+BROADCAST_ROWS = 1_000_000
 ITEM = "struct<h:bigint,doc:bigint,nth:bigint,size:bigint,base:bigint,p:double,take:bigint,open:boolean,u:double>"
 
 
@@ -88,23 +95,33 @@ def mix(documents: DataFrame, budget: float = 1.5, cap: float = 2.0, seed: int =
     per_source = targets.select(F.col("source").alias("s"), whole.alias("base"), F.greatest(share - whole, F.lit(0.0)).alias("p"), "source_size", "target")
     at = rows.join(F.broadcast(per_source), rows["source"].eqNullSafe(per_source["s"])).drop("s")
     at = at.withColumn("open", (F.col("size") > 0) & (F.col("p") > 1e-12)).withColumn("take", F.col("base") * F.col("size"))
-    cols = ["source", "doc", "nth", "size", "base", "p", "take"]
+    cols = ["source", "class", "doc", "nth", "size", "base", "p", "take"]
+    at = at.withColumn("class", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)))).cast("int"))
     done, left = [at.where(~F.col("open")).select(*cols)], at.where("open").select(*cols)
-    level, most = 0, rows.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    while True:
-        counts = left.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "s")
-        blocks = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc", "nth", "size"), F.ceil(F.col("n") / fan_in).cast("long"))
-        dealt = left.join(F.broadcast(counts), left["source"].eqNullSafe(counts["s"])).withColumn("block", blocks)
-        item = F.struct(F.xxhash64(F.lit(seed + 1), F.lit(level), "doc", "nth", "size").alias("h"), "doc", "nth", "size", "base", "p", "take", F.lit(True).alias("open"), _uniform(F.lit(seed + 2), F.lit(level), F.col("doc"), F.col("nth"), F.col("size")).alias("u"))
-        met = dealt.groupBy("source", "block").agg(F.array_sort(F.collect_list(item)).alias("items")).select("source", F.explode(_pivotal("items")).alias("i"))
-        met = durable(met.select("source", "i.doc", "i.nth", "i.size", "i.base", "i.p", "i.take", "i.open"), f"mix-level{level}")
+    counts = durable(left.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n")), "mix-classes")  # some twenty rows a source
+    sized = left.join(F.broadcast(counts.select(F.col("source").alias("s"), F.col("class").alias("c"), "n")), F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c"))).drop("s", "c")
+    waits = _uniform(F.lit(seed + 4), F.col("doc"), F.col("nth"), F.col("size")) * F.col("n") < RESERVE
+    reserve, left = sized.where(waits).select(*cols), sized.where(~waits).select(*cols)
+
+    def meet(dealt: DataFrame, by: list[str], level: int) -> DataFrame:
+        order = F.shiftleft(-F.col("size"), 20) + F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(level), "doc", "nth", "size"), F.lit(1 << 20))
+        chance = _uniform(F.lit(seed + 2), F.lit(level), F.col("doc"), F.col("nth"), F.col("size"))
+        item = F.struct(order.alias("h"), "doc", "nth", "size", "base", "p", "take", F.lit(True).alias("open"), chance.alias("u"))
+        met = dealt.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items")).select("source", F.col("class") if "class" in by else F.lit(0).alias("class"), F.explode(_pivotal("items")).alias("i"))
+        met = durable(met.select("source", "class", "i.doc", "i.nth", "i.size", "i.base", "i.p", "i.take", "i.open"), f"mix-level{level}")
         done.append(met.where(~F.col("open")).select(*cols))
-        left = met.where("open").select(*cols)
-        if most <= fan_in:
-            break
-        level, most = level + 1, -(-most // fan_in) if level else -(-most // fan_in)
-    chance = _uniform(F.lit(seed + 3), F.col("doc"), F.col("nth")) < F.col("p")
-    done.append(left.withColumn("take", (F.col("base") + chance.cast("long")) * F.col("size")))
+        return met.where("open").select(*cols)
+
+    level, most = 0, counts.agg(F.max("n")).first()[0] or 0
+    while most > 1:
+        n = counts if not level else left.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"))
+        n = n.select(F.col("source").alias("s"), F.col("class").alias("c"), "n")
+        blocks = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc", "nth", "size"), F.ceil(F.col("n") / fan_in).cast("long"))
+        dealt = left.join(F.broadcast(n), left["source"].eqNullSafe(n["s"]) & (left["class"] == n["c"])).withColumn("block", blocks)
+        left = meet(dealt, ["source", "class", "block"], level)
+        level, most = level + 1, -(-most // fan_in)
+    left = meet(left.unionByName(reserve), ["source"], level)  # some RESERVE + 1 of each class
+    done.append(left.withColumn("take", (F.col("base") + (F.col("p") >= 0.5).cast("long")) * F.col("size")))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -117,11 +134,13 @@ def mixed_documents(documents: DataFrame, **kw) -> DataFrame:
 
     A document without words is kept once: it takes no words, so leaving it out would not change the mix.
     """
-    own = [F.col(f"`{c}`") for c in documents.columns]
-    rank = Window.partitionBy(F.col("doc_id"), F.col("source"), F.col("text")).orderBy(F.lit(0))
-    size = n_words(F.col("text"))
-    docs = documents.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("k"), F.col("source").cast("string").alias("s"), size.alias("n"), F.row_number().over(rank).cast("long").alias("r"))
-    docs = docs.withColumn("r", F.row_number().over(Window.partitionBy("k", "s", "n").orderBy(F.xxhash64(F.col("row.text")), "r")).cast("long"))
+    own = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    docs = durable(documents.select(own.alias("row")).withColumn("_row", F.monotonically_increasing_id()), "mix-documents")
+    text = F.col("row.text")
+    keys = docs.select("_row", F.col("row.doc_id").cast("long").alias("k"), F.col("row.source").cast("string").alias("s"), n_words(text).alias("n"), F.md5(text).alias("md5"))
+    keys = keys.withColumn("r", F.row_number().over(Window.partitionBy("k", "s", "n").orderBy("md5", "_row")).cast("long"))
     took = mix(documents, **kw).select(F.col("doc_id").alias("k2"), F.col("source").alias("s2"), F.col("size").alias("n2"), F.col("nth").alias("r2"), F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1).alias("copies"))
-    on = docs["k"].eqNullSafe(took["k2"]) & docs["s"].eqNullSafe(took["s2"]) & (docs["n"] == took["n2"]) & (docs["r"] == took["r2"])
-    return docs.join(took, on).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    on = keys["k"].eqNullSafe(took["k2"]) & keys["s"].eqNullSafe(took["s2"]) & (keys["n"] == took["n2"]) & (keys["r"] == took["r2"])
+    copies = durable(keys.join(took, on).where("copies > 0").select("_row", "copies"), "mix-copies")
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    return docs.join(copies, "_row").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
