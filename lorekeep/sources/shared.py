@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-#: The folder of sessions that name none in spark.checkpoint.dir.
-UNSET = "/tmp/lorekeep-shared"
+_made: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; UNSET where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or UNSET
+    """The folder named in spark.checkpoint.dir. A local session that names none (tests) gets one of its own; a cluster must name one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder: set it to one that the driver and all executors share")
+        where = _made.get(context.applicationId) or _made.setdefault(context.applicationId, tempfile.mkdtemp(prefix="lorekeep-"))
     return where.rstrip("/")
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """df, written as a table there and read again."""
+    """df, written as a table there and read again: lost executors cost no recomputation of what came before."""
     path = f"{shared_dir(df.sparkSession)}/lorekeep-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes the tables that this process has written there; returns their number. For when all results are written elsewhere."""
+    jvm, conf, n = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
