@@ -2,15 +2,15 @@
 
 Base spans: assignments to credential names, access key ids and long hexadecimal runs. The battery looks at the other long
 tokens (20 characters or more of ``[A-Za-z0-9+/_=-]``): it infers the encoding from the characters (decimal, hexadecimal,
-one case of letters, base 32, base 64) and tests the token's symbols, as numbers of that alphabet, for uniformity
+one case of letters, base 32, one case with digits, base 64) and tests the token's symbols, as numbers of that alphabet, for uniformity
 (chi-squared, over as many equal bins as leave five symbols in each), for runs about the middle and for serial
 correlation. A token passes if three times its least p-value is at least ``ALPHA``. Long identifiers and words can look
 uniform when short, so discovery is controlled by length: a token's evidence is the likelihood of its symbols under the
 uniform alphabet of its encoding against that under writing, a model of character pairs counted over all shorter tokens of
 the corpus. The pairs of writing are smoothed towards a change of class (lower, upper, digit, other) with probability
 ``CHANGE``; from the 20th character on, each that follows also counts against the share of tokens that end there. The ratio
-is a martingale while a token of writing goes on, so 1 / ratio is a p-value (Ville). Tokens of one case are scored as lower
-case, so that capitals alone are no evidence. Benjamini-Hochberg over all long tokens of the corpus, in steps of a
+is a martingale while a token of writing goes on, so 1 / ratio is a p-value (Ville). Tokens without lower-case letters are
+scored as lower case, so that capitals alone are no evidence. Benjamini-Hochberg over all long tokens of the corpus, in steps of a
 twentieth of a decade, bounds the share of false discoveries by ``FDR``.
 
 Defined results: null and empty texts have no spans; repeated rows count as often as they are there; with no long tokens
@@ -44,6 +44,7 @@ ALPHABETS = {
     "lower": "abcdefghijklmnopqrstuvwxyz",
     "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 
@@ -66,7 +67,7 @@ def _phi(z: Column) -> Column:
 
 
 def encoding(v: Column) -> Column:
-    return F.when(v.rlike("^[0-9]+$"), "decimal").when(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(v.rlike("^[a-z]+$"), "lower").when(v.rlike("^[A-Z]+$"), "upper").when(v.rlike("^[A-Z2-7]+=*$"), "base32").otherwise("base64")
+    return F.when(v.rlike("^[0-9]+$"), "decimal").when(v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(v.rlike("^[a-z]+$"), "lower").when(v.rlike("^[A-Z]+$"), "upper").when(v.rlike("^[A-Z2-7]+=*$"), "base32").when(v.rlike("^(?:[a-z0-9]+|[A-Z0-9]+)$"), "base36").otherwise("base64")
 
 
 def writing(texts: DataFrame) -> list[float]:
@@ -92,11 +93,11 @@ def writing(texts: DataFrame) -> list[float]:
     return [*pair.ravel().tolist(), *on.tolist()]
 
 
-def evidence(v: Column, encoding: Column, size: Column, model: list[float]) -> Column:
+def evidence(v: Column, size: Column, model: list[float]) -> Column:
     """The p-value of a token under writing: the inverse ratio of its likelihoods, 1 at most."""
     signs = "".join(SIGNS)
     nats = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")  # folded to one literal
-    one = F.when(encoding == "upper", F.lower(v)).otherwise(v)
+    one = F.when(v.rlike("[a-z]"), v).otherwise(F.lower(v))
     at = F.transform(F.filter(F.split(one, ""), lambda c: c != ""), lambda c: F.instr(F.lit(signs), c) - 1)
     n = F.size(at)
     pairs = F.zip_with(F.slice(at, F.lit(1), n - 1), F.slice(at, F.lit(2), n - 1), lambda a, b: F.get(nats, a * len(signs) + b))
@@ -109,7 +110,7 @@ def evidence(v: Column, encoding: Column, size: Column, model: list[float]) -> C
 def battery(tokens: DataFrame, model: list[float]) -> DataFrame:
     """Rows with a token in v get: encoding, p_uniform, p_runs, p_serial, p_random and p_text (evidence against writing)."""
     alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), F.col("encoding"))
-    symbols = F.regexp_replace(F.when(F.col("encoding") == "hex", F.lower("v")).otherwise(F.translate("v", "-_", "+/")), "=", "")
+    symbols = F.regexp_replace(F.when(F.col("encoding").isin("hex", "base36"), F.lower("v")).otherwise(F.translate("v", "-_", "+/")), "=", "")
     t = tokens.withColumn("encoding", encoding(F.col("v"))).withColumns({"_a": alphabet, "_w": symbols})
     t = t.withColumns({"_n": F.length("_w").cast("double"), "_size": F.length("_a").cast("double")})
     t = t.withColumn("_x", F.transform(F.filter(F.split("_w", ""), lambda c: c != ""), lambda c: F.instr(F.col("_a"), c) - 1))
@@ -135,7 +136,7 @@ def battery(tokens: DataFrame, model: list[float]) -> DataFrame:
     product = F.aggregate(F.zip_with(F.slice("_x", 1, F.size("_x") - 1), F.slice("_x", 2, F.size("_x") - 1), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda s, x: s + x)
     t = t.withColumn("p_serial", 2 * (1 - _phi(F.abs(product) / (spread * F.sqrt(F.col("_n") - 1)))))
     t = t.withColumn("p_random", F.least(F.lit(1.0), 3 * F.least("p_uniform", "p_runs", "p_serial")))
-    t = t.withColumn("p_text", evidence(F.col("v"), F.col("encoding"), F.col("_size"), model))
+    t = t.withColumn("p_text", evidence(F.col("v"), F.col("_size"), model))
     return t.drop("_a", "_w", "_n", "_size", "_x", "_b", "_u", "_n1", "_n2")
 
 
