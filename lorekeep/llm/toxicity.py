@@ -10,7 +10,7 @@ The fit reads a bounded sample of training rows (``max_positive``, ``max_unlabel
 scoring reads every whole text of every document.
 
 Defined results: null, empty or wordless texts get the score of a text without features; repeated rows get the same
-score; labels of unknown documents are ignored, several labels of one document count as toxic if any is; without
+score; of different texts of one doc_id the least is learnt from; labels of unknown documents are ignored, several labels of one document count as toxic if any is; without
 positives or unlabelled rows every score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -82,7 +82,7 @@ def learn(documents: DataFrame, labels: DataFrame, training, prior: float | None
     others = ids.select("doc_id").join(positives, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(max_unlabelled)
     sample = positives.select("doc_id", F.lit(True).alias("pos")).unionByName(others.select("doc_id", F.lit(False).alias("pos")))
     # at most max_positive + max_unlabelled ids, so the broadcast is bounded
-    texts = ids.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    texts = ids.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "pos").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
