@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_similarity, normalize_baseline, overlap_similarity, tokens_baseline
-from ..sources.shared import durable
+from ..sources.shared import durable, spread
 
 LEXICAL, SEMANTIC, FLOOR = 0.78, 0.84, 0.16
 #: Characters of a text that one in it must have, at least; pieces of so many characters find texts of few tokens.
@@ -21,31 +21,38 @@ def _sides(ops: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, x, t, m) of both: normal form, distinct tokens and their number. Each text is taken apart once."""
     def side(rows: DataFrame, label: str) -> DataFrame:
         own = ["entity_ids"] if "entity_ids" in rows.columns else []
-        t = rows.select("id", normalize_baseline(F.col("text")).alias("x"), tokens_baseline(F.col("text")).alias("t"), *own)
+        t = spread(rows.select("id", "text", *own)).select("id", normalize_baseline(F.col("text")).alias("x"), tokens_baseline(F.col("text")).alias("t"), *own)
         return durable(t.withColumn("m", F.size("t")), f"gate-{label}")
 
     return side(ops, "ops"), side(records, "records")
 
 
-def _overlaps(o: DataFrame, r: DataFrame, share: float) -> DataFrame:
+def _tokens(o: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(op_id, m, token, df) and (record_id, n, token, df) of the tokens that both sides have; df: the operations that have it."""
+    b = r.select(F.col("id").alias("record_id"), F.col("m").alias("n"), F.explode("t").alias("token"))
+    words = durable(b.select("token").distinct(), "gate-words")
+    known = F.broadcast(words) if words.count() <= BROADCAST_TOKENS else words
+    a = durable(o.select(F.col("id").alias("op_id"), "m", F.explode("t").alias("token")).join(known, "token", "left_semi"), "gate-tokens")
+    df = durable(a.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "gate-df")
+    df = F.broadcast(df) if df.count() <= BROADCAST_TOKENS else df
+    return a.join(df, "token"), b.join(df, "token")
+
+
+def _overlaps(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
     """(op_id, record_id) whose smaller token set may be held by the larger one to that share, but for two tokens.
 
-    Tokens are ordered by their frequency in the records, so those no record has come first. Of a set of m tokens that shares
+    Tokens are ordered by their frequency, those that only one side has first. Of a set of m tokens that shares
     ceil(share (m - 2)) with another, one of the first m - ceil(share (m - 2)) + 1 is shared. Each side's first tokens meet
     all of the other's, where the own set is the smaller one.
     """
-    b = r.select(F.col("id").alias("record_id"), F.col("m").alias("n"), F.explode("t").alias("token"))
-    df = durable(b.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "gate-tokens")
-    known = F.broadcast(df) if df.count() <= BROADCAST_TOKENS else df
-    a = o.select(F.col("id").alias("op_id"), "m", F.explode("t").alias("token")).join(known, "token")
-    need = lambda m: m - F.ceil(F.lit(share) * (m - 2)) + 1
-    own = Window.partitionBy("op_id")
-    first = a.withColumns({"r": F.row_number().over(own.orderBy("df", "token")), "known": F.count(F.lit(1)).over(own)})
-    first = first.where(F.col("r") + F.col("m") - F.col("known") <= need(F.col("m"))).select("op_id", "m", "token")
-    rank = F.row_number().over(Window.partitionBy("record_id").orderBy("df", "token"))
-    least = b.join(known, "token").withColumn("r", rank).where(F.col("r") <= need(F.col("n"))).select("record_id", "n", "token")
-    one = first.join(b, "token").where("m <= n")
-    two = a.join(least, "token").where("n < m")
+    def first(rows: DataFrame, key: str, size: str) -> DataFrame:
+        own = Window.partitionBy(key)
+        rows = rows.withColumns({"r": F.row_number().over(own.orderBy("df", "token")), "known": F.count(F.lit(1)).over(own)})
+        need = F.col(size) - F.ceil(F.lit(share) * (F.col(size) - 2)) + 1
+        return rows.where(F.col("r") + F.col(size) - F.col("known") <= need).select(key, size, "token")
+
+    one = first(a, "op_id", "m").join(b.select("record_id", "n", "token"), "token").where("m <= n")
+    two = a.select("op_id", "m", "token").join(first(b, "record_id", "n"), "token").where("n < m")
     return one.select("op_id", "record_id").unionByName(two.select("op_id", "record_id")).distinct()
 
 
@@ -68,7 +75,7 @@ def _pieces(o: DataFrame, r: DataFrame) -> DataFrame:
     return one.unionByName(two)
 
 
-def candidates(o: DataFrame, r: DataFrame, threshold: float = LEXICAL) -> DataFrame:
+def candidates(o: DataFrame, r: DataFrame, a: DataFrame, b: DataFrame, threshold: float = LEXICAL) -> DataFrame:
     """(op_id, record_id) that may reach the threshold: by tokens, by equal normal forms, or as short texts inside others.
 
     Token overlap reaches the threshold only if the smaller set is held by threshold / 0.92 or more; a text inside another
@@ -76,7 +83,7 @@ def candidates(o: DataFrame, r: DataFrame, threshold: float = LEXICAL) -> DataFr
     """
     share = math.floor(threshold / 0.92 * 1000) / 1000
     equal = o.select(F.col("id").alias("op_id"), F.md5("x").alias("h")).join(r.select(F.col("id").alias("record_id"), F.md5("x").alias("h")), "h").select("op_id", "record_id")
-    return _overlaps(o, r, share).unionByName(equal).unionByName(_pieces(o, r)).distinct()
+    return _overlaps(a, b, share).unionByName(equal).unionByName(_pieces(o, r)).distinct()
 
 
 def best_match(ops: DataFrame, records: DataFrame, threshold: float = LEXICAL) -> DataFrame:
@@ -84,10 +91,10 @@ def best_match(ops: DataFrame, records: DataFrame, threshold: float = LEXICAL) -
     o, r = _sides(ops, records)
     entities = "entity_ids" in o.columns and "entity_ids" in r.columns
     # common tokens are counted by a join, so no text or token array goes with a pair that they rule out
-    pairs = durable(candidates(o, r, threshold), "gate-pairs")
-    a = pairs.join(o.select(F.col("id").alias("op_id"), F.explode_outer("t").alias("token")), "op_id")
-    b = r.select(F.col("id").alias("record_id"), F.explode("t").alias("token"), F.lit(1).alias("hit"))
-    both = a.join(b, ["record_id", "token"], "left").groupBy("op_id", "record_id").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("both"))
+    a, b = _tokens(o, r)
+    pairs = durable(candidates(o, r, a, b, threshold), "gate-pairs")
+    hits = pairs.join(b.select("record_id", "token"), "record_id").join(a.select("op_id", "token"), ["op_id", "token"])
+    both = pairs.join(hits.groupBy("op_id", "record_id").agg(F.count(F.lit(1)).alias("both")), ["op_id", "record_id"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     rows = both.join(o.select(F.col("id").alias("op_id"), "m"), "op_id").join(r.select(F.col("id").alias("record_id"), F.col("m").alias("n")), "record_id")
     least = F.least("m", "n")
     overlap = F.when(least > 0, F.greatest(F.col("both") / (F.col("m") + F.col("n") - F.col("both")), 0.92 * F.col("both") / least)).otherwise(0.0)

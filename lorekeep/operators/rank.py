@@ -162,11 +162,13 @@ def diffuse(candidates: DataFrame, edges: DataFrame, damping: float = 0.18, roun
 def mmr(rows: DataFrame, k: int = 6, weight: float = 0.78) -> DataFrame:
     """K rows of each query, greedily by relevance less likeness to those chosen. rows: (query_id, id, score, terms array).
 
-    Greedy per query over its candidates, whose number the pool of the re-ranking bounds.
+    Greedy per query over its candidates, whose number the pool of the re-ranking bounds. Ties go to the lesser place, if
+    there is such a column, else to the greater score and lesser id.
     """
+    order = {"by": ["place"], "ascending": [True]} if "place" in rows.columns else {"by": ["score", "id"], "ascending": [False, True]}
 
     def choose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        left = [(r.id, r.score, set(r.terms)) for r in pdf.sort_values(["score", "id"], ascending=[False, True]).itertuples()]
+        left = [(r.id, r.score, set(r.terms)) for r in pdf.sort_values(**order).itertuples()]
         top = max(max((s for _, s, _ in left), default=0.0), 1e-9)
         chosen, out = [], []
         while left and len(out) < k:
@@ -179,7 +181,7 @@ def mmr(rows: DataFrame, k: int = 6, weight: float = 0.78) -> DataFrame:
         return pd.DataFrame(out, columns=["query_id", "id", "rank", "mmr"])
 
     schema = f"query_id {rows.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, rank int, mmr double"
-    return rows.select("query_id", "id", "score", "terms").groupBy("query_id").applyInPandas(choose, schema)
+    return rows.select("query_id", "id", "score", "terms", *[c for c in ("place",) if c in rows.columns]).groupBy("query_id").applyInPandas(choose, schema)
 
 
 def similarity_terms(text: Column, topics: Column) -> Column:

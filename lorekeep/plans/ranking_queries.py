@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators import dense, evaluate, lexical, rank
 from .conversation_queries import BM25, newest_queries
 from .driver import table
@@ -147,20 +146,6 @@ def t11(spark, d):
     return rank.diffuse(f.select("query_id", "id", "score"), edges).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query("r7_recall")
-def r7(spark, d):
-    """The whole read path: views, channels, fusion, diffusion, re-ranking, diversity."""
-    queries, docs, f = fused(spark, d)
-    terms = lexical.postings(docs).where(F.length("token") >= 5).select("conv_id", "id", F.lit("t").alias("type"), F.col("token").alias("term"))
-    n = docs.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("now"))
-    spread = rank.diffuse(f, rank.candidate_edges(f.withColumn("conv_id", F.col("query_id")), terms, n.drop("now")))
-    rows = spread.join(docs.select(F.col("conv_id").alias("query_id"), "id", "text"), ["query_id", "id"]).join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(n.select(F.col("conv_id").alias("query_id"), "now"), "query_id")
-    q = X.words(F.col("q"))
-    rows = rows.withColumns({"coverage": X.word_coverage(q, X.words(F.col("text"))), "phrase": X.phrase_hits(q, F.col("text")).cast("double"), "slot": F.lit(0.0), "entity": F.lit(0), "recency": rank.recency(F.col("now") - F.col("id")), "importance": F.lit(0.6), "breadth": F.size("channels") / 3.0})
-    best = rank.rerank(rows).select("query_id", "id", F.col("rerank_score").alias("score"), rank.similarity_terms(F.col("text"), F.array().cast("array<string>")).alias("terms"))
-    return rank.mmr(best).withColumn("mmr", F.round("mmr", 6))
-
-
 @query("t14_budget_skip")
 def t14(spark, d):
     docs = newest_queries(spark, d)[1].withColumn("size", F.length("text"))

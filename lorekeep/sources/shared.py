@@ -37,3 +37,9 @@ def clear(spark: SparkSession) -> int:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as the session has cores, if it has fewer (a table of one row group, say); large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
