@@ -122,8 +122,13 @@ def tokens_to_chars(n_tokens: Column, sample: Column) -> Column:
     return F.floor(n_tokens * ratio).cast("long")
 
 
+def digest(text: Column) -> Column:
+    """Sixty bits of a text's MD5 as a number, which other engines can compute too."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def fnv1a32(text: Column) -> Column:
-    """H7: 32-bit FNV-1a over the characters' code units; for parity only, ids are 64-bit hashes."""
+    """H7: 32-bit FNV-1a over the characters' code points, which beyond the first plane differ from UTF-16 units; ids here are 64-bit hashes."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
     step = lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619), F.lit(1 << 32))
     return F.aggregate(chars, F.lit(2166136261).cast("long"), step)

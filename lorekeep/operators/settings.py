@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_baseline, overlap_similarity, tokens_baseline
+from ..functions.text import digest, normalize_baseline, overlap_similarity, tokens_baseline
 
 
 def segment_untitled(texts: DataFrame, limit: int = 8, preview: int = 180) -> DataFrame:
@@ -132,7 +132,7 @@ def build_chunks(entries: DataFrame, most: int = 420) -> DataFrame:
     """(entry_id, chunk, title, text, retrieval_text, hash) of entries (entry_id, title, content)."""
     rows = entries.select(*[c for c in entries.columns if c != "content"], F.posexplode(glue_conditions(split_chunks(F.col("content"), most), most=most * 3 // 2)).alias("chunk", "text"))
     full = F.concat(F.lit("["), F.coalesce("title", F.lit("")), F.lit("] "), "text")
-    return rows.withColumn("retrieval_text", full).withColumn("hash", F.xxhash64("entry_id", "chunk", "retrieval_text"))
+    return rows.withColumn("retrieval_text", full).withColumn("hash", digest(F.concat_ws("\x1f", "entry_id", "chunk", "retrieval_text")))
 
 
 def lexical_topk(queries: DataFrame, chunks: DataFrame, k: int = 12, least: float = 0.05) -> DataFrame:
@@ -163,7 +163,7 @@ def entry_manifest(chunks: DataFrame) -> DataFrame:
     """Per entry its chunks, their hashes in order and a signature of them."""
     rows = F.array_sort(F.collect_list(F.struct("chunk", "hash")))
     m = chunks.groupBy("entry_id").agg(F.count(F.lit(1)).alias("chunks"), F.transform(rows, lambda x: x["hash"]).alias("hashes"))
-    return m.withColumn("signature", F.xxhash64("hashes"))
+    return m.withColumn("signature", digest(F.array_join(F.col("hashes").cast("array<string>"), ",")))
 
 
 def corpus_fingerprint(chunks: DataFrame) -> DataFrame:

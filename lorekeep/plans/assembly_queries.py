@@ -88,7 +88,7 @@ def t17(spark, d):
 
 def last_rows(spark, d):
     t = turns(spark, d)
-    side = lambda r: F.max_by(F.when(F.col("role") == r, F.left("text", F.lit(50))), F.when(F.col("role") == r, F.col("turn")))
+    side = lambda r: F.max_by(F.when(F.col("role") == r, F.col("text")), F.when(F.col("role") == r, F.col("turn")))
     return t.groupBy("conv_id").agg(side("user").alias("user"), side("assistant").alias("assistant"))
 
 
