@@ -60,29 +60,36 @@ def j7(spark, d):
     return S.bind(chats, worlds(spark, d))
 
 
-@query("s6_segment_untitled", r"""with p as (select doc_id as id, list_filter(list_transform(regexp_split_to_array(text, '\n{2,}'), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> '') as para from documents)
-select id, cast(i - 1 as integer) as "index", cast(length(part) as integer) as length, substr(part, 1, 180) as preview from (select id, unnest(para[1:8]) as part, unnest(range(1, least(len(para), 8) + 1)) as i from p where len(para) > 1)""")
+@query("s6_segment_untitled", r"""with p as (select doc_id as id, list_filter(list_transform(regexp_split_to_array(text, '\n{2,}'), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> '') as para,
+list_filter(list_transform(string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(10) || chr(9) || chr(13))), lambda x: x <> '') as sent from documents),
+u as (select id, case when len(para) > 1 then para else sent end as part from p)
+select id, cast(i - 1 as integer) as "index", cast(length(part) as integer) as length, substr(part, 1, 180) as preview from (select id, unnest(part[1:8]) as part, unnest(range(1, least(len(part), 8) + 1)) as i from u)""")
 def s6(spark, d):
-    """Texts of several paragraphs; the sentence form is in the tests."""
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").where(F.size(F.filter(F.split("text", r"\n{2,}"), lambda x: F.trim(x, F.lit(" \n\t\r")) != "")) > 1)
-    return S.segment_untitled(t)
+    """Every document, by paragraphs if it has several, else by sentences."""
+    return S.segment_untitled(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("s5_ingest_titled_text", "with d as (select *, row_number() over (partition by source order by doc_id) - 1 as i from documents where not regexp_matches(text, '(^|\\n)#{1,2}[ \\t]+\\S') and trim(regexp_replace(text, '[\\n\\t\\r]', ' ', 'g')) <> '') select source as path, cast(i as integer) as \"index\", 'Doc ' || doc_id as title, md5(trim(text, chr(32) || chr(10) || chr(9) || chr(13))) as h from d")
+#: Entries of a file, at most: a file is one value of a row, so its size is bounded and the number of files grows instead.
+PER_FILE = 100
+
+
+@query("s5_ingest_titled_text", f"select source || '/' || (doc_id // {PER_FILE}) as path, cast(row_number() over (partition by source, doc_id // {PER_FILE} order by doc_id) - 1 as integer) as \"index\", 'Doc ' || doc_id as title, md5(trim(regexp_replace(text, '(^|\\n)#', '\\1 #', 'g'), chr(32) || chr(10) || chr(9) || chr(13))) as h from documents")
 def s5(spark, d):
-    """Each source's documents under headings, as one text, taken apart again."""
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"(^|\n)#{1,2}[ \t]+\S") & (F.trim(F.regexp_replace("text", r"[\n\t\r]", " ")) != ""))
-    part = F.struct("doc_id", F.concat(F.lit("# Doc "), "doc_id", F.lit("\n"), "text", F.lit("\n")).alias("t"))
-    files = docs.groupBy(F.col("source").alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "").alias("text"))
+    """Each source's documents under headings, a file for each hundred ids, taken apart again; their own headings are indented."""
+    docs = table(spark, d, "documents")
+    text = F.regexp_replace("text", r"(^|\n)#", "$1 #")
+    part = F.struct("doc_id", F.concat(F.lit("# Doc "), "doc_id", F.lit("\n"), text, F.lit("\n")).alias("t"))
+    path = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / PER_FILE))
+    files = docs.groupBy(path.alias("path")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "").alias("text"))
     return S.titled_entries(files).select("path", "index", "title", F.md5("content").alias("h"))
 
 
-@query("s4_ingest_worldbook", f"with {ENTRIES} select entry_id % 50 as book, title, md5(content) as h, constant, disabled, secret, ord, 1 as extra from entries")
+@query("s4_ingest_worldbook", f"with {ENTRIES} select entry_id // {PER_FILE} as book, title, md5(content) as h, constant, disabled, secret, ord, 1 as extra from entries")
 def s4(spark, d):
-    """Entries written as world-info JSON, fifty books, and read again."""
+    """Entries written as world-info JSON, a book for each hundred ids, and read again."""
     e = entries(spark, d)
     one = F.struct("title", "content", "constant", F.col("disabled").alias("disable"), "secret", F.col("ord").alias("order"), F.lit("x").alias("vendor"))
-    books = e.groupBy((F.col("entry_id") % 50).alias("book")).agg(F.to_json(F.struct(F.collect_list(one).alias("entries"))).alias("text"))
+    books = e.groupBy(F.floor(F.col("entry_id") / PER_FILE).alias("book")).agg(F.to_json(F.struct(F.collect_list(one).alias("entries"))).alias("text"))
     out = S.worldbook_entries(books.select(F.col("book").cast("string").alias("path"), "text"))
     return out.select(F.col("path").cast("long").alias("book"), "title", F.md5("content").alias("h"), "constant", "disabled", "secret", "ord", F.size("raw_extra").alias("extra"))
 
