@@ -112,3 +112,17 @@ k{i} as (select * from k{i - 1} union all (select query_id, id, {i}, v from v{i}
 
 
 twin("t10_mmr_select", _mmr())
+
+# chunks' ranks fused and collapsed to entries.
+twin("r8_retrieve_settings", SETTING + """, rp as (select query_id, entry_id, 0.9 / (61 + rank) as part, secret, row_number() over (partition by query_id, entry_id order by rank) as r from sr where rank < 12),
+re as (select query_id, entry_id, sum(part * case r when 1 then 1 when 2 then 0.25 when 3 then 0.1 else 0 end) as score, count(*) as chunks from rp where not secret group by query_id, entry_id)
+select query_id, entry_id, round(score, 6) as score, chunks, cast(row_number() over (partition by query_id order by round(score, 9) desc, entry_id) as integer) as rank from re qualify rank <= 5""")
+
+# The first and last four words of the user's turn as a lookup over all turns of the conversation.
+twin("j12_resolve_lookups", f"""with {TURNS}, lw as (select *, lag(role) over z as br, lag(text) over z as bx from t window z as (partition by conv_id order by turn)),
+rq as (select conv_id, turn as msg, string_split(bx, ' ') as w from lw where role = 'assistant' and br = 'user' and bx <> ''),
+qt as (select conv_id, msg, regexp_extract_all(lower(array_to_string(w[1:4], ' ') || ' ' || array_to_string(w[greatest(1, len(w) - 3):], ' ')), '[a-z0-9_]{{2,}}') as k from rq),
+tok as (select conv_id, turn as id, {TOKENS.format('text')} as k from t), p as (select conv_id, id, len(k) as dl, unnest(k) as token from tok), post as (select conv_id, id, token, count(*) as tf, max(dl) as dl from p group by all),
+per as (select conv_id, count(*) as n, avg(greatest(1, len(k))) as al from tok group by conv_id), df as (select conv_id, token, count(*) as df from post group by all), q as (select conv_id, msg, token, count(*) as qtf from (select conv_id, msg, unnest(k) as token from qt) group by all),
+s as (select q.conv_id, msg, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(1.0, al))) * least(2, qtf)) as score from post join df using (conv_id, token) join per using (conv_id) join q using (conv_id, token) group by all),
+b as (select * from s qualify row_number() over (partition by conv_id, msg order by round(score, 9) desc, id desc) <= 2) select b.conv_id, msg, 0 as n, id, 'live' as source, md5(text) as text from b join t on t.conv_id = b.conv_id and t.turn = b.id""")

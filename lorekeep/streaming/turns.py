@@ -21,6 +21,24 @@ def missing_pairs(turns: DataFrame, extractions: DataFrame, every: int = 1) -> D
     return due.join(extractions.select("conv_id", "pair_key"), ["conv_id", "pair_key"], "left_anti")
 
 
+def backfill(turns: DataFrame, extractions: DataFrame, most: int = 200, marker: str = "<memory_ops") -> DataFrame:
+    """The first so many pairs of each conversation that have no record and whose reply carries no operations itself.
+
+    The canonical memories are then those of ``fold.replay`` over all records.
+    """
+    from pyspark.sql import Window
+
+    due = missing_pairs(turns, extractions).where(~F.contains("assistant_text", F.lit(marker)))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("assistant_turn"))
+    return due.withColumn("place", place).where(F.col("place") <= most)
+
+
+def settled_without_vector(memories: DataFrame, sizes: DataFrame, indexable, settle: int) -> DataFrame:
+    """Memories that may be indexed, have no vector yet and lie so many messages back. sizes: (conv_id, n messages)."""
+    rows = memories.where(indexable & F.col("vector_hash").isNull()).join(sizes, "conv_id")
+    return rows.where(F.col("valid_from") <= F.col("n") - 1 - settle)
+
+
 def touched(changed: DataFrame, table: DataFrame) -> DataFrame:
     """All rows of the conversations that have changed rows."""
     return table.join(changed.select("conv_id").distinct(), "conv_id", "left_semi")
