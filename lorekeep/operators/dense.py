@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query vectors that meet a batch of the collection at once.
-BLOCK = 256
+from ..sources.shared import durable
+
+#: Queries of a block, vectors of a block, and bytes of queries that are broadcast at most.
+BLOCK, VECTORS, BROADCAST_BYTES = 256, 2048, 64_000_000
 
 
 def norm(vec: Column) -> Column:
@@ -27,40 +29,53 @@ def decode(text: Column) -> Column:
     return F.transform(F.split(text, ","), lambda x: x.cast("float"))
 
 
+def packed(rows: DataFrame, most: int) -> DataFrame:
+    """(dim, ids, vectors): vectors of one length, so many to a row, as bytes of 64-bit numbers. rows: (id, vec)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, list[float]]]] = {}
+
+        def flush(dim: int) -> pa.RecordBatch:
+            own = held.pop(dim)
+            ids, vectors = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float64)
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["dim", "ids", "vectors"])
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if v:
+                    held.setdefault(len(v), []).append((i, v))
+                    if len(held[len(v)]) >= most:
+                        yield flush(len(v))
+        for dim in list(held):
+            yield flush(dim)
+
+    return rows.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).mapInArrow(run, "dim int, ids binary, vectors binary")
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
     """(query_id, id, score, rank) of the k best by cosine, those under the threshold taken out afterwards.
 
-    queries: (query_id, vec), vectors: (id, vec). Vectors of another length than the query, or without direction, score -1.
-    Every task holds one block of queries at a time and passes on k rows per query and batch.
+    queries: (query_id, vec), vectors: (id, vec). Vectors of another length than the query do not count, those without
+    direction score -1. Blocks of queries meet blocks of vectors, a pair of blocks at a time; each passes on k rows a query.
+    The queries' blocks are broadcast up to BROADCAST_BYTES; beyond that the pairs of blocks are dealt over the cluster.
     """
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // BLOCK)))))
-    blocks = dealt.groupBy("block").agg(F.collect_list(F.struct(F.col("query_id").cast("long").alias("q"), F.col("vec").cast("array<double>").alias("v"))).alias("qs")).select("qs")
+    asked = durable(packed(queries.select(F.col("query_id").alias("id"), "vec"), BLOCK), "dense-queries").select(F.col("dim").alias("qd"), F.col("ids").alias("qi"), F.col("vectors").alias("qv"))
+    size = asked.agg(F.sum(F.length("qv"))).first()[0] or 0
+    asked = F.broadcast(asked) if size <= BROADCAST_BYTES else asked
+    pairs = packed(vectors, VECTORS).crossJoin(asked).where("dim = qd").select("qi", "qv", "ids", "vectors", "dim")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vecs, blocks = (batch.column(i).to_pylist() for i in range(3))
-            at: dict[tuple, list[int]] = {}
-            for i, b in enumerate(blocks):
-                at.setdefault(tuple(x["q"] for x in b), []).append(i)
-            rows = []
-            for own in at.values():
-                qs = blocks[own[0]]
-                for dim in {len(x["v"]) for x in qs if x["v"]}:
-                    q = [x for x in qs if x["v"] and len(x["v"]) == dim]
-                    c = [i for i in own if vecs[i] and len(vecs[i]) == dim]
-                    if not c:
-                        continue
-                    a, b = np.array([x["v"] for x in q]), np.array([vecs[i] for i in c], np.float64)
-                    size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
-                    s = np.where(size > 0, a @ b.T / np.where(size > 0, size, 1), -1.0)
-                    for j, x in enumerate(q):
-                        # all that tie with the k-th best go on, so that the final order decides
-                        low = np.partition(s[j], -k)[-k] if s.shape[1] > k else -2.0
-                        rows += [(x["q"], ids[c[i]], float(s[j, i])) for i in np.flatnonzero(s[j] >= low - 1e-9)]
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "id", "score"])
-
-    pairs = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<double>")).crossJoin(blocks)
+            for qi, qv, ids, vs, dim in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                q, v = np.frombuffer(qi, np.int64), np.frombuffer(ids, np.int64)
+                a, b = np.frombuffer(qv, np.float64).reshape(-1, dim), np.frombuffer(vs, np.float64).reshape(-1, dim)
+                size = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
+                s = np.where(size > 0, a @ b.T / np.where(size > 0, size, 1), -1.0)
+                # all that tie with the k-th best go on, so that the final order decides
+                low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(q), -2.0)
+                x, y = np.nonzero(s >= low[:, None] - 1e-9)
+                yield pa.RecordBatch.from_arrays([pa.array(q[x]), pa.array(v[y]), pa.array(s[x, y])], names=["query_id", "id", "score"])
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")) - 1
     return pairs.mapInArrow(scan, "query_id long, id long, score double").withColumn("rank", rank).where((F.col("rank") < k) & (F.col("score") >= threshold))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators import dense, evaluate, lexical, rank
 from .conversation_queries import BM25, newest_queries
-from .driver import table
+from .driver import IMPORTANCE, pick, table
 from .oplog_queries import VERSIONS, versions
 from .registry import query
 
@@ -89,16 +90,20 @@ def g7(spark, d):
     return rank.rrf(both, {"focus": 1.0, "assistant": 0.72}).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-RERANK = FUSE + """, f as (select query_id, id, score, (id % 4) / 4.0 as coverage, exp(-ln(2) * (50 - id) / 120.0) as recency, n / 3.0 as breadth from fused),
-m as (select *, min(score) over w as s0, max(score) over w as s1, min(coverage) over w as c0, max(coverage) over w as c1, min(recency) over w as r0, max(recency) over w as r1, min(breadth) over w as b0, max(breadth) over w as b1 from f window w as (partition by query_id)),
-n as (select query_id, id, score, case when s1 - s0 < 1e-9 then 0.5 else (score - s0) / (s1 - s0) end as s, case when c1 - c0 < 1e-9 then 0.5 else (coverage - c0) / (c1 - c0) end as c, case when r1 - r0 < 1e-9 then 0.5 else (recency - r0) / (r1 - r0) end as r, case when b1 - b0 < 1e-9 then 0.5 else (breadth - b0) / (b1 - b0) end as b from m),
-rr as (select query_id, id, score, 0.45 * s + 0.55 * least(1, greatest(0, 0.5 + 0.6 * (c - 0.5) + 0.24 * (r - 0.5) + 0.16 * (b - 0.5))) as rerank_score from n)"""
+RERANK = FUSE + r""", fw as (select f.query_id, f.id, f.score, f.n, list_distinct(regexp_extract_all(lower(query.text), '[\p{L}\p{N}_]+')) as q, regexp_extract_all(lower(docs.text), '[\p{L}\p{N}_]+') as d from fused f join query on query.conv_id = f.query_id join docs on docs.conv_id = f.query_id and docs.id = f.id),
+f as (select query_id, id, score, case when len(q) > 0 then coalesce(list_sum(list_transform(list_intersect(q, d), lambda w: length(w))), 0) / list_sum(list_transform(q, lambda w: length(w))) else 0 end as coverage, exp(-ln(2) * (50 - id) / 120.0) as recency, n / 3.0 as breadth, ([0.3, 0.6, 1.0, 0.6])[(id // 2) % 4 + 1] as importance from fw),
+m as (select *, min(score) over w as s0, max(score) over w as s1, min(coverage) over w as c0, max(coverage) over w as c1, min(recency) over w as r0, max(recency) over w as r1, min(breadth) over w as b0, max(breadth) over w as b1, min(importance) over w as i0, max(importance) over w as i1 from f window w as (partition by query_id)),
+n as (select query_id, id, score, case when s1 - s0 < 1e-9 then 0.5 else (score - s0) / (s1 - s0) end as s, case when c1 - c0 < 1e-9 then 0.5 else (coverage - c0) / (c1 - c0) end as c, case when r1 - r0 < 1e-9 then 0.5 else (recency - r0) / (r1 - r0) end as r, case when b1 - b0 < 1e-9 then 0.5 else (breadth - b0) / (b1 - b0) end as b, case when i1 - i0 < 1e-9 then 0.5 else (importance - i0) / (i1 - i0) end as i from m),
+rr as (select query_id, id, score, 0.45 * s + 0.55 * least(1, greatest(0, 0.5 + 0.6 * (c - 0.5) + 0.24 * (r - 0.5) + 0.16 * (b - 0.5) + 0.16 * (i - 0.5))) as rerank_score from n)"""
 
 
 def reranked(spark, d):
+    """Coverage from the texts, importance by a rule on the id; r7_recall has all features."""
     queries, docs, f = fused(spark, d)
-    rows = f.withColumns({"coverage": (F.col("id") % 4) / 4.0, "phrase": F.lit(0.0), "slot": F.lit(0.0), "entity": F.lit(0), "recency": rank.recency(50 - F.col("id")), "importance": F.lit(0.6), "breadth": F.size("channels") / 3.0})
-    return queries, docs, rank.rerank(rows)
+    rows = f.join(docs.select(F.col("conv_id").alias("query_id"), "id", "text"), ["query_id", "id"]).join(queries.select("query_id", F.col("text").alias("q")), "query_id")
+    level = rank.lookup(rank.RERANK_IMPORTANCE, pick(IMPORTANCE, F.floor(F.col("id") / 2)), 0.6)
+    rows = rows.withColumns({"coverage": X.word_coverage(X.words(F.col("q")), X.words(F.col("text"))), "phrase": F.lit(0.0), "slot": F.lit(0.0), "entity": F.lit(0), "recency": rank.recency(50 - F.col("id")), "importance": level, "breadth": F.size("channels") / 3.0})
+    return queries, docs, rank.rerank(rows.drop("text", "q"))
 
 
 @query("t9_rerank", RERANK + " select query_id, id, round(rerank_score, 6) as rerank_score, cast(row_number() over (partition by query_id order by round(rerank_score, 9) desc, round(score, 9) desc, id) as integer) as rank from rr")
