@@ -131,6 +131,9 @@ class Models:
 
     def __init__(self, table: pa.Table):
         self.parts: dict[str, dict[int, tuple[np.ndarray, np.ndarray]]] = {}
+        self.langs: list[str] = []
+        if not table.num_rows:
+            return
         lang, kind = table.column("lang").combine_chunks().dictionary_encode(), table.column("kind").to_numpy()
         key, value = table.column("key").to_numpy().astype(np.uint64), table.column("value").to_numpy().astype(np.float32)
         code = lang.indices.to_numpy()
