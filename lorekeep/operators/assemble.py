@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import estimate_tokens
 from .derived import expand_evidence
 from .lexical import bm25, top_k
-from .rank import pack_prefix
+from .rank import pack_layers, pack_prefix
 
 GROUPS = ("location", "present", "condition", "commitment", "knowledge", "other")
 CUT = "…[truncated by budget]"
@@ -109,9 +110,18 @@ def relevant_baseline(core: DataFrame, similar: DataFrame, chars: int) -> DataFr
 
 
 def assemble(queries: DataFrame, reference: DataFrame, state: DataFrame, max_reference: int, max_state: int) -> DataFrame:
-    """One row per query with both blocks within one budget. reference: (conv_id, rank, id, text); state: (conv_id, block)."""
-    parts = F.array_sort(F.collect_list(F.struct("rank", "id", "text")))
-    r = reference.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("reference"), F.transform(parts, lambda x: x["id"]).alias("chosen"))
+    """One row per query with both blocks within one budget, the ids chosen and the number dropped, and estimated tokens.
+
+    reference: (conv_id, layer, rank, id, text), layer 0 for constants, 1 for what is relevant, 2 for history: each layer takes
+    rows in order that fit its share, and what one leaves goes on to the next. state: (conv_id, block).
+    """
+    rows = reference.select("conv_id", "layer", "rank", "id", "text", (F.length("text") + 1).alias("size"))
+    fits = pack_layers(rows, "conv_id", "layer", [F.col("rank"), F.col("id")], "size", max_reference).select("conv_id", "layer", "id", F.lit(True).alias("fits"))
+    rows = rows.join(fits, ["conv_id", "layer", "id"], "left")
+    parts = F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("layer", "rank", "id", "text"))))
+    of = lambda c, sep: F.array_join(F.transform(parts, lambda x: x[c]), sep)
+    r = rows.groupBy("conv_id").agg(of("text", "\n").alias("reference"), of("id", ",").alias("chosen"), F.count_if(F.col("fits").isNull()).alias("dropped"))
     rows = queries.join(r, "conv_id", "left").join(state, "conv_id", "left").withColumns({"reference": F.coalesce("reference", F.lit("")), "block": F.coalesce("block", F.lit(""))})
     total, s, f = pair_budget(F.col("reference"), F.col("block"), max_reference, max_state, F.col("context_tokens"))
-    return rows.select("conv_id", F.left("block", s).alias("state_block"), F.left("reference", f).alias("reference_block"), "chosen", total.alias("cap"))
+    out = rows.select("conv_id", F.left("block", s).alias("state_block"), F.left("reference", f).alias("reference_block"), F.coalesce("chosen", F.lit("")).alias("chosen"), F.coalesce("dropped", F.lit(0)).alias("dropped"), total.alias("cap"))
+    return out.withColumn("tokens", estimate_tokens(F.col("state_block")) + estimate_tokens(F.col("reference_block")))

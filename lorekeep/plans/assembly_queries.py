@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assemble as A, ingest as I, maintain as M, settings as S, turns as T
+from ..operators import assemble as A, ingest as I, lexical, maintain as M, settings as S, turns as T
 from .driver import OPS_SQL, ops, table, turns
 from .oplog_queries import VERSIONS, versions
 from .registry import query
@@ -128,11 +128,20 @@ def j23(spark, d):
 
 @query("t18_assemble")
 def t18(spark, d):
-    """State and newest turns of each conversation in one row."""
-    t = turns(spark, d)
-    q = t.select("conv_id").distinct().withColumn("context_tokens", F.lit(4000))
-    ref = t.select("conv_id", (-F.col("turn")).alias("rank"), F.col("turn").alias("id"), "text")
-    return A.assemble(q, ref, A.state_block(state_rows(spark, d), 1200), 3000, 1200).withColumn("chosen", F.array_join(F.col("chosen").cast("array<string>"), ","))
+    """State, constant settings of the conversation's world, the six best earlier turns and the newest others, in one row."""
+    from pyspark.sql import Window
+
+    from .conversation_queries import newest_queries
+
+    q, docs = newest_queries(spark, d)
+    q = q.select("conv_id", "text", F.col("conv_id").alias("query_id"), F.concat(F.lit("src"), F.col("conv_id") % 20).alias("world_id"))
+    best = lexical.top_k(lexical.bm25(q.select("query_id", "conv_id", "text"), docs), 6).select("conv_id", "id", "rank")
+    turn = lambda rows, layer: rows.select("conv_id", F.lit(layer).alias("layer"), F.col("rank").cast("long").alias("rank"), F.concat(F.lit("turn:"), "id").alias("id"), "text")
+    newest = docs.join(best, ["conv_id", "id"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("id"))))
+    fixed = chunks(spark, d).where("chunk = 0 and constant and not disabled and not secret")
+    fixed = q.select("conv_id", "world_id").join(fixed, "world_id").select("conv_id", F.lit(0).alias("layer"), F.col("entry_id").alias("rank"), F.concat(F.lit("setting:"), "entry_id").alias("id"), F.col("retrieval_text").alias("text"))
+    reference = fixed.unionByName(turn(docs.join(best, ["conv_id", "id"]), 1)).unionByName(turn(newest, 2))
+    return A.assemble(q.select("conv_id", F.lit(4000).alias("context_tokens")), reference, A.state_block(state_rows(spark, d), 1200), 3000, 1200)
 
 
 @query("r9_verify_index", "select count(*) filter (e) as expected_entries, count(*) filter (not e) as foreign_entries from (select doc_id % 7 <> 0 as e from documents where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')")
