@@ -30,7 +30,7 @@ def neighbours(spark, d, queries, memories, k: int = 18):
     """A vector channel: a turn's vector is one of the given ones, by a rule on its conversation and number."""
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.row_number().over(Window.orderBy("vec_id")).alias("n"))
     size = v.count()
-    at = lambda n: F.pmod(F.xxhash64("conv_id", n), F.lit(size)) + 1
+    at = lambda n: (F.col("conv_id") * 31 + n * 7) % size + 1
     v = v.select("n", "v")
     m = memories.select("conv_id", "id", at(F.col("id")).alias("n")).join(v, "n").select("conv_id", "id", F.col("v").alias("b"))
     q = queries.select("query_id", "conv_id", at(F.col("as_of")).alias("n")).join(v, "n").select("query_id", "conv_id", F.col("v").alias("a"))

@@ -7,6 +7,7 @@ from ..operators.settings import CONDITION_LEADERS
 from .assembly_queries import BLOCK
 from .conversation_queries import BM25, DOCS, TOKENS, TURNS
 from .oplog_queries import VERSIONS
+from . import recall_queries  # noqa: F401
 from .ranking_queries import RERANK
 from .registry import ORACLE_SQL, QUERIES
 from .settings_queries import ENTRIES, NORM, TOK
@@ -135,3 +136,60 @@ tok as (select conv_id, turn as id, {TOKENS.format('text')} as k from t), p as (
 per as (select conv_id, count(*) as n, avg(greatest(1, len(k))) as al from tok group by conv_id), df as (select conv_id, token, count(*) as df from post group by all), q as (select conv_id, msg, token, count(*) as qtf from (select conv_id, msg, unnest(k) as token from qt) group by all),
 s as (select q.conv_id, msg, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(1.0, al))) * least(2, qtf)) as score from post join df using (conv_id, token) join per using (conv_id) join q using (conv_id, token) group by all),
 b as (select * from s qualify row_number() over (partition by conv_id, msg order by round(score, 9) desc, id desc) <= 2) select b.conv_id, msg, 0 as n, id, 'live' as source, md5(text) as text from b join t on t.conv_id = b.conv_id and t.turn = b.id""")
+
+
+def _recall(k: int = 6, rounds: int = 5) -> str:
+    """Channels, fusion, diffusion, features, re-ranking and diversity of the newest user turns' memories."""
+    first = lambda text, rx: f"list_transform(list_sort(list_transform(list_distinct(regexp_extract_all({text}, '{rx}')), lambda w: {{'i': list_position(regexp_extract_all({text}, '{rx}'), w), 'w': w}})), lambda z: z.w)[1:4]"
+    tight = lambda c: f"replace({SQUEEZE.format(c)}, ' ', '')"
+    scaled = ", ".join(f"case when max({c}) over w - min({c}) over w < 1e-9 then 0.5 else ({c} - min({c}) over w) / (max({c}) over w - min({c}) over w) end as n_{c}" for c in ("score", "coverage", "phrase", "slot", "entity", "recency", "importance", "breadth"))
+    sql = f"""with {DOCS}, nw as (select conv_id, max(id) + 1 as as_of from docs group by conv_id), qq as (select conv_id, text as q, as_of from query join nw using (conv_id)),
+me as (select conv_id, id, text, (['state','knowledge','commitment','relation','event'])[id % 5 + 1] as kind, (['low','medium','high','critical'])[(id // 2) % 4 + 1] as importance, 'slot.' || (id % 5) as slot_name,
+ {first('text', '\\p{Lu}[\\p{L}\\p{N}]{3,}')} as es, {first('lower(text)', '\\p{L}{9,}')} as ts, case when id % 7 = 3 then 'closed' else 'active' end as status, id % 3 as reinforcement, id % 8 <> 5 as evidenced, case when id % 9 = 4 then id + 1 end as recalled from docs),
+op as (select * from me where trim(text) <> '' and (evidenced or importance not in ('low', 'medium') or kind = 'state')),
+tok as (select conv_id, id, {TOKENS.format("concat_ws(' ', text, array_to_string(es, ' '), array_to_string(ts, ' '))")} as k from op), pt as (select conv_id, id, len(k) as dl, unnest(k) as token from tok),
+post as (select conv_id, id, token, count(*) as tf, max(dl) as dl from pt group by all), per as (select conv_id, count(*) as n, avg(greatest(1, len(k))) as al from tok group by conv_id), dfr as (select conv_id, token, count(*) as df from post group by all),
+qt as (select conv_id, token, count(*) as qtf from (select conv_id, unnest({TOKENS.format('q')}) as token from qq) group by all),
+bm as (select post.conv_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(1.0, al))) * least(2, qtf)) as score from post join dfr using (conv_id, token) join per using (conv_id) join qt using (conv_id, token) group by post.conv_id, id),
+mn as (select conv_id, id, len(list_filter(list_distinct(list_transform(es, lambda e: {tight('e')})), lambda e: length(e) >= 2 and contains({tight('q')}, e))) as ne, len(list_filter(list_distinct(list_transform(ts, lambda e: {SQUEEZE.format('e')})), lambda e: length(e) >= 2 and contains({SQUEEZE.format('q')}, e))) as nt from op join qq using (conv_id)),
+lx as (select conv_id, id, coalesce(score, 0) + case when ne > 0 then 3.2 + 0.8 * least(3, ne - 1) else 0 end + least(2.4, 0.8 * nt) as s, ne > 0 as named from mn left join bm using (conv_id, id)),
+lr as (select *, row_number() over (partition by conv_id order by round(s, 9) desc, id desc) - 1 as rank from lx where s > 0 qualify rank < 24),
+bonus as (select * from (values ('low', 0.0, 0.3), ('medium', 0.012, 0.6), ('high', 0.026, 1.0), ('critical', 0.045, 0.6)) v(importance, plus, level)),
+sr as (select conv_id, id, row_number() over (partition by conv_id order by round(0.3 + 0.5 * greatest(0, 1 - (as_of - id) / 512) + plus, 9) desc, id desc) - 1 as rank from me join qq using (conv_id) join bonus using (importance) where status = 'active' and id <= as_of qualify rank < 8),
+ve as (select embedding::double[] as e, row_number() over (order by vec_id) as n from embeddings), nv as (select count(*) as size from embeddings),
+dp as (select me.conv_id, me.id, list_cosine_similarity(a.e, b.e) as s from me join qq using (conv_id) cross join nv join ve a on a.n = (me.conv_id * 31 + as_of * 7) % size + 1 join ve b on b.n = (me.conv_id * 31 + me.id * 7) % size + 1),
+dn as (select dp.conv_id, dp.id, dp.rank from (select *, row_number() over (partition by conv_id order by round(s, 9) desc, id) - 1 as rank from dp qualify rank < 18 and s >= -0.1) dp semi join op on op.conv_id = dp.conv_id and op.id = dp.id),
+ch as (select conv_id, id, 'dense1' as channel, 1.0 / (61 + rank) as part, false as named from dn union all select conv_id, id, 'structured', 0.8 / (61 + rank), false from sr
+ union all select conv_id, id, 'lexical', 0.9 / (61 + rank), named from lr where named or (conv_id, id) in (select conv_id, id from dn)),
+fu as (select conv_id, id, sum(part) as part, string_agg(channel, ',' order by channel) as channels, count(*) as nch, (bool_or(named) and not bool_or(channel = 'dense1'))::int as entity from ch group by conv_id, id),
+f as (select conv_id as query_id, id, channels, nch, entity, (part + 0.006 * entity + plus + least(0.025, 0.003 * reinforcement)) * case when evidenced then 1 else 0.82 end * case when as_of - recalled between 1 and 4 then 0.42 + 0.58 * (as_of - recalled) / 5 else 1 end as score from fu join me using (conv_id, id) join bonus using (importance) join qq using (conv_id)),
+tm as (select distinct conv_id, id, kd, {SQUEEZE.format('term')} as term from (select conv_id, id, 'e' as kd, unnest(es) as term from me union all select conv_id, id, 't', unnest(ts) from me)),
+sz as (select conv_id, count(*) as n from me group by conv_id), ra as (select conv_id, kd, term, case when kd = 'e' and df / n <= 0.45 then 1.25 * ln(1 + n / df) when kd = 't' and df / n <= 0.6 then ln(1 + n / df) end as w from (select conv_id, kd, term, count(*) as df from tm where term <> '' group by all) join sz using (conv_id)),
+ow as (select f.query_id, f.id, tm.kd, tm.term, ra.w from f join tm on tm.conv_id = f.query_id and tm.id = f.id join ra on ra.conv_id = tm.conv_id and ra.kd = tm.kd and ra.term = tm.term where ra.w is not null),
+ed as (select a.query_id, a.id as a, b.id as b, sum(least(a.w, b.w)) as w from ow a join ow b on a.query_id = b.query_id and a.kd = b.kd and a.term = b.term and a.id < b.id group by all),
+bo as (select query_id, a, b, w from ed union all select query_id, b, a, w from ed), sh as (select query_id, a, b, w / sum(w) over (partition by query_id, a) as share from bo),
+p0 as (select f.query_id, f.id, f.score, f.score / sum(f.score) over (partition by f.query_id) as base, f.score / sum(f.score) over (partition by f.query_id) as p, exists (select 1 from sh where sh.query_id = f.query_id and sh.a = f.id) as linked from f)"""
+    for i in range(rounds):
+        sql += f""", g{i} as (select s.query_id, s.b as id, sum(p.p * s.share) as got from p{i} p join sh s on s.query_id = p.query_id and s.a = p.id group by all),
+p{i + 1} as (select p.query_id, p.id, p.score, p.base, 0.82 * p.base + 0.18 * case when p.linked then coalesce(g.got, 0) else p.p end as p, p.linked from p{i} p left join g{i} g using (query_id, id))"""
+    sql += f""", ds as (select query_id, id, 0.88 * score + 0.12 * greatest(max(score) over w, 1e-9) * p / greatest(max(p) over w, 1e-9) as score from p{rounds} window w as (partition by query_id)),
+x as (select ds.query_id as conv_id, ds.id, {SQUEEZE.format('q')} as q, lower(trim(case when len(es) + len(ts) > 0 then '[' || concat_ws(' — ', nullif(array_to_string(es, ', '), ''), nullif(array_to_string(ts, ', '), '')) || '] ' else '' end || trim(me.text))) as n0, slot_name from ds join me on me.conv_id = ds.query_id and me.id = ds.id join qq on qq.conv_id = ds.query_id),
+y as (select conv_id, id, slot_name, trim(regexp_replace(n0, '\\s+', ' ', 'g')) as n, list_distinct({WORDS.format('q')}) as qd, {WORDS.format('q')} as qw from x),
+ft as (select conv_id as query_id, id, case when len(qd) > 0 then coalesce(list_sum(list_transform(list_intersect(qd, {WORDS.format('n')}), lambda w: length(w))), 0) / list_sum(list_transform(qd, lambda w: length(w))) else 0 end as coverage,
+ case when len(qd) > 0 then coalesce(list_sum(list_transform(list_intersect(qd, {WORDS.format('slot_name')}), lambda w: length(w))), 0) / list_sum(list_transform(qd, lambda w: length(w))) else 0 end as slot,
+ case when len(qw) > 1 then least(1.0, len(list_filter(list_distinct(list_transform(range(1, len(qw)), lambda i: qw[i] || '[^\\p{{L}}\\p{{N}}]{{0,2}}' || qw[i + 1])), lambda p: regexp_matches(n, p))) / (len(qw) - 1)) else 0 end as phrase from y),
+fz as (select ds.query_id, ds.id, ds.score, f.channels, f.entity, coverage, slot, phrase, exp(-ln(2) * greatest(as_of - ds.id, 0) / 120.0) as recency, level as importance, least(1.0, nch / 3.0) as breadth from ds join f using (query_id, id) join ft using (query_id, id) join me on me.conv_id = ds.query_id and me.id = ds.id join bonus using (importance) join qq on qq.conv_id = ds.query_id),
+nz as (select *, {scaled} from fz window w as (partition by query_id)),
+rr as (select *, 0.45 * n_score + 0.55 * least(1, greatest(0, 0.5 + 2 * (0.30 * (n_coverage - 0.5) + 0.18 * (n_phrase - 0.5) + 0.12 * (n_slot - 0.5) + 0.12 * (n_entity - 0.5) + 0.12 * (n_recency - 0.5) + 0.08 * (n_importance - 0.5) + 0.08 * (n_breadth - 0.5)))) + case when entity > 0 then 0.05 else 0 end as rerank_score from nz),
+rk as (select *, row_number() over (partition by query_id order by round(rerank_score, 9) desc, round(score, 9) desc, id) as place from rr qualify place <= 30),
+mm as (select rk.query_id, rk.id, rk.score, rk.rerank_score, rk.channels, rk.place, rk.score / greatest(max(rk.score) over (partition by rk.query_id), 1e-9) as rel, list_distinct(list_concat(list_transform(ts, lambda z: 't:' || {SQUEEZE.format('z')}), list_transform({TOKENS.format('text')}, lambda z: 'x:' || z))) as tk from rk join me on me.conv_id = rk.query_id and me.id = rk.id),
+sim as (select a.query_id, a.id as a, b.id as b, case when len(a.tk) > 0 and len(b.tk) > 0 then len(list_intersect(a.tk, b.tk)) / (len(a.tk) + len(b.tk) - len(list_intersect(a.tk, b.tk))) else 0 end as j from mm a join mm b on a.query_id = b.query_id and a.id <> b.id),
+k0 as (select query_id, id, 0 as rank, 0.0 as mmr from mm where false)"""
+    for i in range(1, k + 1):
+        sql += f""", v{i} as (select m.query_id, m.id, m.place, round(0.78 * m.rel - 0.22 * coalesce(max(s.j), 0), 12) as v from mm m left join (select sim.* from sim join k{i - 1} k on k.query_id = sim.query_id and k.id = sim.b) s on s.query_id = m.query_id and s.a = m.id
+ where not exists (select 1 from k{i - 1} k where k.query_id = m.query_id and k.id = m.id) group by m.query_id, m.id, m.place, m.rel),
+k{i} as (select * from k{i - 1} union all (select query_id, id, {i}, v from v{i} qualify row_number() over (partition by query_id order by v desc, place) = 1))"""
+    return sql + f" select query_id, id, cast(rank as integer) as rank, round(score, 6) as score, round(rerank_score, 6) as rerank_score, round(mmr, 6) as mmr, channels from k{k} join mm using (query_id, id)"
+
+
+twin("r7_recall", _recall())
