@@ -158,7 +158,6 @@ def test_packing_round_trip(docs):
     from lorekeep.llm.queries import tokenizer_files
 
     exact = Tokenizer.from_file(tokenizer_files()[0])
-    exact.encode_special_tokens = True
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     texts[5000] = "<|endoftext|> " + "\n \n\t" * 50 + "　漢字" * 30
     spark = docs.sparkSession
