@@ -50,24 +50,87 @@ def parted(members: DataFrame, keys: tuple[str, ...], comp: DataFrame, cid: str
     return large.join(apart, list(keys), "left_semi")
 
 
-def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """The rows of each key, of batches sorted by their first n_keys columns."""
+def whole_keys(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int = 50_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about so many rows, or of one larger key, that hold keys whole, and where each key begins and the last ends.
+
+    batches: sorted by their first n_keys columns.
+    """
     held: list[pa.RecordBatch] = []
-    last = None
+
+    def cut(table: pa.Table) -> np.ndarray:
+        keys = np.stack([table.column(k).to_numpy() for k in range(n_keys)], 1)
+        return np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]))
+
+    n = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)], 1)
-        cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for lo, hi in zip(cut, cut[1:]):
-            key = tuple(keys[lo])
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(lo, hi - lo))
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            table = pa.Table.from_batches(held)
+            at = cut(table)
+            if len(at) > 2:  # the last key may go on in the next batch
+                yield table.slice(0, at[-2]), at[:-1]
+                held = table.slice(at[-2]).to_batches()
+            n = sum(x.num_rows for x in held)
+            rows = max(rows, 2 * n)
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held)
+        yield table, cut(table)
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each key of more than one row, of batches sorted by their first n_keys columns."""
+    for table, at in whole_keys(batches, n_keys):
+        for k in np.flatnonzero(np.diff(at) > 1):
+            yield table.slice(at[k], at[k + 1] - at[k])
+
+
+#: Rows of a key whose pairs are compared for many keys at once.
+FEW = 16
+
+
+def hanging(batches: Iterator[pa.RecordBatch], n_keys: int, cid: int, sides: Callable[[pa.Table], Callable], step: int = 1024) -> Iterator[pa.RecordBatch]:
+    """(a, b): the pairs of each (keys, i, j) that are near, as a forest where a key has more than FEW rows.
+
+    batches: of ``dealt``, the block in column n_keys + 2 and the id in column cid; sides(table) gives near(x, y) for places of
+    the table: as a matrix for slices or an array for two arrays of equal length, given as near(x, y, True).
+    """
+    for table, at in whole_keys(batches, n_keys + 2):
+        near, ids = sides(table), table.column(cid).to_numpy()
+        i, j, block = (table.column(n_keys + k).to_numpy() for k in range(3))
+        size = np.diff(at)
+        few = (size > 1) & (size <= FEW) & (i[at[:-1]] == j[at[:-1]])
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+        starts, lengths = at[:-1][few], size[few]
+        for lag in range(1, int(lengths.max(initial=1))):
+            some = lengths > lag
+            count = lengths[some] - lag
+            x = np.repeat(starts[some] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+            ok = near(x, x + lag, True)
+            left.append(x[ok])
+            right.append(x[ok] + lag)
+        for k in np.flatnonzero((size > 1) & ~few):
+            rows = np.arange(at[k], at[k + 1])
+            order, first = halves(block[rows], i[at[k]], j[at[k]])
+            rows = rows[order]
+
+            def paired(a: slice, b: slice, rows=rows) -> np.ndarray:
+                out = near(rows[a], rows[b], False)
+                return np.tril(out, -1) if a == b else out
+
+            found = forest(len(rows), ((a, b, lambda a=a, b=b: paired(a, b)) for a, b in tiles(len(rows), first, step)))
+            if found:
+                x, y = np.array(found).T
+                left.append(rows[x])
+                right.append(rows[y])
+        if left:
+            x, y = ids[np.concatenate(left)], ids[np.concatenate(right)]
+            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def forest(n: int, blocks: Iterator[tuple[slice, slice, Callable[[], np.ndarray]]]) -> list[tuple[int, int]]:

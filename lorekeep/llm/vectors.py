@@ -20,6 +20,7 @@ do not link; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import durable
-from .blocks import dealt, every_pair, first_pairs, forest, halves, other_pairs, parted, runs, tiles, with_blocks
+from .blocks import dealt, every_pair, first_pairs, forest, halves, hanging, other_pairs, parted, runs, tiles, with_blocks
 from .graph import components
 
 ROTATIONS, MISS, SEED = 8, 1e-3, 77
@@ -107,28 +108,31 @@ def candidate_forest(entries: DataFrame, limit: float) -> DataFrame:
     """(a, b): what the classes of each key hang together by. entries: (dim, key, i, j, block, cid, words), of ``dealt``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        for table in runs(batches, 4):
-            if table.num_rows < 2:
-                continue
-            most = most_differing(table.column(0)[0].as_py(), limit)
-            order, first = halves(table.column(4).to_numpy(), table.column(2)[0].as_py(), table.column(3)[0].as_py())
-            cid, words = table.column(5).to_numpy()[order], stacked(table.column(6), np.int64).view(np.uint64)[order]
-
-            def near(a: slice, b: slice, words=words, most=most) -> np.ndarray:
-                differ = np.zeros((a.stop - a.start, b.stop - b.start), np.uint16)
-                for k in range(words.shape[1]):
-                    differ += np.bitwise_count(words[a, None, k] ^ words[None, b, k])
-                return np.tril(differ <= most, -1) if a == b else differ <= most
-
-            found = forest(len(cid), ((a, b, lambda a=a, b=b: near(a, b)) for a, b in tiles(len(cid), first, 1024)))
-            pairs = {(int(min(cid[i], cid[j])), int(max(cid[i], cid[j]))) for i, j in found} - seen
-            if len(seen) > 500_000:
-                seen.clear()
-            seen |= pairs
-            if pairs:
-                a, b = zip(*sorted(pairs))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        for one in of_one_dimension(batches):
+            yield from hanging(one, 2, 5, sides)
+
+    def of_one_dimension(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[pa.RecordBatch]]:
+        """The batches of each dimension: they are sorted by it, and the words of one dimension are of one length."""
+        for dim, parts in itertools.groupby(cut_by_dimension(batches), key=lambda x: x.column(0)[0].as_py()):
+            yield parts
+
+    def cut_by_dimension(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim = batch.column(0).to_numpy()
+            at = [0, *(np.flatnonzero(dim[1:] != dim[:-1]) + 1).tolist(), len(dim)]
+            yield from (batch.slice(lo, hi - lo) for lo, hi in zip(at, at[1:]) if hi > lo)
+
+    def sides(table: pa.Table):
+        words, most = stacked(table.column(6), np.int64).view(np.uint64), most_differing(table.column(0)[0].as_py(), limit)
+
+        def near(x: np.ndarray, y: np.ndarray, alike: bool) -> np.ndarray:
+            total = 0
+            for k in range(words.shape[1]):
+                a, b = words[x, k], words[y, k]
+                total = total + np.bitwise_count(a ^ b if alike else a[:, None] ^ b).astype(np.uint16)
+            return total <= most
+
+        return near
 
     return entries.mapInArrow(run, "a long, b long").distinct()
 
