@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, langid, mixing, neardup, packing, pii, quality, secrets, toxicity, vectors
+from . import chatformat, html_text, langid, mixing, neardup, packing, pii, prefixes, quality, secrets, spelling, toxicity, twins, vectors
 from .base import table
 
 
@@ -55,6 +55,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.shared(table(spark, sf_dir, "conversations"))
+
+
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatformat.checked(table(spark, sf_dir, "conversations"), *tokenizer_files())
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_neardup": op2_neardup,
@@ -66,6 +78,9 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_pii": op9_pii,
     "op10_secrets": op10_secrets,
+    "op11_spelling": op11_spelling,
+    "op12_prefixes": op12_prefixes,
+    "op13_chat": op13_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_spelling": twins.SPELLING, "op12_prefixes": twins.PREFIXES, "op13_chat": twins.FORMATTED}
