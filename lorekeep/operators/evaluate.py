@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def case_scores(cases: DataFrame, ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """Per case recall, precision, reciprocal rank and hit of the first k; no gold: recall 1, rank 0, precision 0 unless nothing came back."""
@@ -37,16 +39,17 @@ def compare_runs(base: DataFrame, candidate: DataFrame) -> DataFrame:
 def threshold_table(samples: DataFrame) -> DataFrame:
     """Confusion counts at every distinct score, at 0 and at 1. samples: (score 0..1, label boolean).
 
-    Cumulative counts over the distinct scores; scores rounded to four digits first keep their number bounded.
+    Cumulative counts over the distinct scores on two levels (``scan``): no task has them all, however many they are.
     """
     per = samples.groupBy("score").agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("n"))
     ends = samples.sparkSession.sql("select explode(array(0D, 1D)) as score").withColumns({"p": F.lit(0).cast("long"), "n": F.lit(0).cast("long")})
     per = per.unionByName(ends).groupBy("score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    down = Window.orderBy(F.desc("score"))
-    t = per.select("score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(Window.partitionBy(F.lit(0))).alias("P"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("N"))
+    down = scan.running(per.withColumns({"all": F.lit(0), "down": -F.col("score")}), ["all"], ["down"], {"tp": F.col("p"), "fp": F.col("n")}, "thresholds")
+    whole = down.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("all_p"), F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"))
+    t = down.join(F.broadcast(whole), F.lit(True))  # one row
     precision = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(1.0)
-    recall = F.when(F.col("P") > 0, F.col("tp") / F.col("P")).otherwise(1.0)
-    t = t.select(F.col("score").alias("threshold"), "tp", "fp", (F.col("P") - F.col("tp")).alias("fn"), (F.col("N") - F.col("fp")).alias("tn"), precision.alias("precision"), recall.alias("recall"))
+    recall = F.when(F.col("all_p") > 0, F.col("tp") / F.col("all_p")).otherwise(1.0)
+    t = t.select(F.col("score").alias("threshold"), "tp", "fp", (F.col("all_p") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("fp")).alias("tn"), precision.alias("precision"), recall.alias("recall"))
     return t.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0))
 
 

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import dense, ingest as I, oplog
-from ..sources.shared import shared_dir
-from ..streaming import turns as R
+from ..sources.shared import folder as place
+from ..streaming import state as S, turns as R
 from .conversation_queries import PAIRS, TURNS
 from .driver import OPS_SQL, ops, table, turns
 from .oplog_queries import VERSIONS, state_ops, versions
@@ -17,21 +15,32 @@ from .registry import query
 from .settings_queries import ENTRIES, entries
 
 
-def place(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/lorekeep-{name}-{uuid.uuid4().hex}"
+FOLDED = ("conv_id", "slot", "kind", "text", "valid_from", "valid_until", "status")
+
+
+def streamed(spark, batches):
+    """The memories that a stream leaves whose files are these tables, one batch each."""
+    at = place(spark, "ingest")
+    for k, rows in enumerate(batches):
+        rows.write.parquet(f"{at}/in/part={k}")
+    stream = spark.readStream.schema(batches[0].schema).option("maxFilesPerTrigger", 8).parquet(f"{at}/in/*")
+    S.ingest(stream, f"{at}/changes", f"{at}/state").awaitTermination()
+    return S.current(spark.read.parquet(f"{at}/changes")).select(*FOLDED)
 
 
 @query("r2_ingest_ops", VERSIONS + " select conv_id, slot, kind, text, valid_from, valid_until, status from versions")
 def r2(spark, d):
-    """The log comes in three micro-batches; the memories that they leave are those of the whole log."""
-    at = place(spark, "ingest")
+    """The log comes in three parts, out of order; the memories that they leave are those of the whole log."""
     log = state_ops(spark, d).withColumn("target_slot", F.col("slot"))
-    for k in range(3):
-        log.where(F.col("msg") % 3 == k).coalesce(1).write.parquet(f"{at}/in/part={k}")
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in/*")
-    job = R.ingest_ops(stream, f"{at}/log", f"{at}/memories", f"{at}/state")
-    job.awaitTermination()
-    return spark.read.parquet(f"{at}/memories").select("conv_id", "slot", "kind", "text", "valid_from", "valid_until", "status")
+    return streamed(spark, [log.where(F.col("msg") % 3 == k) for k in range(3)])
+
+
+@query("r2_extracted_again", VERSIONS.replace("from events)", "from events where event_id % 10 <> 3)") + " select conv_id, slot, kind, text, valid_from, valid_until, status from versions")
+def r2b(spark, d):
+    """Every tenth message is extracted again, with nothing in it: what followed from it is withdrawn."""
+    log = state_ops(spark, d).withColumns({"target_slot": F.col("slot"), "tx": F.lit(1).cast("long")})
+    again = log.where("msg % 10 = 3").withColumns({"op": F.lit("noop"), "tx": F.lit(2).cast("long")})
+    return streamed(spark, [log, again])
 
 
 @query("r4_backfill", PAIRS + ", n as (select conv_id, assistant_turn, row_number() over (partition by conv_id order by assistant_turn) as r from pairs p where assistant_turn % 3 <> 0 and not contains(assistant_text, '<memory_ops')) select conv_id, assistant_turn from n where r <= 200")

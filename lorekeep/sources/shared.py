@@ -22,11 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder's name there; ``clear`` deletes it too."""
+    path = f"{shared_dir(spark)}/lorekeep-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """df, written as a table there and read again: lost executors cost no recomputation of what came before."""
-    path = f"{shared_dir(df.sparkSession)}/lorekeep-{label}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
