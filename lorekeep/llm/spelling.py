@@ -6,7 +6,7 @@ is taken, and kept if no gram before it covers it. One edit can only affect the
 a longer gram across it may cover, and a last gram that more letters would lengthen; the largest number of them over all
 places is the word's bound. So of two words one edit apart at least one gram among each one's (bound + 1) first, in an order
 that both share (rarest first), is the same, at a place that differs by one at most. Those lists alone are merged; pairs
-that meet in one are verified by their edit distance in the join itself.
+that meet in one, and agree before or after it, are verified by their edit distance in the join itself.
 
 Grams of one length bound the edits as well: words of ``LEAST`` + 2 * ``LEAST`` - 2 code points and more always keep one in
 common. Where the grams of varying length leave a word without such a promise, it goes into a second index of grams of
@@ -124,18 +124,20 @@ def lists(dictionary: DataFrame, known: DataFrame) -> DataFrame:
 def near(dictionary: DataFrame) -> DataFrame:
     """(a, b): every two words exactly one insertion, deletion or replacement apart, once; b is the longer, or the later of two as long."""
     known = durable(frequent(dictionary), "spelling-frequent")
-    found = durable(lists(dictionary, known).withColumn("n", F.length("word")), "spelling-lists")
+    # a common gram lies before or after the edit, so what is on its other side is the same in both words
+    sides = {"before": F.hash(F.substring(F.col("word"), F.lit(1), F.col("at"))), "after": F.hash(F.substring(F.col("word"), F.col("at") + 1, F.length("word")))}
+    found = durable(lists(dictionary, known).withColumns({"n": F.length("word"), **sides}), "spelling-lists")
     key = ["gram", "n", "at"]
     # long lists are split into blocks; what asks for them asks for every block
     sizes = found.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > LIST).withColumn("blocks", F.ceil(F.col("size") / LIST).cast("int")).drop("size")
     sizes = durable(sizes, "spelling-long")
     blocks = F.coalesce("blocks", F.lit(1))
-    listed = found.join(sizes, key, "left").select(*key, F.pmod(F.xxhash64("word"), blocks).cast("int").alias("block"), F.col("word").alias("b"))
+    listed = found.join(sizes, key, "left").select(*key, F.pmod(F.xxhash64("word"), blocks).cast("int").alias("block"), F.col("word").alias("b"), F.col("before").alias("bb"), F.col("after").alias("ba"))
     same, longer, moved = F.struct("n", "at"), F.struct((F.col("n") + 1).alias("n"), "at"), F.struct((F.col("n") + 1).alias("n"), (F.col("at") + 1).alias("at"))
-    asks = found.select(F.col("word").alias("a"), "gram", F.explode(F.array(same, longer, moved)).alias("k")).select("a", "gram", "k.n", "k.at")
-    asks = asks.join(sizes, key, "left").select("a", *key, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    asks = found.select(F.col("word").alias("a"), "before", "after", "gram", F.explode(F.array(same, longer, moved)).alias("k")).select("a", "before", "after", "gram", "k.n", "k.at")
+    asks = asks.join(sizes, key, "left").select("a", "before", "after", *key, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     order = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    met = asks.join(listed, [*key, "block"]).where(order & (F.levenshtein("a", "b", 1) == 1))
+    met = asks.join(listed, [*key, "block"]).where(((F.col("before") == F.col("bb")) | (F.col("after") == F.col("ba"))) & order & (F.levenshtein("a", "b", 1) == 1))
     return met.select("a", "b").distinct()
 
 
