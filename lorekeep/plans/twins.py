@@ -138,12 +138,12 @@ s as (select q.conv_id, msg, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf *
 b as (select * from s qualify row_number() over (partition by conv_id, msg order by round(score, 9) desc, id desc) <= 2) select b.conv_id, msg, 0 as n, id, 'live' as source, md5(text) as text from b join t on t.conv_id = b.conv_id and t.turn = b.id""")
 
 
-def _recall(k: int = 6, rounds: int = 5) -> str:
+def _recall(k: int = 6, rounds: int = 5, docs: str = DOCS, tail: str = "") -> str:
     """Channels, fusion, diffusion, features, re-ranking and diversity of the newest user turns' memories."""
     first = lambda text, rx: f"list_transform(list_sort(list_transform(list_distinct(regexp_extract_all({text}, '{rx}')), lambda w: {{'i': list_position(regexp_extract_all({text}, '{rx}'), w), 'w': w}})), lambda z: z.w)[1:4]"
     tight = lambda c: f"replace({SQUEEZE.format(c)}, ' ', '')"
     scaled = ", ".join(f"case when max({c}) over w - min({c}) over w < 1e-9 then 0.5 else ({c} - min({c}) over w) / (max({c}) over w - min({c}) over w) end as n_{c}" for c in ("score", "coverage", "phrase", "slot", "entity", "recency", "importance", "breadth"))
-    sql = f"""with {DOCS}, nw as (select conv_id, max(id) + 1 as as_of from docs group by conv_id), qq as (select conv_id, text as q, as_of from query join nw using (conv_id)),
+    sql = f"""with {docs}, nw as (select conv_id, max(id) + 1 as as_of from docs group by conv_id), qq as (select conv_id, text as q, as_of from query join nw using (conv_id)),
 me as (select conv_id, id, text, (['state','knowledge','commitment','relation','event'])[id % 5 + 1] as kind, (['low','medium','high','critical'])[(id // 2) % 4 + 1] as importance, 'slot.' || (id % 5) as slot_name,
  {first('text', '\\p{Lu}[\\p{L}\\p{N}]{3,}')} as es, {first('lower(text)', '\\p{L}{9,}')} as ts, case when id % 7 = 3 then 'closed' else 'active' end as status, id % 3 as reinforcement, id % 8 <> 5 as evidenced, case when id % 9 = 4 then id + 1 end as recalled from docs),
 op as (select * from me where trim(text) <> '' and (evidenced or importance not in ('low', 'medium') or kind = 'state')),
@@ -189,7 +189,19 @@ k0 as (select query_id, id, 0 as rank, 0.0 as mmr from mm where false)"""
         sql += f""", v{i} as (select m.query_id, m.id, m.place, round(0.78 * m.rel - 0.22 * coalesce(max(s.j), 0), 12) as v from mm m left join (select sim.* from sim join k{i - 1} k on k.query_id = sim.query_id and k.id = sim.b) s on s.query_id = m.query_id and s.a = m.id
  where not exists (select 1 from k{i - 1} k where k.query_id = m.query_id and k.id = m.id) group by m.query_id, m.id, m.place, m.rel),
 k{i} as (select * from k{i - 1} union all (select query_id, id, {i}, v from v{i} qualify row_number() over (partition by query_id order by v desc, place) = 1))"""
+    if tail:
+        return sql + tail.format(k=k)
     return sql + f" select query_id, id, cast(rank as integer) as rank, round(score, 6) as score, round(rerank_score, 6) as rerank_score, round(mmr, 6) as mmr, channels from k{k} join mm using (query_id, id)"
 
 
 twin("r7_recall", _recall())
+
+# The same path over three questions of each conversation.
+twin("g27_selfcheck", _recall(docs=DOCS.replace("docs as", "docs0 as").replace("query as", "query0 as") + """,
+pl as (select *, row_number() over (partition by conv_id order by id) as place, count(*) over (partition by conv_id) as n, regexp_extract_all(text, '[\\p{L}\\p{N}]+') as w from docs0),
+docs as (select conv_id * 3 + k as conv_id, id, text from docs0, range(3) r(k)),
+asked as (select conv_id * 3 + k as conv_id, id as gold, case k when 0 then substr(text, 1, 60) when 1 then array_to_string(list_filter(w[1:30], lambda x, i: i % 3 = 1), ' ')
+ else array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'n': -length(x), 'x': x}))[1:3], lambda z: z.x), ' ') end as text
+ from pl, range(3) r(k) where place = case k when 0 then 1 when 1 then (n + 1) // 2 else n end),
+query as (select conv_id, text from asked)""", tail=""" select asked.conv_id as query_id, gold, r.rank is not null as hit, round(coalesce(1.0 / r.rank, 0), 6) as reciprocal_rank
+ from asked left join k{k} r on r.query_id = asked.conv_id and r.id = asked.gold"""))
