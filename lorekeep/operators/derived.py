@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from ..sources.shared import durable
+from . import scan
 
 
 def by_turn():
@@ -86,24 +87,49 @@ def tree_history(versions: DataFrame, keep: int = 3) -> DataFrame:
     return rows.withColumn("age", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("at")))).where(F.col("age") <= keep)
 
 
+#: Records of one conversation whose next cuts are found in one task.
+STRETCH = 4096
+
+
+def _next_cuts(rows: DataFrame, most: int) -> DataFrame:
+    """(conv_id, pos, next): where a scene ends that would begin at pos; rows: (conv_id, pos from 1, location or null, branch).
+
+    A scene has at most so many records, so its end follows from the next ones; the last of a stretch see the first of the next.
+    """
+    own = F.floor((F.col("pos") - 1) / STRETCH)
+    late = (F.col("pos") - 1) % STRETCH < most
+    seen = rows.withColumn("_s", F.explode(F.when(late & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))))
+    after = Window.partitionBy("conv_id", "_s").orderBy("pos").rowsBetween(0, most)
+    seen = seen.withColumn("_a", F.collect_list(F.struct("location", "branch")).over(after)).where(F.col("_s") == own)
+    x = F.col("_a")
+    ends = lambda k: ~F.element_at(x, k + 1)["branch"].eqNullSafe(F.element_at(x, k)["branch"]) | F.coalesce(
+        F.element_at(x, k + 1)["location"] != F.get(F.reverse(F.filter(F.slice(x, F.lit(1), k), lambda y: y["location"].isNotNull())), F.lit(0))["location"], F.lit(False)
+    )
+    first = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))), lambda k: (k < F.size(x)) & ((k >= most) | ends(k))), F.lit(0))
+    return seen.select("conv_id", "pos", (F.col("pos") + first).alias("next"))
+
+
 def scene_sessions(records: DataFrame, most: int = 6, chars: int = 1400) -> DataFrame:
     """Scenes of at most so many records, cut where the place or the branch changes. records: (conv_id, turn, location, branch, summary).
 
-    The size cap restarts the count at every cut, so the cut depends on all before it: an ordered pass over each conversation.
+    The size cap restarts the count at every cut, so each record points to the cut that would follow if a scene began there, and
+    the cuts are what is reached from the first record. Pointers are doubled: after k rounds 2^k cuts are known.
     """
-
-    def cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, scene, place, branch, n = [], -1, None, None, most
-        for r in rows.sort_values("turn").itertuples():
-            if n >= most or r.branch != branch or (r.location and place and r.location != place):
-                scene, n, place = scene + 1, 0, None
-            n, branch, place = n + 1, r.branch, r.location or place
-            out.append((key[0], scene, r.turn, place, r.summary))
-        return pd.DataFrame(out, columns=["conv_id", "scene", "turn", "location", "summary"])
-
-    rows = records.where("trim(coalesce(summary, '')) <> ''").groupBy("conv_id").applyInPandas(cut, "conv_id long, scene int, turn long, location string, summary string")
-    parts = F.array_sort(F.collect_list(F.struct("turn", "summary")))
-    return rows.groupBy("conv_id", "scene").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.max_by("location", "turn").alias("location"), F.left(F.array_join(F.transform(parts, lambda x: x["summary"]), " "), F.lit(chars)).alias("outcome"))
+    told = records.where("trim(coalesce(summary, '')) <> ''").select("conv_id", "turn", F.when(F.col("location") != "", F.col("location")).alias("location"), "branch", "summary")
+    rows = durable(scan.running(told, ["conv_id"], ["turn"], {"pos": F.lit(1)}, "scenes-records"), "scenes-rows")
+    jump = durable(_next_cuts(rows, most).where("next is not null"), "scenes-next0")
+    reached = rows.where("pos = 1").select("conv_id", "pos")
+    step = 0
+    while not jump.isEmpty():
+        step += 1
+        reached = durable(reached.unionByName(reached.join(jump, ["conv_id", "pos"]).select("conv_id", F.col("next").alias("pos"))), f"scenes-reached{step}")
+        on = jump.select("conv_id", F.col("pos").alias("next"), F.col("next").alias("far"))
+        jump = durable(jump.join(on, ["conv_id", "next"]).select("conv_id", "pos", F.col("far").alias("next")), f"scenes-next{step}")
+    marked = rows.join(reached.withColumn("cut", F.lit(1)), ["conv_id", "pos"], "left")
+    scenes = scan.running(marked, ["conv_id"], ["pos"], {"scene": F.coalesce("cut", F.lit(0))}, "scenes-numbered").withColumn("scene", (F.col("scene") - 1).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("turn", "summary")))  # at most so many
+    located = F.max_by(F.when(F.col("location").isNotNull(), F.col("location")), F.when(F.col("location").isNotNull(), F.col("turn")))
+    return scenes.groupBy("conv_id", "scene").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), located.alias("location"), F.left(F.array_join(F.transform(parts, lambda x: x["summary"]), " "), F.lit(chars)).alias("outcome"))
 
 
 def select_scenes(scenes: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
