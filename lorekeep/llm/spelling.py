@@ -124,21 +124,25 @@ def lists(dictionary: DataFrame, known: DataFrame) -> DataFrame:
 def near(dictionary: DataFrame) -> DataFrame:
     """(a, b): every two words exactly one insertion, deletion or replacement apart, once; b is the longer, or the later of two as long."""
     known = durable(frequent(dictionary), "spelling-frequent")
-    # a common gram lies before or after the edit, so what is on its other side is the same in both words
-    sides = {"before": F.hash(F.substring(F.col("word"), F.lit(1), F.col("at"))), "after": F.hash(F.substring(F.col("word"), F.col("at") + 1, F.length("word")))}
-    found = durable(lists(dictionary, known).withColumns({"n": F.length("word"), **sides}), "spelling-lists")
-    key = ["gram", "n", "at"]
+    found = durable(lists(dictionary, known), "spelling-lists")
+    # a common gram lies before or after the edit, so what is on its other side is the same in both words: it is part of the key
+    n, at = F.length("word"), F.col("at")
+    before, after = F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 1, n)
+    key = lambda side, n, at: F.xxhash64("gram", F.lit(side), n, at, before if side == 0 else after)
+    held = found.select(F.col("word").alias("b"), F.explode(F.array(key(0, n, at), key(1, n, at))).alias("key"))
     # long lists are split into blocks; what asks for them asks for every block
-    sizes = found.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > LIST).withColumn("blocks", F.ceil(F.col("size") / LIST).cast("int")).drop("size")
+    sizes = held.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LIST).select("key", F.ceil(F.col("size") / LIST).cast("int").alias("blocks"))
     sizes = durable(sizes, "spelling-long")
-    blocks = F.coalesce("blocks", F.lit(1))
-    listed = found.join(sizes, key, "left").select(*key, F.pmod(F.xxhash64("word"), blocks).cast("int").alias("block"), F.col("word").alias("b"), F.col("before").alias("bb"), F.col("after").alias("ba"))
-    same, longer, moved = F.struct("n", "at"), F.struct((F.col("n") + 1).alias("n"), "at"), F.struct((F.col("n") + 1).alias("n"), (F.col("at") + 1).alias("at"))
-    asks = found.select(F.col("word").alias("a"), "before", "after", "gram", F.explode(F.array(same, longer, moved)).alias("k")).select("a", "before", "after", "gram", "k.n", "k.at")
-    asks = asks.join(sizes, key, "left").select("a", "before", "after", *key, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    asks = found.select(F.col("word").alias("a"), F.explode(F.array(key(0, n, at), key(1, n, at), key(0, n + 1, at), key(1, n + 1, at + 1))).alias("key"))
+    if sizes.isEmpty():
+        met = asks.join(held, "key")
+    else:
+        blocks = F.coalesce("blocks", F.lit(1))
+        held = held.join(sizes, "key", "left").select("b", "key", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
+        asks = asks.join(sizes, "key", "left").select("a", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        met = asks.join(held, ["key", "block"])
     order = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    met = asks.join(listed, [*key, "block"]).where(((F.col("before") == F.col("bb")) | (F.col("after") == F.col("ba"))) & order & (F.levenshtein("a", "b", 1) == 1))
-    return met.select("a", "b").distinct()
+    return met.where(order & (F.levenshtein("a", "b", 1) == 1)).select("a", "b").distinct()
 
 
 def variants(documents: DataFrame) -> DataFrame:
