@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import canonical, history
 from ..operators.fold import apply_ops
 from ..operators.turns import pair_keys, pair_turns
 
@@ -82,6 +83,38 @@ def recall_counters(events: DataFrame) -> DataFrame:
     return events.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("recalled_count"), F.max("msg").alias("last_recalled"))
 
 
+def recall_signatures(chained: DataFrame, settings: DataFrame) -> DataFrame:
+    """(conv_id, signature, msg): what a prefetched recall depends on. chained: ``history.chain``; settings: (conv_id, json).
+
+    The digest of all rows of the conversation, with the canonical text of its settings; msg is the number of rows.
+    """
+    branch = history.branch_ids(chained)
+    said = canonical.stable_json(settings.select("conv_id", "json"), "conv_id", "json")
+    mark = F.sha2(F.concat_ws("|", "conv_id", "branch_id", F.coalesce("stable", F.lit(""))), 256)
+    return branch.join(said, "conv_id", "left").select("conv_id", mark.alias("signature"), F.col("n_rows").alias("msg"))
+
+
+def prefetch(results: DataFrame, signatures: DataFrame, path: str) -> None:
+    """Stores recalls (conv_id, id, rank) made ahead, under the signatures of now. Nothing is counted yet."""
+    results.join(signatures, "conv_id").select("conv_id", "signature", "msg", "id", "rank").write.mode("append").parquet(path)
+
+
+def parked(spark: SparkSession, path: str, signatures: DataFrame) -> DataFrame:
+    """The stored recalls that fit the conversations as they are: (conv_id, signature, msg, id, rank). Others are stale."""
+    stored = spark.read.parquet(path)
+    return stored.join(signatures.select("conv_id", "signature"), ["conv_id", "signature"], "left_semi").distinct()
+
+
+def commit_recall(used: DataFrame, path: str) -> None:
+    """Notes used recalls (rows of ``parked``) in the ledger. A use is known by conversation and signature: noting it again adds nothing to the counts."""
+    used.select("conv_id", "signature", "msg", "id").write.mode("append").parquet(path)
+
+
+def committed(ledger: DataFrame) -> DataFrame:
+    """The ledger's uses, each once, as events for ``recall_counters``."""
+    return ledger.select("conv_id", "signature", "msg", "id").distinct()
+
+
 def purge(table: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of conversations that are still there."""
     return table.join(gone.select("conv_id"), "conv_id", "left_anti")
