@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import durable
-from .spans import SPAN, find, free_of, listed
+from .spans import SPAN, find, free_of, listed, places, replaced
 
 KINDS = ("email", "ip", "card", "phone")
 CONFIDENT, SUPPORT, SHORTEST = 0.5, 3, 5
@@ -74,27 +74,25 @@ def base_spans(text: str) -> list[Column]:
 def candidates(text: str, base: Column) -> Column:
     """Array of (s, e, v, kind, beside): places and value of each candidate; kind: the seed's that begins in it, or null; beside: its patterns."""
     t = F.col(text)
-    row = "struct<s:bigint,e:bigint,v:string,g:string,h:string>"
     both = F.array(F.struct(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("m"), F.split(t, CANDIDATE, -1).alias("g")))
     gaps = lambda y, k: F.slice(y["g"], F.lit(k), F.size(y["m"]))
-    parts = lambda y: F.zip_with(y["m"], F.zip_with(gaps(y, 1), gaps(y, 2), lambda g, h: F.struct(g.alias("g"), h.alias("h"))), lambda v, x: F.struct(v.alias("v"), x["g"].alias("g"), x["h"].alias("h")))
-    none = F.expr(f"cast(array() as array<{row}>)")
-
-    def add(a: Column, x: Column) -> Column:
-        s = a["p"] + F.length(x["g"])
-        one = F.struct(s.alias("s"), (s + F.length(x["v"])).alias("e"), x["v"].alias("v"), x["g"].alias("g"), x["h"].alias("h")).cast(row)
-        return F.struct((s + F.length(x["v"])).alias("p"), F.concat(a["out"], F.array(one)).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("p"), none.alias("out"))
-    placed = F.get(F.transform(both, lambda y: F.aggregate(parts(y), start, add, lambda a: a["out"])), F.lit(0))
-
-    def one(x: Column) -> Column:
-        seed = F.filter(base, lambda b: (b["s"] >= x["s"]) & (b["s"] < x["e"]))
+    row = "struct<s:bigint,t:int,k:int,e:bigint,v:string,kind:string,g:string,h:string>"
+    own = lambda v, x: F.struct((x["e"] - F.length(v)).alias("s"), F.lit(0).alias("t"), F.lit(-1).alias("k"), x["e"].alias("e"), v.alias("v"), F.lit(None).alias("kind"), x["g"].alias("g"), x["h"].alias("h")).cast(row)
+    beside = lambda y: F.zip_with(places(y["m"], y["g"]), F.zip_with(gaps(y, 1), gaps(y, 2), lambda g, h: F.struct(g.alias("g"), h.alias("h"))), lambda e, x: F.struct(e.alias("e"), x["g"].alias("g"), x["h"].alias("h")))
+    placed = F.get(F.transform(both, lambda y: F.zip_with(y["m"], beside(y), own)), F.lit(0))
+    seeds = F.transform(base, lambda b: F.struct(b["s"].alias("s"), F.lit(1).alias("t"), b["k"].alias("k"), b["e"].alias("e"), b["v"].alias("v"), b["kind"].alias("kind"), F.lit("").alias("g"), F.lit("").alias("h")).cast(row))
+    # in order of their places, the first seed in a candidate comes right after it, as candidates do not overlap
+    merged = F.array(F.array_sort(F.concat(placed, seeds)))
+    pairs = F.get(F.transform(merged, lambda m: F.zip_with(m, F.slice(m, F.lit(2), F.greatest(F.size(m) - 1, F.lit(0))), lambda x, y: F.struct(x.alias("x"), y.alias("y")))), F.lit(0))
+
+    def one(z: Column) -> Column:
+        x = z["x"]
+        seeded = F.coalesce((z["y"]["t"] == 1) & (z["y"]["s"] < x["e"]), F.lit(False))
         words = {k: F.regexp_replace(F.regexp_extract(F.lower(x["h" if k == "after" else "g"]), rx, 1), f"{BREAK}+", " ") for k, rx in PLACES.items()}
-        beside = F.filter(F.array(*[F.struct(F.lit(k).alias("place"), w.alias("words")) for k, w in words.items()]), lambda y: y["words"] != "")
-        first = F.get(seed, F.lit(0))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.coalesce(first["v"], x["v"]).alias("v"), first["kind"].alias("kind"), beside.alias("beside"))
+        near = F.filter(F.array(*[F.struct(F.lit(k).alias("place"), w.alias("words")) for k, w in words.items()]), lambda y: y["words"] != "")
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(seeded, z["y"]["v"]).otherwise(x["v"]).alias("v"), F.when(seeded, z["y"]["kind"]).alias("kind"), near.alias("beside"))
 
+    placed = F.filter(pairs, lambda z: z["x"]["t"] == 0)
     out = F.filter(F.transform(placed, one), lambda x: x["kind"].isNotNull() | (F.length(x["v"]) >= SHORTEST))
     return F.when(t.rlike("[0-9@]"), out).otherwise(F.expr(f"cast(array() as array<{FOUND}>)"))
 
@@ -182,14 +180,6 @@ def redact(documents: DataFrame, **kw) -> DataFrame:
     rows = durable(marked(documents, [own.alias("_own"), F.col("text").isNull().alias("_null")]), "pii-redact")
     rows = _added(rows, learn(rows.select(F.explode("_found").alias("x")), rows.select(F.col("_text").alias("text")), **kw))
 
-    def put(a: Column, x: Column) -> Column:
-        text = F.col("_text")
-        inside = x["s"] < a["p"]
-        out = F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.substr(text, a["p"] + 1, x["s"] - a["p"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-        return F.struct(F.greatest(a["p"], x["e"]).alias("p"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("p"), F.lit("").alias("out"))
-    spans = F.array_sort(F.concat("_base", "_more"))
-    clean = F.aggregate(spans, start, put, lambda a: F.concat(a["out"], F.substr(F.col("_text"), a["p"] + 1)))
-    text = F.when(F.col("_null"), F.lit(None)).when(F.size("_base") + F.size("_more") > 0, clean).otherwise(F.col("_text"))
+    clean = replaced(F.col("_text"), F.array_sort(F.concat("_base", "_more")))
+    text = F.when(F.col("_null"), F.lit(None)).otherwise(clean)
     return rows.select(*[text.alias("text") if c == "text" else F.col(f"_own.`{c}`") for c in documents.columns])
