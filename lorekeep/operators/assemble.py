@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens
+from ..functions.text import estimate_tokens, normalize_baseline
 from .derived import expand_evidence
 from .lexical import bm25, top_k
 from .rank import pack_layers, pack_prefix
@@ -45,6 +45,52 @@ def pair_budget(reference: Column, state: Column, max_reference: int, max_state:
     return total, used, F.least(F.length(reference), F.lit(max_reference), total - used)
 
 
+#: The layers of an extraction's context, in the order in which they are served; the least cap.
+LAYERS, LEAST_CAP = ("canonical_state", "recent_context", "relevant_settings", "host_baseline"), 2000
+
+
+def layer_budget(wanted: DataFrame, limit: int = 20_000, reserve: int = 1200) -> DataFrame:
+    """(conv_id, layer, ceiling, dropped): what is left of the cap beside the turn pair goes to the layers in order.
+
+    wanted: (conv_id, layer, pair_chars, chars). A layer is dropped if it wants something and nothing is left.
+    """
+    place = F.array_position(F.array(*[F.lit(x) for x in LAYERS]), F.col("layer"))
+    rows = wanted.withColumns({"want": F.greatest(F.coalesce("chars", F.lit(0)), F.lit(0)), "free": F.greatest(F.lit(max(LEAST_CAP, limit)) - F.greatest(F.coalesce("pair_chars", F.lit(0)), F.lit(0)) - max(0, reserve), F.lit(0)), "place": place})
+    upto = F.sum("want").over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("upto", upto)
+    before = F.least(F.col("upto") - F.col("want"), F.col("free"))
+    return rows.select("conv_id", "layer", (F.least("upto", "free") - before).cast("long").alias("ceiling"), ((F.col("want") > 0) & (before >= F.col("free"))).alias("dropped"))
+
+
+#: Characters of an extraction query's parts and of the whole; entities and slots of it.
+QUERY_CHARS, QUERY_ENTITIES, QUERY_SLOTS = {"user": 5000, "assistant": 7000, "hint": 1800, "all": 12_000}, 14, 12
+
+
+def extraction_query(pairs: DataFrame, memories: DataFrame, hints: DataFrame) -> DataFrame:
+    """A labelled query for each turn pair, from both texts, entities, slots of the state and a hint.
+
+    pairs: (conv_id, user, assistant); memories: active ones (conv_id, id, slot, kind, text, entities); hints: (conv_id, hint).
+    Entities that the pair names come first, then those of lasting memories, each once, in order of the memories' ids.
+    """
+    tight = lambda c: F.regexp_replace(normalize_baseline(c), r"\s+", "")
+    cut = lambda c, n: F.left(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(n))
+    p = pairs.select("conv_id", cut("user", QUERY_CHARS["user"]).alias("user"), cut("assistant", QUERY_CHARS["assistant"]).alias("assistant"))
+    seed = p.select("conv_id", tight(F.concat_ws("\n", "user", "assistant")).alias("seed"))
+    named = memories.select("conv_id", "id", "kind", F.posexplode("entities").alias("n", "entity")).withColumn("entity", F.trim("entity")).where("entity <> ''").join(seed, "conv_id")
+    hit = (F.length(tight(F.col("entity"))) >= 2) & F.contains("seed", tight(F.col("entity")))
+    named = named.withColumn("part", F.when(hit, 0).when(F.col("kind").isin("state", "commitment", "intention", "relation", "knowledge"), 1)).where("part is not null")
+    first = named.groupBy("conv_id", "entity").agg(F.min(F.struct("part", "id", "n")).alias("at"))
+    few = first.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("at"))).where(F.col("r") <= QUERY_ENTITIES)
+    entities = few.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "entity"))), lambda x: x["entity"]), " / ").alias("entities"))
+    line = memories.where("coalesce(slot, '') <> ''").groupBy("conv_id", F.concat("slot", F.lit(": "), "text").alias("line")).agg(F.min("id").alias("id"))
+    line = line.withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("id", "line"))).where(F.col("r") <= QUERY_SLOTS)
+    slots = line.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "line"))), lambda x: x["line"]), "\n").alias("slots"))
+    rows = p.join(entities, "conv_id", "left").join(slots, "conv_id", "left").join(hints.select("conv_id", cut("hint", QUERY_CHARS["hint"]).alias("hint")), "conv_id", "left")
+    part = lambda label, c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(f"[{label}]\n"), c))
+    whole = F.concat_ws("\n\n", part("CURRENT USER", "user"), part("CURRENT ASSISTANT", "assistant"), part("AFFECTED / CURRENT ENTITIES", "entities"), part("CURRENT STATE SLOTS", "slots"), part("CURRENT STATE HINT", "hint"))
+    return rows.select("conv_id", F.trim(F.left(whole, F.lit(QUERY_CHARS["all"]))).alias("text"))
+
+
 def generation_query(last: DataFrame, state: DataFrame) -> DataFrame:
     """A labelled query per conversation. last: (conv_id, user, assistant); state: (conv_id, slot, kind, text)."""
     lines = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.concat("slot", F.lit(": "), "text")))), "\n")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.shared import durable
 
@@ -29,6 +31,18 @@ def decode(text: Column) -> Column:
     return F.transform(F.split(text, ","), lambda x: x.cast("float"))
 
 
+@F.pandas_udf(T.BinaryType())
+def pack(vec: pd.Series) -> pd.Series:
+    """H8: components as little-endian 32-bit floats, four bytes each; null stays null. No built-in function gives a float's bytes."""
+    return vec.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def unpack(data: pd.Series) -> pd.Series:
+    """H8: the components of packed vectors; bytes that are no whole number of components give null."""
+    return data.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+
 def packed(rows: DataFrame, most: int) -> DataFrame:
     """(dim, ids, vectors): vectors of one length, so many to a row, as bytes of 64-bit numbers. rows: (id, vec)."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import durable
 from .oplog import EPISTEMICS, IMPORTANCES, MEMORY_KINDS, OP_TYPES, STATUSES
 
 OP = (
@@ -84,9 +85,26 @@ def commit_import(preview: DataFrame, policy: str = "reuse_source") -> DataFrame
     return preview.withColumn("source_id", F.when(known, F.col("duplicate_of")).otherwise(fresh) if policy == "reuse_source" else fresh)
 
 
-def write_canonical(rows: DataFrame, path: str) -> None:
-    """Canonical tables only grow."""
-    rows.write.mode("append").parquet(path)
+def write_canonical(rows: DataFrame, path: str, key: list[str]) -> None:
+    """Canonical tables only grow, by rows whose key they do not hold: what is written again is there once."""
+    spark = rows.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fresh = rows.dropDuplicates(key)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        fresh = durable(fresh.join(spark.read.schema(rows.schema).parquet(path).select(*key), key, "left_anti"), "canonical")
+    fresh.write.mode("append").parquet(path)
+
+
+def merge_state(stored: DataFrame, written: DataFrame, owned: list[str]) -> DataFrame:
+    """A store's auxiliary fields after a write, key by key. Both: (conv_id, key, value); value null: absent.
+
+    What the writer brings counts, an explicit JSON null too; what it lacks (an unhydrated copy) is kept from the stored ones,
+    except for keys that other tables own, which are never brought back.
+    """
+    new = written.where("value is not null").select("conv_id", "key", F.col("value").alias("new"))
+    both = stored.where("value is not null").join(new, ["conv_id", "key"], "full")
+    kept = F.when(F.col("new").isNotNull(), F.col("new")).when(~F.col("key").isin(*owned), F.col("value"))
+    return both.select("conv_id", "key", kept.alias("value")).where("value is not null")
 
 
 def write_derived(rows: DataFrame, path: str, by: str) -> None:

@@ -75,6 +75,22 @@ def canonical_state(memories: DataFrame, chars: int) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.left(lines, F.lit(chars)).alias("state"))
 
 
+def state_for_extraction(memories: DataFrame, active: int = 28, past: int = 8, chars: int = 12_000) -> DataFrame:
+    """(conv_id, state): the newest active values, then the newest closed ones that matter, as lines, cut at so many characters.
+
+    memories: (conv_id, id, kind, slot, text, status, importance, valid_from).
+    """
+    now = F.col("status") == "active"
+    weighty = (F.col("status") == "closed") & F.coalesce("importance", F.lit("medium")).isin("high", "critical")
+    rows = memories.where(now | weighty).withColumn("part", F.when(now, 0).otherwise(1))
+    place = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(F.desc("valid_from"), F.desc("id")))
+    slot = F.when(F.coalesce("slot", F.lit("")) != "", F.concat(F.lit(" slot="), "slot")).otherwise("")
+    line = F.when(now, F.concat(F.lit("- ["), "kind", slot, F.lit("] "), "text")).otherwise(F.concat(F.lit("- [past:"), "kind", F.lit("] "), "text"))
+    few = rows.withColumns({"r": place, "line": line}).where((F.col("r") <= active) & now | (F.col("r") <= past) & weighty)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "r", "line"))), lambda x: x["line"]), "\n")
+    return few.groupBy("conv_id").agg(F.left(lines, F.lit(chars)).alias("state"))
+
+
 def cooldown_penalty(age: Column, turns: int = 4) -> Column:
     """Factor for what was recalled so many messages ago."""
     return F.when((age > 0) & (age <= turns), 0.42 + 0.58 * age / (turns + 1)).otherwise(1.0)

@@ -203,6 +203,62 @@ def normalize_entries(rows: DataFrame) -> DataFrame:
     return rows.withColumns(fixed)
 
 
+def _text(c: str, default: str = "") -> Column:
+    t = F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    return F.when(t == "", default).otherwise(t) if default else t
+
+
+def _optional(c: str) -> Column:
+    return F.when(_text(c) != "", _text(c))
+
+
+def _stamp(c: str, now: int) -> Column:
+    return F.coalesce(F.floor(F.col(c).try_cast("double")).try_cast("bigint"), F.lit(now).cast("long"))
+
+
+def normalize_worlds(rows: DataFrame, now: int) -> DataFrame:
+    """Worlds: trimmed texts, a name in any case, distinct revisions in order, stamps or now."""
+    ids = F.coalesce("active_extension_revision_ids", F.array().cast("array<string>"))
+    ids = F.array_distinct(F.filter(F.transform(ids, lambda x: F.trim(x)), lambda x: F.coalesce(x, F.lit("")) != ""))
+    return rows.select(
+        _text("world_id").alias("world_id"), _text("name", "Untitled World").alias("name"), _optional("active_baseline_revision_id").alias("active_baseline_revision_id"), ids.alias("active_extension_revision_ids"),
+        _stamp("created_at", now).alias("created_at"), _stamp("updated_at", now).alias("updated_at"),
+    )
+
+
+#: Formats of sources.
+FORMATS = ("worldbook_json", "titled_txt")
+
+
+def normalize_sources(rows: DataFrame, now: int) -> DataFrame:
+    """Sources: a known format or unknown, the payload as it is."""
+    return rows.select(
+        _text("source_id").alias("source_id"), _text("world_id").alias("world_id"), F.when(F.col("format").isin(*FORMATS), F.col("format")).otherwise("unknown").alias("format"), _optional("filename").alias("filename"),
+        _text("content_hash").alias("content_hash"), "raw_payload", _stamp("imported_at", now).alias("imported_at"),
+    )
+
+
+def normalize_revisions(rows: DataFrame, now: int) -> DataFrame:
+    """Revisions: extension or baseline, a label in any case."""
+    return rows.select(
+        _text("revision_id").alias("revision_id"), _text("world_id").alias("world_id"), _text("source_id").alias("source_id"), _text("revision_label", "Imported revision").alias("revision_label"),
+        F.when(F.col("revision_kind") == "extension", "extension").otherwise("baseline").alias("revision_kind"), _optional("parent_revision_id").alias("parent_revision_id"), _optional("base_revision_id").alias("base_revision_id"),
+        _stamp("created_at", now).alias("created_at"),
+    )
+
+
+def baseline_records(sources: DataFrame, most: int = 420, least: int = 18) -> DataFrame:
+    """(id, source_type, source_id, title, chunk_index, text, normalized, tokens) of sources (source_type, source_id, title, text).
+
+    A missing type is unknown, a missing id the title or the type, a missing title the id. Chunks without normal text go.
+    """
+    kind = _text("source_type", "unknown")
+    rows = sources.where(F.trim(F.coalesce("text", F.lit(""))) != "").select(kind.alias("source_type"), F.coalesce(_optional("source_id"), _optional("title"), kind).alias("source_id"), _optional("title").alias("title"), F.posexplode(split_chunks(F.col("text"), most, least)).alias("chunk_index", "text"))
+    rows = rows.withColumns({"title": F.coalesce("title", "source_id"), "normalized": normalize_baseline(F.col("text"))}).where("normalized <> ''")
+    seed = F.concat_ws("|", "source_type", "source_id", "chunk_index", "normalized")
+    return rows.select(F.concat(F.lit("b_"), F.left(F.sha2(seed, 256), F.lit(16))).alias("id"), "source_type", "source_id", "title", "chunk_index", "text", "normalized", tokens_baseline(F.col("text")).alias("tokens"))
+
+
 def for_actor(rows: DataFrame, shown: Column, by: str) -> tuple[DataFrame, DataFrame]:
     """P10: the rows that the actor may see, and per query the ids of those hidden. rows: (<by>, entry_id, ...)."""
     hidden = rows.where(~shown).groupBy(by).agg(F.array_sort(F.collect_set("entry_id")).alias("hidden"))

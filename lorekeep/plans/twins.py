@@ -7,7 +7,7 @@ from ..operators.settings import CONDITION_LEADERS
 from .assembly_queries import BLOCK
 from .conversation_queries import BM25, DOCS, TOKENS, TURNS
 from .oplog_queries import VERSIONS
-from . import recall_queries  # noqa: F401
+from . import recall_queries, record_queries  # noqa: F401
 from .ranking_queries import RERANK
 from .registry import ORACLE_SQL, QUERIES
 from .settings_queries import ENTRIES, NORM, TOK
@@ -205,3 +205,6 @@ asked as (select conv_id * 3 + k as conv_id, id as gold, case k when 0 then subs
  from pl, range(3) r(k) where place = case k when 0 then 1 when 1 then (n + 1) // 2 else n end),
 query as (select conv_id, text from asked)""", tail=""" select asked.conv_id as query_id, gold, r.rank is not null as hit, round(coalesce(1.0 / r.rank, 0), 6) as reciprocal_rank
  from asked left join k{k} r on r.query_id = asked.conv_id and r.id = asked.gold"""))
+
+# Records of sources, from the same chunks.
+twin("h12_baseline_records", "with " + CHUNKS.split("\nc3 as")[0] + "\nchunks as (select entry_id, c as chunk, s as text from c2) " + record_queries.H12)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import canonical, history
+from ..operators import canonical, history, segments
 from ..operators.fold import apply_ops
 from ..operators.turns import pair_keys, pair_turns
 
@@ -34,6 +34,11 @@ def backfill(turns: DataFrame, extractions: DataFrame, most: int = 200, marker:
     return due.withColumn("place", place).where(F.col("place") <= most)
 
 
+def rebuild(ops: DataFrame, due: DataFrame, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The memories after the due pairs (``backfill``) have gone to extract, whose operations join those there are, and all are folded in segments."""
+    return segments.apply_ops(ops.unionByName(extract(due), allowMissingColumns=True))
+
+
 def settled_without_vector(memories: DataFrame, sizes: DataFrame, indexable, settle: int) -> DataFrame:
     """Memories that may be indexed, have no vector yet and lie so many messages back. sizes: (conv_id, n messages)."""
     rows = memories.where(indexable & F.col("vector_hash").isNull()).join(sizes, "conv_id")
