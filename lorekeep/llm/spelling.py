@@ -6,7 +6,8 @@ is taken, and kept if no gram before it covers it. One edit can only affect the
 a longer gram across it may cover, and a last gram that more letters would lengthen; the largest number of them over all
 places is the word's bound. So of two words one edit apart at least one gram among each one's (bound + 1) first, in an order
 that both share (rarest first), is the same, at a place that differs by one at most. Those lists alone are merged; pairs
-that meet in one, and agree before or after it, are verified by their edit distance in the join itself.
+that meet in one, agree before or after it and have all but two letters in common, are verified by their edit distance in the
+join itself.
 
 Grams of one length bound the edits as well: words of ``LEAST`` + 2 * ``LEAST`` - 2 code points and more always keep one in
 common. Where the grams of varying length leave a word without such a promise, it goes into a second index of grams of
@@ -97,8 +98,16 @@ def bound(word: str, kept: list[tuple[int, int]], known: dict[str, int], most: i
     return max(change + insert)
 
 
+def letters(word: str) -> int:
+    """31 bits that say which code points a word has; one edit changes two of them at most."""
+    out = 0
+    for c in word:
+        out |= 1 << ord(c) % 31
+    return out
+
+
 def lists(dictionary: DataFrame, known: DataFrame) -> DataFrame:
-    """(word, gram, at): the grams of each word whose lists are merged; grams of the second index begin with a blank."""
+    """(word, gram, at, sign): the grams of each word whose lists are merged, and its letters; grams of the second index begin with a blank."""
     spark = dictionary.sparkSession
     # at most FREQUENT grams for each of MOST - LEAST lengths
     held = spark.sparkContext.broadcast({r["gram"]: r["m"] for r in known.toLocalIterator()})
@@ -111,14 +120,15 @@ def lists(dictionary: DataFrame, known: DataFrame) -> DataFrame:
                 kept = grams(word, common)
                 loses = bound(word, kept, common)
                 rank = sorted((common.get(word[p:e], 0), word[p:e], p) for p, e in kept)
-                out += [(word, g, p) for _, g, p in rank[: loses + 1]]
+                sign = letters(word)
+                out += [(word, g, p, sign) for _, g, p in rank[: loses + 1]]
                 if loses >= len(kept):
                     plain = sorted((common.get(word[p : p + LEAST], 0), word[p : p + LEAST], p) for p in range(len(word) - LEAST + 1))
-                    out += [(word, " " + g, p) for _, g, p in plain[: LEAST + 1]]
-            cols = list(zip(*out)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32()))], names=["word", "gram", "at"])
+                    out += [(word, " " + g, p, sign) for _, g, p in plain[: LEAST + 1]]
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["word", "gram", "at", "sign"])
 
-    return dictionary.select("word").mapInArrow(run, "word string, gram string, at int")
+    return dictionary.select("word").mapInArrow(run, "word string, gram string, at int, sign int")
 
 
 def near(dictionary: DataFrame) -> DataFrame:
@@ -129,20 +139,21 @@ def near(dictionary: DataFrame) -> DataFrame:
     n, at = F.length("word"), F.col("at")
     before, after = F.substring(F.col("word"), F.lit(1), at), F.substring(F.col("word"), at + 1, n)
     key = lambda side, n, at: F.xxhash64("gram", F.lit(side), n, at, before if side == 0 else after)
-    held = found.select(F.col("word").alias("b"), F.explode(F.array(key(0, n, at), key(1, n, at))).alias("key"))
+    held = found.select(F.col("word").alias("b"), F.col("sign").alias("sb"), F.explode(F.array(key(0, n, at), key(1, n, at))).alias("key"))
     # long lists are split into blocks; what asks for them asks for every block
     sizes = held.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > LIST).select("key", F.ceil(F.col("size") / LIST).cast("int").alias("blocks"))
     sizes = durable(sizes, "spelling-long")
-    asks = found.select(F.col("word").alias("a"), F.explode(F.array(key(0, n, at), key(1, n, at), key(0, n + 1, at), key(1, n + 1, at + 1))).alias("key"))
+    asks = found.select(F.col("word").alias("a"), F.col("sign").alias("sa"), F.explode(F.array(key(0, n, at), key(1, n, at), key(0, n + 1, at), key(1, n + 1, at + 1))).alias("key"))
     if sizes.isEmpty():
         met = asks.join(held, "key")
     else:
         blocks = F.coalesce("blocks", F.lit(1))
-        held = held.join(sizes, "key", "left").select("b", "key", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
-        asks = asks.join(sizes, "key", "left").select("a", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        held = held.join(sizes, "key", "left").select("b", "sb", "key", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
+        asks = asks.join(sizes, "key", "left").select("a", "sa", "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
         met = asks.join(held, ["key", "block"])
     order = (F.length("a") < F.length("b")) | (F.col("a") < F.col("b"))
-    return met.where(order & (F.levenshtein("a", "b", 1) == 1)).select("a", "b").distinct()
+    alike = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2
+    return met.where(alike & order & (F.levenshtein("a", "b", 1) == 1)).select("a", "b").distinct()
 
 
 def variants(documents: DataFrame) -> DataFrame:
