@@ -155,14 +155,19 @@ def relevant_baseline(core: DataFrame, similar: DataFrame, chars: int) -> DataFr
     return pack_prefix(one, "conv_id", [F.col("part"), F.col("rank"), F.col("id")], "size", chars).select("conv_id", "id", "part")
 
 
-def assemble(queries: DataFrame, reference: DataFrame, state: DataFrame, max_reference: int, max_state: int) -> DataFrame:
+#: Layers of a whole context and their shares of the reference block.
+LAYERED = {"constants": 0.20, "relevant": 0.30, "history": 0.20, "summaries": 0.10, "scenes": 0.08, "evidence": 0.06, "lookups": 0.06}
+
+
+def assemble(queries: DataFrame, reference: DataFrame, state: DataFrame, max_reference: int, max_state: int, shares: tuple[float, ...] = (0.25, 0.45, 0.30)) -> DataFrame:
     """One row per query with both blocks within one budget, the ids chosen and the number dropped, and estimated tokens.
 
-    reference: (conv_id, layer, rank, id, text), layer 0 for constants, 1 for what is relevant, 2 for history: each layer takes
-    rows in order that fit its share, and what one leaves goes on to the next. state: (conv_id, block).
+    reference: (conv_id, layer, rank, id, text), layer 0 for constants, 1 for what is relevant, 2 for history, further ones (see
+    LAYERED) where shares has as many: each layer takes rows in order that fit its share, and what one leaves goes on to the
+    next. state: (conv_id, block).
     """
     rows = reference.select("conv_id", "layer", "rank", "id", "text", (F.length("text") + 1).alias("size"))
-    fits = pack_layers(rows, "conv_id", "layer", [F.col("rank"), F.col("id")], "size", max_reference).select("conv_id", "layer", "id", F.lit(True).alias("fits"))
+    fits = pack_layers(rows, "conv_id", "layer", [F.col("rank"), F.col("id")], "size", max_reference, shares).select("conv_id", "layer", "id", F.lit(True).alias("fits"))
     rows = rows.join(fits, ["conv_id", "layer", "id"], "left")
     parts = F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("layer", "rank", "id", "text"))))
     of = lambda c, sep: F.array_join(F.transform(parts, lambda x: x[c]), sep)

@@ -126,9 +126,8 @@ def j23(spark, d):
     return A.relevant_baseline(core, similar, 6000)
 
 
-@query("t18_assemble")
-def t18(spark, d):
-    """State, constant settings of the conversation's world, the six best earlier turns and the newest others, in one row."""
+def reference_rows(spark, d):
+    """The newest user turns (conv_id, text, ...) and their reference: constant settings, the six best earlier turns, the newest others."""
     from pyspark.sql import Window
 
     from .conversation_queries import newest_queries
@@ -140,10 +139,36 @@ def t18(spark, d):
     newest = docs.join(best, ["conv_id", "id"], "left_anti").withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("id"))))
     fixed = chunks(spark, d).where("chunk = 0 and constant and not disabled and not secret")
     fixed = q.select("conv_id", "world_id").join(fixed, "world_id").select("conv_id", F.lit(0).alias("layer"), F.col("entry_id").alias("rank"), F.concat(F.lit("setting:"), "entry_id").alias("id"), F.col("retrieval_text").alias("text"))
-    reference = fixed.unionByName(turn(docs.join(best, ["conv_id", "id"]), 1)).unionByName(turn(newest, 2))
+    return q, fixed.unionByName(turn(docs.join(best, ["conv_id", "id"]), 1)).unionByName(turn(newest, 2))
+
+
+@query("t18_assemble")
+def t18(spark, d):
+    """State, constant settings of the conversation's world, the six best earlier turns and the newest others, in one row."""
+    q, reference = reference_rows(spark, d)
     return A.assemble(q.select("conv_id", F.lit(4000).alias("context_tokens")), reference, A.state_block(state_rows(spark, d), 1200), 3000, 1200)
 
 
+@query("t18_assemble_all")
+def t18b(spark, d):
+    """All layers in one row: besides those of t18 summaries, chosen scenes, their evidence and resolved lookups."""
+    from pyspark.sql import Window
+
+    from .derived_queries import scenes, summaries, t12
+
+    q, reference = reference_rows(spark, d)
+    layer = lambda rows, n, rank, id_, text: rows.select("conv_id", F.lit(n).alias("layer"), rank.cast("long").alias("rank"), id_.alias("id"), text.alias("text"))
+    c = F.col
+    told = layer(summaries(spark, d), 3, c("level") * 1_000_000 - c("node"), F.concat_ws("/", F.lit("summary"), "level", "node"), c("text"))
+    seen = layer(scenes(spark, d).drop("n").join(t12(spark, d), ["conv_id", "scene"]), 4, c("rank"), F.concat_ws("/", F.lit("scene"), "scene"), c("outcome"))
+    lines = j16(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("conv_id").orderBy("scene", "line")))
+    proof = layer(lines, 5, c("r"), F.concat_ws("/", F.lit("evidence"), "r"), c("line"))
+    found = layer(j12b(spark, d), 6, c("msg") * 1_000_000 + c("id"), F.concat_ws("/", F.lit("lookup"), "msg", "id"), c("text"))
+    for rows in (told, seen, proof, found):
+        reference = reference.unionByName(rows)
+    return A.assemble(q.select("conv_id", F.lit(4000).alias("context_tokens")), reference.join(q.select("conv_id"), "conv_id"), A.state_block(state_rows(spark, d), 1200), 3000, 1200, tuple(A.LAYERED.values()))
+
+
 @query("r9_verify_index", "select count(*) filter (e) as expected_entries, count(*) filter (not e) as foreign_entries from (select doc_id % 7 <> 0 as e from documents where trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '')")
 def r9(spark, d):
     """An index of all entries against chunks of those that still stand."""

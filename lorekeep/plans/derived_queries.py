@@ -70,10 +70,15 @@ def g13(spark, d):
     return D.summary_tree(turns(spark, d), 2, 2, 2)
 
 
+def summaries(spark, d):
+    """The summaries of each conversation that fit 100 characters."""
+    tree = D.summary_tree(turns(spark, d), 2, 2, 2).withColumn("text", F.concat(F.lit("summary of "), "first_turn", F.lit(" to "), "last_turn"))
+    return D.summary_pack(tree, 100)
+
+
 @query("t16_summary_pack", TREE + ", x as (select conv_id, level, node, 'summary of ' || first_turn || ' to ' || last_turn as text from tree), u as (select *, sum(length(text)) over (partition by conv_id, level order by node desc) as used from x) select conv_id, level, node, cast(used as bigint) as used from u where used <= 100 * case level when 1 then 0.42 when 2 then 0.26 else 0.24 end")
 def t16(spark, d):
-    tree = D.summary_tree(turns(spark, d), 2, 2, 2).withColumn("text", F.concat(F.lit("summary of "), "first_turn", F.lit(" to "), "last_turn"))
-    return D.summary_pack(tree, 100).select("conv_id", "level", "node", "used")
+    return summaries(spark, d).select("conv_id", "level", "node", "used")
 
 
 @query("j17_safe_summaries", TREE + " select * from tree where not exists (select 1 from t where t.conv_id = tree.conv_id and t.turn between first_turn and last_turn and (t.conv_id + t.turn) % 9 = 0)")

@@ -89,15 +89,16 @@ select conv_id, view, text, weight::double as weight from w qualify row_number()
 
 # Both blocks within one budget of 4200 characters; the layers' shares of 3000 are 750, 1350 and 900.
 _est = lambda c: f"case when length({c}) = 0 then 0 else greatest(1, ceil(0.2441 * length({c}))) end"
-twin("t18_assemble", f"with {CHUNKS}, {BM25.removeprefix('with ')}, {BLOCK.removeprefix('with ')}" + f""", best as (select conv_id, id, row_number() over (partition by conv_id order by round(score, 9) desc, id desc) - 1 as rank from s qualify rank < 6),
+_ASSEMBLED = f"with {CHUNKS}, {BM25.removeprefix('with ')}, {BLOCK.removeprefix('with ')}" + f""", best as (select conv_id, id, row_number() over (partition by conv_id order by round(score, 9) desc, id desc) - 1 as rank from s qualify rank < 6),
 rw as (select query.conv_id, 0 as layer, entry_id as rank, 'setting:' || entry_id as id, retrieval_text as text from query join chunks on world_id = 'src' || (query.conv_id % 20) and chunk = 0 and constant and not disabled and not secret
- union all select conv_id, 1, rank, 'turn:' || id, text from best join docs using (conv_id, id) union all select conv_id, 2, row_number() over (partition by conv_id order by id desc), 'turn:' || id, text from docs where (conv_id, id) not in (select conv_id, id from best)),
+ union all select conv_id, 1, rank, 'turn:' || id, text from best join docs using (conv_id, id) union all select conv_id, 2, row_number() over (partition by conv_id order by id desc), 'turn:' || id, text from docs where (conv_id, id) not in (select conv_id, id from best) /* more */),
 ro as (select *, length(text) + 1 as z, ([750, 2100, 3000])[layer + 1] as share, row_number() over (partition by conv_id order by layer, rank, id) as r from rw),
 rp as (select conv_id, r, z <= share as fits, case when z <= share then z else 0 end as used from ro where r = 1 union all select rp.conv_id, o.r, rp.used + o.z <= o.share, rp.used + case when rp.used + o.z <= o.share then o.z else 0 end from rp join ro o on o.conv_id = rp.conv_id and o.r = rp.r + 1),
 rf as (select conv_id, coalesce(string_agg(text, chr(10) order by r) filter (fits), '') as ref, coalesce(string_agg(id, ',' order by r) filter (fits), '') as chosen, count(*) filter (not fits) as dropped from rp join ro using (conv_id, r) group by conv_id),
 bb as (select query.conv_id, coalesce(case when length(block) > 1200 then left(block, 1200 - length('{CUT}') - 1) || chr(10) || '{CUT}' else block end, '') as blk, coalesce(ref, '') as ref, coalesce(chosen, '') as chosen, coalesce(dropped, 0) as dropped from query left join rf using (conv_id) left join b using (conv_id)),
 oo as (select conv_id, left(blk, least(length(blk), 1200)) as state_block, left(ref, least(length(ref), 3000, 4200 - least(length(blk), 1200))) as reference_block, chosen, dropped, 4200 as cap from bb)
-select *, ({_est('state_block')} + {_est('reference_block')})::bigint as tokens from oo""")
+select *, ({_est('state_block')} + {_est('reference_block')})::bigint as tokens from oo"""
+twin("t18_assemble", _ASSEMBLED.replace(" /* more */", ""))
 
 # Greedy with what is left as the state of an ordered pass.
 twin("t14_budget_skip", f"""with recursive {DOCS}, o as (select conv_id, id, length(text) as n, row_number() over (partition by conv_id order by id desc) as r from docs),
@@ -208,3 +209,10 @@ query as (select conv_id, text from asked)""", tail=""" select asked.conv_id as
 
 # Records of sources, from the same chunks.
 twin("h12_baseline_records", "with " + CHUNKS.split("\nc3 as")[0] + "\nchunks as (select entry_id, c as chunk, s as text from c2) " + record_queries.H12)
+
+# All layers; cumulated shares of 3000.
+_MORE = f""" union all select conv_id, 3, level * 1000000 - node, concat_ws('/', 'summary', level, node), 'summary of ' || first_turn || ' to ' || last_turn from ({ORACLE_SQL['t16_summary_pack']}) join ({ORACLE_SQL['g13_summary_tree']}) using (conv_id, level, node)
+ union all select conv_id, 4, rank, 'scene/' || scene, outcome from ({ORACLE_SQL['t12_select_scenes']}) join ({ORACLE_SQL['g11_scene_sessions']}) using (conv_id, scene)
+ union all select conv_id, 5, row_number() over (partition by conv_id order by scene, line), 'evidence/' || row_number() over (partition by conv_id order by scene, line), line from ({ORACLE_SQL['j16_scene_evidence']})
+ union all select conv_id, 6, msg * 1000000 + id, concat_ws('/', 'lookup', msg, id), text from ({ORACLE_SQL['j12_resolve_lookups']})"""
+twin("t18_assemble_all", _ASSEMBLED.replace(" /* more */", _MORE).replace("([750, 2100, 3000])", "([600, 1500, 2100, 2400, 2640, 2820, 3000])"))
