@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import dense, evaluate, recall, scan
+from ..operators import clusters, dense, derived, evaluate, recall, scan
+from ..operators.turns import query_views as turn_views
+from ..sources.shared import durable
 from .conversation_queries import newest_queries
-from .driver import IMPORTANCE, KINDS, pick, table
+from .driver import IMPORTANCE, KINDS, pick, table, turns
 from .registry import query
 
 
@@ -48,6 +50,34 @@ def r7(spark, d):
     return out.select("query_id", "id", "rank", *[F.round(c, 6).alias(c) for c in ("score", "rerank_score", "mmr")], F.array_join("channels", ",").alias("channels"))
 
 
+def by_view(spark, d, queries, memories, k: int = 18):
+    """Two vector channels: the newest turn's view searches as dense1, that of the newest turns, if it differs, as dense2, each in its own conversation."""
+    v = table(spark, d, "embeddings").select(F.lit(0).alias("all"), "vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+    v = durable(scan.running(v, ["all"], ["vec_id"], {"n": F.lit(1)}, "recall-vectors").select("n", "vec"), "recall-numbered")
+    size = F.broadcast(v.agg(F.max("n").alias("size")))  # one row
+    at = lambda rows, n: rows.join(size, F.lit(True)).withColumn("n", (F.col("conv_id") * 31 + n * 7) % F.col("size") + 1).join(v, "n")
+    stored = durable(at(memories.select("conv_id", "id"), F.col("id")).select("conv_id", "id", "vec"), "recall-stored")
+    views = turn_views(turns(spark, d)).select("conv_id", "view").join(queries.select("query_id", "conv_id", "as_of"), "conv_id")
+    out = None
+    for view, channel, shift in (("focus", "dense1", 0), ("context", "dense2", 3)):
+        asked = at(views.where(F.col("view") == view), F.col("as_of") + shift).select("query_id", "conv_id", "vec")
+        hits = clusters.topk_within(asked, stored, "conv_id", 64, k, -0.1).select("query_id", "id", "rank", F.lit(channel).alias("channel"))
+        out = hits if out is None else out.unionByName(hits)
+    return durable(out, "recall-dense")
+
+
+@query("r7_recall_views")
+def r7b(spark, d):
+    """The recall of r7 for one actor: memories of another audience or scope are out, and both views of the query search."""
+    queries, docs = newest_queries(spark, d)
+    none, i = F.array().cast("array<string>"), F.col("id")
+    audience, scope = F.when(i % 11 == 6, F.array(F.lit("Other"))).otherwise(none), F.when(i % 13 == 7, "side").otherwise("")
+    docs = docs.where(derived.visible(audience, none, F.array(F.lit("ME")), none, F.lit(False)) & scope.isin("", "main"))
+    queries, memories = told(queries, docs)
+    out = recall.recall(memories, queries, by_view(spark, d, queries, memories))
+    return out.select("query_id", "id", "rank", *[F.round(c, 6).alias(c) for c in ("score", "rerank_score", "mmr")], F.array_join("channels", ",").alias("channels"))
+
+
 def questions(docs):
     """Three questions about each conversation's turns, as conversations of their own: (conv_id * 3 + k, text, gold).
 

@@ -216,3 +216,11 @@ _MORE = f""" union all select conv_id, 3, level * 1000000 - node, concat_ws('/',
  union all select conv_id, 5, row_number() over (partition by conv_id order by scene, line), 'evidence/' || row_number() over (partition by conv_id order by scene, line), line from ({ORACLE_SQL['j16_scene_evidence']})
  union all select conv_id, 6, msg * 1000000 + id, concat_ws('/', 'lookup', msg, id), text from ({ORACLE_SQL['j12_resolve_lookups']})"""
 twin("t18_assemble_all", _ASSEMBLED.replace(" /* more */", _MORE).replace("([750, 2100, 3000])", "([600, 1500, 2100, 2400, 2640, 2820, 3000])"))
+
+# R7 with two views, for one actor.
+_VIEWS = _recall(docs=DOCS.replace("docs as", "docs0 as") + ", docs as (select * from docs0 where id % 11 <> 6 and id % 13 <> 7)")
+_DN2 = """dp2 as (select me.conv_id, me.id, list_cosine_similarity(a.e, b.e) as s from me join qq using (conv_id) join (select conv_id from ({views}) where view = 'context') using (conv_id) cross join nv join ve a on a.n = (me.conv_id * 31 + (as_of + 3) * 7) % size + 1 join ve b on b.n = (me.conv_id * 31 + me.id * 7) % size + 1),
+dn2 as (select dp2.conv_id, dp2.id, dp2.rank from (select *, row_number() over (partition by conv_id order by round(s, 9) desc, id) - 1 as rank from dp2 qualify rank < 18 and s >= -0.1) dp2 semi join op on op.conv_id = dp2.conv_id and op.id = dp2.id),
+ch as (select conv_id, id, 'dense2' as channel, 0.82 / (61 + rank) as part, false as named from dn2 union all """.replace("{views}", ORACLE_SQL["w3_query_views"])
+_VIEWS = _VIEWS.replace("ch as (", _DN2, 1).replace("(select conv_id, id from dn)", "(select conv_id, id from dn union select conv_id, id from dn2)").replace("bool_or(channel = 'dense1')", "bool_or(channel like 'dense%')")
+twin("r7_recall_views", _VIEWS)
