@@ -198,14 +198,19 @@ k{i} as (select * from k{i - 1} union all (select query_id, id, {i}, v from v{i}
 twin("r7_recall", _recall())
 
 # The same path over three questions of each conversation.
-twin("g27_selfcheck", _recall(docs=DOCS.replace("docs as", "docs0 as").replace("query as", "query0 as") + """,
+_OWN = _recall(docs=DOCS.replace("docs as", "docs0 as").replace("query as", "query0 as") + """,
 pl as (select *, row_number() over (partition by conv_id order by id) as place, count(*) over (partition by conv_id) as n, regexp_extract_all(text, '[\\p{L}\\p{N}]+') as w from docs0),
 docs as (select conv_id * 3 + k as conv_id, id, text from docs0, range(3) r(k)),
 asked as (select conv_id * 3 + k as conv_id, id as gold, case k when 0 then substr(text, 1, 60) when 1 then array_to_string(list_filter(w[1:30], lambda x, i: i % 3 = 1), ' ')
  else array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'n': -length(x), 'x': x}))[1:3], lambda z: z.x), ' ') end as text
  from pl, range(3) r(k) where place = case k when 0 then 1 when 1 then (n + 1) // 2 else n end),
 query as (select conv_id, text from asked)""", tail=""" select asked.conv_id as query_id, gold, r.rank is not null as hit, round(coalesce(1.0 / r.rank, 0), 6) as reciprocal_rank
- from asked left join k{k} r on r.query_id = asked.conv_id and r.id = asked.gold"""))
+ from asked left join k{k} r on r.query_id = asked.conv_id and r.id = asked.gold""")
+for _a, _b in (("(['low','medium','high','critical'])[(id // 2) % 4 + 1] as importance", "'medium' as importance"), ("case when id % 7 = 3 then 'closed' else 'active' end as status", "'active' as status"), ("id % 3 as reinforcement", "0 as reinforcement"),
+               ("id % 8 <> 5 as evidenced", "true as evidenced"), ("case when id % 9 = 4 then id + 1 end as recalled", "null::bigint as recalled")):
+    assert _a in _OWN, _a
+    _OWN = _OWN.replace(_a, _b)
+twin("g27_selfcheck", _OWN)
 
 # Records of sources, from the same chunks.
 twin("h12_baseline_records", "with " + CHUNKS.split("\nc3 as")[0] + "\nchunks as (select entry_id, c as chunk, s as text from c2) " + record_queries.H12)
