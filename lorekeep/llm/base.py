@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..sources.shared import durable  # noqa: F401
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows whose Python objects a task holds at once; a batch has up to 10,000.
+SLICE = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +28,10 @@ def n_words(text: Column) -> Column:
 def texts_of(batch, name: str = "text"):
     """Python strings of an Arrow batch's column, with None for null."""
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def slices(batches: Iterator, rows: int = SLICE) -> Iterator:
+    """The same rows in order, in parts of batches of at most so many rows."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import durable, texts_of
+from .base import durable, slices, texts_of
 
 LENGTH, END_ID = 1024, 2
 #: Bins with at most so many free places are closed.
@@ -79,7 +79,7 @@ def pieces(documents: DataFrame, path: str, ranks: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = encoder(path, ranks)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
                 raw = ids(text or "") + end

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import texts_of
+from .base import slices, texts_of
 
 WORDS = re.compile(r"[^\W\d_]+")
 MAX_POSITIVE, MAX_UNLABELLED, FEATURES = 4000, 12000, 3000
@@ -85,11 +85,11 @@ def learn(documents: DataFrame, labels: DataFrame, training, prior: float | None
     texts = ids.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "pos").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(features(t)) for t in texts_of(batch)], pa.list_(pa.string())), batch.column(batch.schema.get_field_index("pos"))], names=["f", "pos"])
 
     rows = texts.mapInArrow(extract, "f array<string>, pos boolean")
-    totals = rows.groupBy().agg(F.count_if("pos"), F.count_if(~F.col("pos"))).first()
+    totals = texts.groupBy().agg(F.count_if("pos"), F.count_if(~F.col("pos"))).first()
     if not totals[0] or not totals[1]:
         return {}, -np.inf
     a, b = F.col("a"), F.col("b")
@@ -102,7 +102,7 @@ def learn(documents: DataFrame, labels: DataFrame, training, prior: float | None
     at = {f: i for i, f in enumerate(names)}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [[at[f] for f in sorted(features(t)) if f in at] for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(batch.schema.get_field_index("pos")), batch.column(batch.schema.get_field_index("doc_id"))], names=["f", "pos", "doc_id"])
 
@@ -119,7 +119,7 @@ def score(documents: DataFrame, weights: dict[str, float], bias: float) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
         known: dict[str, tuple[str, ...]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in texts_of(batch):
                 got: set[str] = set()
@@ -157,7 +157,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             z = [bias + sum(weights.get(f, 0.0) for f in sorted(features(t))) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([not v >= 0 for v in z]))
 
