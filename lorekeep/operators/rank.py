@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import normalize, tokens_hybrid
 from ..sources.shared import durable
@@ -20,6 +21,7 @@ IMPORTANCE_RANK = {"low": 0, "medium": 1, "high": 2, "critical": 3}
 KIND_WEIGHT = {"state": 6, "intention": 5, "commitment": 4, "relation": 3, "ownership": 2, "knowledge": 1, "belief": 1}
 ALWAYS, IN_CONTEXT = ("state", "intention", "commitment"), ("relation", "ownership", "knowledge", "belief")
 RERANK_WEIGHTS = {"coverage": 0.30, "phrase": 0.18, "slot": 0.12, "entity": 0.12, "recency": 0.12, "importance": 0.08, "breadth": 0.08}
+_LARGEST = math.log(1.7976931348623157e308)
 RERANK_IMPORTANCE = {"high": 1.0, "medium": 0.6, "low": 0.3}
 
 
@@ -101,6 +103,24 @@ def recency(age: Column, half_life: float = 120) -> Column:
     return F.exp(-math.log(2) * F.greatest(age, F.lit(0)) / half_life)
 
 
+@F.pandas_udf(T.DoubleType())
+def _exp(x: pd.Series) -> pd.Series:
+    """The C library's, as SQL engines have it; Java's differs in the last place, which shows in large values."""
+    return x.map(lambda v: math.inf if v > _LARGEST else math.exp(v), na_action="ignore")
+
+
+def decay(age: Column, half_life: float = 120) -> Column:
+    """W5 without a floor: what lies ahead of the time asked for (a negative age) weighs more than 1."""
+    return _exp(-math.log(2) * age / half_life)
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded as C does it, by a factor: halves away from zero, and what has no fraction left goes through the factor too."""
+    scaled = value * 10.0**digits
+    whole = F.when(F.abs(scaled) < 2.0**52, F.signum(scaled) * F.floor(F.abs(scaled) + 0.5)).otherwise(scaled) / 10.0**digits
+    return F.when(F.abs(scaled) < math.inf, whole).otherwise(value)
+
+
 def minmax(value: Column, by: str) -> Column:
     """0 to 1 over the rows of a query; 0.5 where they don't differ."""
     w = Window.partitionBy(by)
