@@ -6,17 +6,23 @@ left, found by one ordered pass over the segments of each key. Segments whose to
 none has: the first segment is right at once, and each next one as soon as those before it are, so the result is that of the
 fold in order. Additions and ends do not depend on what was there before, so a few rounds do in general, moves between slots
 included; counts are kept as differences and start no new round.
+
+Slots whose operations name no other slot and no memory by its id do not depend on the rest of the log. Those with no more
+operations than a segment are folded by themselves, once, as a stream of rows in order; only the rest goes into segments.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import durable
 from . import scan
-from .fold import OPTIONAL, Store
+from .fold import OPTIONAL, SCHEMA, Store
 
 #: Operations of a segment.
 SEGMENT = 20_000
@@ -118,9 +124,80 @@ def _told(outs: DataFrame) -> DataFrame:
     return rows.withColumn("v", last).where("o = 0 and v is not null").select("conv_id", "seg", "key", "v.*")
 
 
+class _Op:
+    """An operation with the fields that Store reads."""
+
+    __slots__ = ("msg", "op", *OPTIONAL)
+
+    def __init__(self, values: tuple) -> None:
+        self.msg, self.op, self.op_idx, self.kind, self.slot, self.text, self.status, self.importance, self.target_id, self.target_slot, self.new_kind, self.new_slot, self.new_text, self.new_status, self.new_importance = values
+
+
+def _alone(log: DataFrame, size: int) -> DataFrame:
+    """(conv_id, slot) of the slots that do not depend on others and have at most so many operations.
+
+    A slot depends on others if an operation names it and another one, or names it and a memory's id, if its own memory may be
+    named by an id, or if a message and place are given twice.
+    """
+    names = F.array_distinct(F.filter(F.array("slot", "target_slot", "new_slot"), lambda x: F.coalesce(x, F.lit("")) != ""))
+    rows = log.select("conv_id", F.concat(F.lit("m"), "msg", F.lit("_"), "op_idx").alias("id"), names.alias("names"), F.when(F.col("target_id") != "", F.col("target_id")).alias("named"))
+    single = (F.size("names") == 1) & F.col("named").isNull()
+    slots = rows.select("conv_id", F.explode("names").alias("slot"), single.alias("single")).groupBy("conv_id", "slot").agg(F.bool_and("single").alias("single"), F.count(F.lit(1)).alias("n"))
+    marked = rows.select("conv_id", F.col("named").alias("id")).where("id is not null").distinct()
+    marked = marked.unionByName(rows.groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("conv_id", "id"))
+    linked = rows.join(marked, ["conv_id", "id"], "left_semi").select("conv_id", F.explode("names").alias("slot")).distinct()
+    return slots.where(F.col("single") & (F.col("n") <= size)).join(linked, ["conv_id", "slot"], "left_anti").select("conv_id", "slot")
+
+
+def _by_slot(rows: DataFrame) -> DataFrame:
+    """The rows of ``fold.apply_ops``, with op_idx for created_seq, of operations (conv_id, _slot, msg, op, ...) of slots that do not depend on each other."""
+    schema = ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] != "created_seq") + ", op_idx long"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"conv_id": pa.int64(), "op_idx": pa.int64(), "valid_from": pa.int64(), "valid_until": pa.int64(), "reinforcement": pa.int64(), "confirmed": pa.int64(), "owns": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, store, out = None, Store(), []
+
+        def flush() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], kinds.get(c, pa.string())) for c in names], names=names)
+            out.clear()
+            return done
+
+        def left() -> None:
+            out.extend({**m, "conv_id": now[0], "op_idx": int(m["id"].rpartition("_")[2]), "owns": store.slots.get(m["slot"]) == m["id"]} for m in store.memories.values())
+
+        for batch in batches:
+            for conv, slot, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                if (conv, slot) != now:
+                    left()
+                    now, store = (conv, slot), Store()
+                    if len(out) >= 10_000:
+                        yield flush()
+                store.apply(_Op(values))
+        left()
+        yield flush()
+
+    by = ["conv_id", "_slot"]
+    dealt = rows.select(*by, "msg", "op", *OPTIONAL).repartition(*by).sortWithinPartitions(*by, "msg", "op_idx")
+    return dealt.mapInArrow(run, schema)
+
+
 def apply_ops(ops: DataFrame, size: int = SEGMENT) -> DataFrame:
     """G1, G2 for logs of any length: the rows of ``fold.apply_ops``. ops: (conv_id, msg, op, ...) with any of OPTIONAL."""
     have = ops.select("conv_id", "msg", "op", *[(F.col(c) if c in ops.columns else F.lit(0 if c == "op_idx" else None).cast("int" if c == "op_idx" else "string")).alias(c) for c in OPTIONAL])
+    have = durable(have, "fold-ops")
+    alone = durable(_alone(have, size).withColumnRenamed("slot", "_slot"), "fold-alone")
+    name = F.coalesce(*[F.when(F.col(c) != "", F.col(c)) for c in ("slot", "target_slot", "new_slot")])
+    dealt = have.withColumn("_slot", name)
+    per = durable(_by_slot(dealt.join(alone, ["conv_id", "_slot"])), "fold-slots")
+    rest = dealt.join(alone, ["conv_id", "_slot"], "left_anti").drop("_slot")
+    if not rest.isEmpty():
+        per = per.unionByName(_by_segment(rest, size))
+    per = scan.running(per, ["conv_id"], ["valid_from", "op_idx"], {"created_seq": F.lit(1)}, "fold-memories")
+    return per.select(*[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def _by_segment(have: DataFrame, size: int) -> DataFrame:
     placed = scan.running(have, ["conv_id"], ["msg", "op_idx"], {"seg": F.lit(1)}, "fold-log")
     log = durable(placed.withColumn("seg", F.floor((F.col("seg") - 1) / size)), "fold-segments")
     told, outs, step = log.sparkSession.createDataFrame([], TOLD), None, 0
@@ -152,7 +229,6 @@ def _assembled(outs: DataFrame) -> DataFrame:
     )
     slots = outs.where("touched and key like 's:%'").groupBy("conv_id", "key").agg(F.max_by("owner", "seg").alias("id"))
     slots = slots.where("id is not null").select("conv_id", "id", F.lit(True).alias("owns")).distinct()
-    per = scan.running(per.join(slots, ["conv_id", "id"], "left"), ["conv_id"], ["valid_from", "op_idx"], {"created_seq": F.lit(1)}, "fold-memories")
-    return per.select(
-        "conv_id", "id", *[F.col(f"v.{c}").alias(c) for c in ("kind", "slot", "text", "status")], "importance", "valid_from", "valid_until", "created_seq", "reinforcement", "confirmed", "supersedes", "superseded_by", F.coalesce("owns", F.lit(False)).alias("owns")
+    return per.join(slots, ["conv_id", "id"], "left").select(
+        "conv_id", "id", *[F.col(f"v.{c}").alias(c) for c in ("kind", "slot", "text", "status")], "importance", "valid_from", "op_idx", "valid_until", "reinforcement", "confirmed", "supersedes", "superseded_by", F.coalesce("owns", F.lit(False)).alias("owns")
     )
