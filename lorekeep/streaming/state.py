@@ -1,4 +1,7 @@
-"""R2: a stream of operations folded with Spark's keyed state: a conversation's memories and slots live in its map states.
+"""R2: a stream of operations folded with Spark's keyed state: a conversation's memories, slots and log live in map states.
+
+A call of the state costs far more than an entry, so entries are kept in blocks (``Blocks``), a short conversation is a single
+value, and the key of the state is a bucket of conversations, whose rows come together; a bucket's state is keyed by conversation.
 
 An operation after all earlier ones touches its slot, its target and the slot's owner, and nothing else is read or written,
 so a batch costs what it brings. What does not come in order, and a message that is extracted again (a higher transaction
@@ -12,7 +15,10 @@ memories as of its newest rows.
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import pandas as pd
@@ -23,6 +29,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.fold import OPTIONAL, SCHEMA, Store
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets of conversations, which a stream keeps for good; entries of a block of a map, about.
+BUCKETS, BLOCK = 1024, 128
 FIELDS = [c.split()[0] for c in SCHEMA.split(", ") if c.split()[0] not in ("conv_id", "owns")]
 MEMORY = ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] not in ("conv_id", "owns"))
 CHANGES = SCHEMA + ", version long, gone boolean"
@@ -88,50 +96,128 @@ class Row:
         self.__dict__.update(zip(("tx", *LOGGED), values))
 
 
+class Blocks:
+    """A map of a conversation with the methods of a map state, in blocks of about BLOCK entries, each a single value of the state.
+
+    A block is read when a key of it is asked for, and written if it has changed. A map of one block is kept with the
+    conversation's head; the number of blocks doubles as entries come.
+    """
+
+    def __init__(self, state, conv: int, name: str, n: int = 1, count: int = 0, only: list | None = None) -> None:
+        self.state, self.conv, self.name, self.n, self.count = state, conv, name, n, count
+        self.held: dict[int, dict] = {0: self._load(only or [])} if n == 1 else {}
+        self.changed: set[int] = set()
+
+    @staticmethod
+    def _load(rows: list) -> dict:
+        return {tuple(k): tuple(v) for k, v in rows}
+
+    def _at(self, key: tuple) -> int:
+        return (zlib.crc32(key[0].encode()) if isinstance(key[0], str) else key[0]) % self.n
+
+    def _block(self, b: int) -> dict:
+        if b not in self.held:
+            self.held[b] = self._load(json.loads(self.state.getValue((self.conv, self.name, b))[0]))
+        return self.held[b]
+
+    def containsKey(self, key: tuple) -> bool:  # noqa: N802
+        return key in self._block(self._at(key))
+
+    def getValue(self, key: tuple) -> tuple | None:  # noqa: N802
+        return self._block(self._at(key)).get(key)
+
+    def updateValue(self, key: tuple, value: tuple) -> None:  # noqa: N802
+        b = self._at(key)
+        self.count += key not in self._block(b)
+        self.held[b][key] = value
+        self.changed.add(b)
+
+    def removeKey(self, key: tuple) -> None:  # noqa: N802
+        b = self._at(key)
+        self.count -= self._block(b).pop(key, None) is not None
+        self.changed.add(b)
+
+    def beside(self, first) -> list[tuple]:
+        """The keys that begin so."""
+        return [k for k in self._block(self._at((first,))) if k[0] == first]
+
+    def iterator(self) -> Iterator[tuple[tuple, tuple]]:
+        for b in range(self.n):
+            yield from self._block(b).items()
+
+    def clear(self) -> None:
+        self.held, self.changed, self.count = {b: {} for b in range(self.n)}, set(range(self.n)), 0
+
+    def store(self) -> list:
+        """Writes what has changed; returns the arguments with which the map is made again."""
+        if self.count > BLOCK * self.n:
+            rows = list(self.iterator())
+            while self.count > BLOCK * self.n // 2:
+                self.n *= 2
+            self.clear()
+            for k, v in rows:
+                self.updateValue(k, v)
+        if self.n == 1:
+            return [1, self.count, list(self.held[0].items())]
+        for b in self.changed:
+            self.state.updateValue((self.conv, self.name, b), (json.dumps(list(self.held[b].items())),))
+        return [self.n, self.count]
+
+
+#: The maps of a conversation: memories by id, ids by slot, operations by message and place, transactions by message.
+MAPS = ("memories", "slots", "log", "current")
+
+
 class Fold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memories = handle.getMapState("memories", "id string", MEMORY)
-        self.slots = handle.getMapState("slots", "slot string", "id string")
-        self.log = handle.getMapState("log", "msg long, op_idx int", _LOG)
-        self.current = handle.getMapState("transactions", "msg long", "tx long")
-        self.last = handle.getValueState("last", "msg long, op_idx int, made long, version long")
+        self.heads = handle.getMapState("heads", "conv_id long", "head string")
+        self.blocks = handle.getMapState("blocks", "conv_id long, name string, block int", "rows string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        conv = int(key[0])
         batch = pd.concat(list(rows)).astype(object)
-        batch = batch.where(batch.notna(), None).sort_values(["msg", "tx", "op_idx"])
-        msg, idx, made, version = self.last.get() if self.last.exists() else (None, None, 0, 0)
+        batch = batch.where(batch.notna(), None).sort_values(["conv_id", "msg", "tx", "op_idx"])
+        frames = (self._handled(conv, own) for conv, own in groupby(batch.itertuples(index=False), lambda r: r.conv_id))
+        out = [x for own in frames for x in own]
+        if out:
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in CHANGES.split(", ")])
+            yield frame.astype({c: "Int64" for c in ("valid_from", "valid_until", "created_seq", "reinforcement", "confirmed")} | {"conv_id": "int64"})
+
+    def _handled(self, conv: int, batch: Iterator[Any]) -> list[dict]:
+        """The changes of a conversation that these operations, in order, bring."""
+        stored = self.heads.getValue((conv,)) if self.heads.containsKey((conv,)) else None
+        head = json.loads(stored[0]) if stored else {"last": [None, None, 0, 0]}
+        maps = {m: Blocks(self.blocks, conv, m, *head.get(m, [])) for m in MAPS}
+        self.memories, self.slots, self.log, self.current = (maps[m] for m in MAPS)
+        msg, idx, made, version = head["last"]
         fresh, again = [], False
-        known: dict[int, int | None] = {}
-        for r in batch.itertuples():
-            if r.msg not in known:
-                known[r.msg] = self.current.getValue((r.msg,))[0] if self.current.containsKey((r.msg,)) else None
-            tx = known[r.msg]
+        brought: set[int] = set()
+        for r in batch:
+            tx = (self.current.getValue((r.msg,)) or (None,))[0]
             if tx is not None and r.tx < tx or tx == r.tx and self.log.containsKey((r.msg, r.op_idx)):
                 continue
             if tx is not None and r.tx > tx:  # the message's earlier operations are replaced
                 again = True
-                for k in [k for k in self.log.keys() if k[0] == r.msg]:
-                    self.log.removeKey(tuple(k))
-                fresh = [x for x in fresh if x.msg != r.msg]
-            known[r.msg] = r.tx
+                for k in self.log.beside(r.msg):
+                    self.log.removeKey(k)
+                if r.msg in brought:
+                    fresh = [x for x in fresh if x.msg != r.msg]
+            brought.add(r.msg)
             self.current.updateValue((r.msg,), (r.tx,))
-            row = (int(r.tx), *[getattr(r, c) for c in LOGGED])
+            row = (r.tx, *[getattr(r, c) for c in LOGGED])
             self.log.updateValue((r.msg, r.op_idx), row)
             again = again or msg is not None and (r.msg, r.op_idx) <= (msg, idx)
             fresh.append(Row(r.msg, row))
         if not fresh:
-            return
+            return []
         version += 1
         if again:
             out, made = self._refold(version)
         else:
             out, made = self._advance(sorted(fresh, key=lambda r: (r.msg, r.op_idx)), made, version)
         top = max((r.msg, r.op_idx) for r in fresh)
-        self.last.update((*(max(top, (msg, idx)) if msg is not None else top), made, version))
-        if out:
-            frame = pd.DataFrame([{"conv_id": conv, **x} for x in out], columns=[c.split()[0] for c in CHANGES.split(", ")])
-            yield frame.astype({c: "Int64" for c in ("valid_from", "valid_until", "created_seq", "reinforcement", "confirmed")} | {"conv_id": "int64"})
+        last = [*(max(top, (msg, idx)) if msg is not None else top), made, version]
+        self.heads.updateValue((conv,), (json.dumps({"last": last} | {m: maps[m].store() for m in MAPS}),))
+        return [{"conv_id": conv, **x} for x in out]
 
     @staticmethod
     def _loaded(row) -> dict:
@@ -191,7 +277,8 @@ def changes(stream: DataFrame) -> DataFrame:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the only one with map states
     col = lambda c, kind, default: (F.coalesce(F.col(c).cast(kind), F.lit(default).cast(kind)) if c in stream.columns else F.lit(default).cast(kind)).alias(c)
     rows = stream.select("conv_id", F.col("msg").cast("long").alias("msg"), "op", col("tx", "long", 0), *[col(c, "int" if c == "op_idx" else "string", 0 if c == "op_idx" else None) for c in OPTIONAL])
-    return rows.groupBy("conv_id").transformWithStateInPandas(Fold(), CHANGES, "update", "none")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("conv_id"), F.lit(BUCKETS)))
+    return rows.groupBy("bucket").transformWithStateInPandas(Fold(), CHANGES, "update", "none")
 
 
 def ingest(stream: DataFrame, changes_path: str, checkpoint: str):
