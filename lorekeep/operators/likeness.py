@@ -80,40 +80,38 @@ def _lengths(x: pa.Array) -> np.ndarray:
     return pc.utf8_length(x).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def similarity(both: np.ndarray, m: np.ndarray, n: np.ndarray, a: pa.Array, b: pa.Array, asked: np.ndarray) -> np.ndarray:
-    """``overlap_similarity`` of the asked pairs of texts a and b, from their numbers of common tokens and of tokens.
+def similarity(x: np.ndarray, y: np.ndarray, both: np.ndarray, m: np.ndarray, n: np.ndarray, a: pa.Array, b: pa.Array) -> np.ndarray:
+    """``overlap_similarity`` of the pairs (x, y) of texts a and b, from their numbers of common tokens and of tokens.
 
     Texts are compared only where one may hold the other: all tokens of the one but the first and the last are in the other then.
     """
-    m, n, la, lb = m[:, None], n[None, :], _lengths(a)[:, None], _lengths(b)[None, :]
+    m, n, la, lb = m[x], n[y], _lengths(a)[x], _lengths(b)[y]
     out = np.maximum(both / np.maximum(m + n - both, 1), 0.92 * both / np.maximum(np.minimum(m, n), 1))
-    small = np.minimum(la, lb)
-    x, y = np.nonzero((both >= np.where(la <= lb, m, n) - 2) & ((small >= 8) | (la == lb)) & asked)
-    if len(x):
+    few = np.nonzero((both >= np.where(la <= lb, m, n) - 2) & ((np.minimum(la, lb) >= 8) | (la == lb)))[0]
+    if len(few):
         p, q = a.to_pylist(), b.to_pylist()
-        for i, j in zip(x.tolist(), y.tolist()):
+        for k, i, j in zip(few.tolist(), x[few].tolist(), y[few].tolist()):
             s, t = p[i], q[j]
             if s == t:
-                out[i, j] = 1.0 if s else 0.0
+                out[k] = 1.0 if s else 0.0
             elif min(len(s), len(t)) >= 8 and (s in t or t in s):
-                out[i, j] = min(0.99, 0.88 + 0.11 * min(len(s), len(t)) / max(len(s), len(t)))
+                out[k] = min(0.99, 0.88 + 0.11 * min(len(s), len(t)) / max(len(s), len(t)))
     return out
 
 
-def _best(score: np.ndarray, low: np.ndarray, k: int, constant: np.ndarray, ord_: np.ndarray, entry: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs may be among the k best of their row: by score to nine digits, constants first, then by ord, entry and chunk."""
-    x, y = np.nonzero(score >= low[:, None] - 2e-9)
-    scaled = score[x, y] * 1e9
+def _best(x: np.ndarray, y: np.ndarray, score: np.ndarray, k: int, constant: np.ndarray, ord_: np.ndarray, entry: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y) may be among the k best of their row: by score to nine digits, constants first, then by ord, entry and chunk."""
+    scaled = score * 1e9
     lesser = np.floor(scaled + 0.5 - 1e-5)
     doubt = np.floor(scaled + 0.5 + 1e-5) > lesser
     order = np.lexsort((chunk[y], entry[y], ord_[y], ~constant[y], -lesser, x))
-    x, y, lesser, doubt = x[order], y[order], lesser[order], doubt[order]
+    x, lesser, doubt = x[order], lesser[order], doubt[order]
     start = np.concatenate([[0], np.nonzero(np.diff(x))[0] + 1]) if len(x) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(x)))
     place = np.arange(len(x)) - np.repeat(start, size)
     last = np.repeat(lesser[start + np.minimum(k, size) - 1], size) if len(x) else lesser
     keep = (place < k) | doubt & (lesser + 1 >= last)
-    return x[keep], y[keep]
+    return order[keep]
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, k: int, least: float) -> DataFrame:
@@ -142,15 +140,29 @@ def candidates(queries: DataFrame, chunks: DataFrame, k: int, least: float) -> D
                 const = np.asarray(constant.to_numpy(zero_copy_only=False), bool)
                 ib, m = common(qt, bt), count(qt)
                 ir = ib + common(qt, more) - (common(qt, less) if count(less).any() else 0)
-                asked = ib + ir > 0
-                score = np.maximum(similarity(ib, m, count(bt), q, b, asked), 0.88 * similarity(ir, m, count(bt) + count(more) - count(less), q, r, asked)) + np.where(const, 0.015, 0.0)
-                score[~asked] = -1.0
-                low = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -1.0)
-                reached[part] = low = np.maximum(low, reached.get(part, least))
+                nb, nr = count(bt), count(bt) + count(more) - count(less)
+                # no pair's score is over this, unless one text holds the other, which may be where all tokens but two are common
+                most = np.maximum(ib, ir)
+                small = np.minimum(m[:, None], np.minimum(nb, nr)[None, :])
+                low = reached.get(part, np.full(len(m), least))
+                x, y = np.nonzero((most > 0) & ((most >= (low[:, None] - 0.016) * small) | (most >= small - 2)))
+                score = np.maximum(similarity(x, y, ib[x, y], m, nb, q, b), 0.88 * similarity(x, y, ir[x, y], m, nr, q, r)) + np.where(const[y], 0.015, 0.0)
+                good = (score >= least) & (score >= low[x] - 2e-9)
+                x, y, score = x[good], y[good], score[good]
+                if len(x) > 4 * k * len(m):
+                    whole = np.full(ib.shape, -1.0)
+                    whole[x, y] = score
+                    low = np.maximum(low, np.partition(whole, -k, axis=1)[:, -k] if whole.shape[1] > k else -1.0)
+                    good = score >= low[x] - 2e-9
+                    x, y, score = x[good], y[good], score[good]
                 number = lambda z: z.to_numpy(zero_copy_only=False) if pa.types.is_integer(z.type) else np.unique(np.asarray(z.to_pylist(), object), return_inverse=True)[1]
-                x, y = _best(np.where(score >= least, score, -1.0), low, k, const, np.nan_to_num(ord_.to_numpy(zero_copy_only=False).astype(float), nan=np.inf), number(entry), number(chunk))
-                x, y = x[score[x, y] >= least], y[score[x, y] >= least]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), *[v.take(pa.array(y)) for v in (entry, chunk, constant, ord_)], pa.array(score[x, y])], names=["query_id", "entry_id", "chunk", "constant", "ord", "score"])
+                best = _best(x, y, score, k, const, np.nan_to_num(ord_.to_numpy(zero_copy_only=False).astype(float), nan=np.inf), number(entry), number(chunk))
+                x, y, score = x[best], y[best], score[best]
+                full = np.bincount(x, minlength=len(m)) >= k
+                least_of = np.full(len(m), np.inf)
+                np.minimum.at(least_of, x, score)
+                reached[part] = np.where(full, np.maximum(low, least_of - 2e-9), low)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), *[v.take(pa.array(y)) for v in (entry, chunk, constant, ord_)], pa.array(score)], names=["query_id", "entry_id", "chunk", "constant", "ord", "score"])
 
     kind = lambda d, c: d.schema[c].dataType.simpleString()
     schema = f"query_id {kind(queries, 'query_id')}, entry_id {kind(chunks, 'entry_id')}, chunk {kind(chunks, 'chunk')}, constant boolean, ord double, score double"
